@@ -93,6 +93,18 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], buckets: int
     return out
 
 
+def grouped_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float], buckets: int = 1) -> DataFrame:
+    """Linear-interpolation quantiles per group, one row each, from value counts with running totals (no group is collected)."""
+    run = cumulative_by_value(df, value, {"n": F.count(F.lit(1))}, by=by, buckets=buckets).withColumn("_v", F.col(value).cast("double"))
+
+    def at(place: Column) -> Column:
+        return F.min(F.when(F.col("cum_n") > place, F.col("_v")))
+    place = {n: (F.col("total_n") - 1) * F.lit(p) for n, p in probs.items()}
+    ends = run.groupBy(*by).agg(*(c for n, h in place.items() for c in (
+        at(F.floor(h)).alias(f"lo_{n}"), at(F.ceil(h)).alias(f"hi_{n}"), F.max(h - F.floor(h)).alias(f"part_{n}"))))
+    return ends.select(*by, *((F.col(f"lo_{n}") + (F.col(f"hi_{n}") - F.col(f"lo_{n}")) * F.col(f"part_{n}")).alias(n) for n in probs))
+
+
 def weighted_quantiles(df: DataFrame, value: str, weight: str, probs: list[float], old_style: bool = False, buckets: int = 1) -> list[float]:
     """Quantiles by interpolation on ``(cumulative weight - weight/2) / total``; de-duplicated and sorted.
 
@@ -171,6 +183,17 @@ def global_positions(df: DataFrame, date: str, within: Column, key: str, name: s
             .withColumn(name, F.col("_before") + F.col("_rn") - 1).drop("_part", "_rn", "_before"))
 
 
+def positions_within(df: DataFrame, by: list[str], part: Column, order: list[Column | str], name: str = "position") -> DataFrame:
+    """0-based position inside each group by (``part``, ``order``). Groups are cut into parts, each ranked by its own task."""
+    marked = df.withColumn("_part", part)
+    earlier = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = (marked.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"))
+               .select(*by, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.sum("_n").over(W.partitionBy(*by)).alias("group_size")))
+    local = W.partitionBy(*by, "_part").orderBy(*order)
+    return (marked.withColumn("_rn", F.row_number().over(local)).join(offsets, [*by, "_part"])
+            .withColumn(name, F.col("_before") + F.col("_rn") - 1).drop("_part", "_rn", "_before"))
+
+
 def time_folds(df: DataFrame, date: str, key: str, folds: int = 5, within: Column | None = None, rows: int | None = None) -> DataFrame:
     """Test fold per row (1..folds); fold f trains on all rows placed before its test block. Fold 0 never tests.
 
