@@ -245,7 +245,7 @@ def woe_report(df: DataFrame, fits: list[dict]) -> DataFrame:
         events, others = sum(r[3][0] for r in counted), sum(r[3][1] for r in counted)
         for i, low, high, (e, o), w in counted:
             iv = (o / others - e / events) * w if events and others else 0.0
-            rows.append((f["feature"], i, low, high, float(e), float(o), e / (e + o) if e + o else 0.0, float(w), float(iv)))
+            rows.append((f["feature"], i, None if low is None else float(low), None if high is None else float(high), float(e), float(o), e / (e + o) if e + o else 0.0, float(w), float(iv)))
     return df.sparkSession.createDataFrame(rows, "feature string, bin int, low double, high double, events double, non_events double, rate double, woe double, iv double")
 
 

@@ -76,23 +76,6 @@ def max_rank(df: DataFrame, value: str, buckets: int = 1, name: str = "rank") ->
     return run.select(value, F.col("cum_n").alias(name))
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: list[float], buckets: int = 1) -> list[float]:
-    """Linear-interpolation quantiles from value counts; only the bracketing values reach the driver."""
-    run = cumulative_by_value(df, value, {"n": F.count(F.lit(1))}, buckets=buckets)
-    run = cut_lineage(run.select(F.col(value).cast("double").alias("v"), "cum_n", "total_n"))
-    total = run.agg(F.max("total_n")).first()[0]
-    if not total:
-        return [float("nan")] * len(probs)
-    places = [(total - 1) * p for p in probs]
-    marks = sorted({int(math.floor(h)) for h in places} | {int(math.ceil(h)) for h in places})
-    row = run.agg(*(F.min(F.when(F.col("cum_n") > m, F.col("v"))).alias(f"m{m}") for m in marks)).first()
-    out = []
-    for h in places:
-        low, high = row[f"m{math.floor(h)}"], row[f"m{math.ceil(h)}"]
-        out.append(low + (high - low) * (h - math.floor(h)))
-    return out
-
-
 def grouped_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float], buckets: int = 1) -> DataFrame:
     """Linear-interpolation quantiles per group, one row each, from value counts with running totals (no group is collected)."""
     run = cumulative_by_value(df, value, {"n": F.count(F.lit(1))}, by=by, buckets=buckets).withColumn("_v", F.col(value).cast("double"))
@@ -105,6 +88,12 @@ def grouped_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str,
     return ends.select(*by, *((F.col(f"lo_{n}") + (F.col(f"hi_{n}") - F.col(f"lo_{n}")) * F.col(f"part_{n}")).alias(n) for n in probs))
 
 
+def exact_quantiles(df: DataFrame, value: str, probs: list[float], buckets: int = 1) -> list[float]:
+    """Linear-interpolation quantiles from value counts; only the results reach the driver."""
+    row = grouped_quantiles(df, [], value, {f"q{i}": p for i, p in enumerate(probs)}, buckets).first()
+    return [float("nan") if v is None else float(v) for v in row]
+
+
 def weighted_quantiles(df: DataFrame, value: str, weight: str, probs: list[float], old_style: bool = False, buckets: int = 1) -> list[float]:
     """Quantiles by interpolation on ``(cumulative weight - weight/2) / total``; de-duplicated and sorted.
 
