@@ -39,10 +39,10 @@ def _weight(weight: str | None) -> Column:
     return F.col(weight).cast("double") if weight else F.lit(1.0)
 
 
-def score_curve(df: DataFrame, score: str, label: str, weight: str | None = None) -> DataFrame:
-    """Per score, downwards: positive and negative weight with running totals."""
+def score_curve(df: DataFrame, score: str, label: str, weight: str | None = None, by: list[str] | None = None) -> DataFrame:
+    """Per score (and group), downwards: positive and negative weight with running totals."""
     w, y = _weight(weight), F.col(label).cast("double")
-    return cumulative_by_value(df, score, {"pos": F.sum(w * y), "neg": F.sum(w * (1 - y))}, descending=True)
+    return cumulative_by_value(df, score, {"pos": F.sum(w * y), "neg": F.sum(w * (1 - y))}, by=by, descending=True)
 
 
 def roc_points(df: DataFrame, score: str, label: str, weight: str | None = None) -> DataFrame:
@@ -50,11 +50,11 @@ def roc_points(df: DataFrame, score: str, label: str, weight: str | None = None)
     return c.select(F.col(score).alias("threshold"), F.try_divide("cum_neg", "total_neg").alias("fpr"), F.try_divide("cum_pos", "total_pos").alias("tpr"))
 
 
-def auc(df: DataFrame, score: str, label: str, weight: str | None = None) -> DataFrame:
-    """Area under the ROC curve by trapezoids (ties between classes count half)."""
-    c = score_curve(df, score, label, weight)
+def auc(df: DataFrame, score: str, label: str, weight: str | None = None, by: list[str] | None = None) -> DataFrame:
+    """Area under the ROC curve by trapezoids (ties between classes count half), per group when given."""
+    c = score_curve(df, score, label, weight, by)
     area = F.sum(F.col("neg") * (F.col("cum_pos") - F.col("pos") / 2))
-    return c.agg(F.try_divide(area, F.max("total_pos") * F.max("total_neg")).alias("auc"))
+    return c.groupBy(*(by or [])).agg(F.try_divide(area, F.max("total_pos") * F.max("total_neg")).alias("auc"))
 
 
 def pr_points(df: DataFrame, score: str, label: str, weight: str | None = None) -> DataFrame:

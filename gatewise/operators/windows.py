@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gatewise.session import cut_lineage
 
+# Distinct values up to this count are ordered by one task; more are split into buckets.
+ONE_TASK_ROWS = 200_000
+
 
 def pick_one(df: DataFrame, keys: list[str], order: list[Column | str], largest: bool = True) -> DataFrame:
     """One row per key, by the largest (or smallest) ordering tuple.
@@ -38,18 +41,19 @@ def cumulative_by_value(df: DataFrame, value: str, sums: dict[str, Column], by:
     """One row per distinct ``(by, value)`` with aggregates ``sums`` and their running totals ``cum_*`` and totals ``total_*``.
 
     ``buckets=1`` is for values of a bounded domain (scores 0..1000, dates): the window then holds few rows. With more
-    buckets the order is split at approximate quantiles: totals per bucket become offsets, and each bucket is scanned
-    by its own task. The result is exact for any split points.
+    buckets the distinct values are counted, and beyond ``ONE_TASK_ROWS`` the order is split at approximate quantiles:
+    totals per bucket become offsets, and each bucket is scanned by its own task. The result is exact for any split points.
     """
     by = list(by or [])
     per_value = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(*(c.alias(n) for n, c in sums.items()))
     order = F.col(value).desc() if descending else F.col(value).asc()
     total = W.partitionBy(*by)
-    if buckets <= 1:
+    if buckets > 1:
+        per_value = cut_lineage(per_value)
+    if buckets <= 1 or per_value.count() <= ONE_TASK_ROWS:
         running = total.orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
         return per_value.select("*", *(F.sum(n).over(running).alias(f"cum_{n}") for n in sums),
                                 *(F.sum(n).over(total).alias(f"total_{n}") for n in sums))
-    per_value = cut_lineage(per_value)
     probs = [i / buckets for i in range(1, buckets)]
     edges = sorted(set(per_value.select(F.col(value).cast("double")).approxQuantile(value, probs, 0.5 / buckets)))
     split = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol="_v", outputCol="_bucket")
@@ -76,22 +80,38 @@ def max_rank(df: DataFrame, value: str, buckets: int = 1, name: str = "rank") ->
     return run.select(value, F.col("cum_n").alias(name))
 
 
-def grouped_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float], buckets: int = 1) -> DataFrame:
-    """Linear-interpolation quantiles per group, one row each, from value counts with running totals (no group is collected)."""
-    run = cumulative_by_value(df, value, {"n": F.count(F.lit(1))}, by=by, buckets=buckets).withColumn("_v", F.col(value).cast("double"))
+def quantile_rows(df: DataFrame, by: list[str], value: str, probs: list[float], buckets: int = 1) -> DataFrame:
+    """Linear-interpolation quantiles per group as rows ``(by, place, quantile)``.
+
+    A distinct value covers a run of ranks; it is kept only for the quantiles whose bracketing ranks fall into its run.
+    """
+    run = cumulative_by_value(df, value, {"n": F.count(F.lit(1))}, by=by, buckets=buckets)
+    first, last = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1
+    wanted = F.array(*(F.struct(F.lit(i).alias("place"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)))
 
-    def at(place: Column) -> Column:
-        return F.min(F.when(F.col("cum_n") > place, F.col("_v")))
-    place = {n: (F.col("total_n") - 1) * F.lit(p) for n, p in probs.items()}
-    ends = run.groupBy(*by).agg(*(c for n, h in place.items() for c in (
-        at(F.floor(h)).alias(f"lo_{n}"), at(F.ceil(h)).alias(f"hi_{n}"), F.max(h - F.floor(h)).alias(f"part_{n}"))))
-    return ends.select(*by, *((F.col(f"lo_{n}") + (F.col(f"hi_{n}") - F.col(f"lo_{n}")) * F.col(f"part_{n}")).alias(n) for n in probs))
+    def covers(p: Column) -> Column:
+        h = (F.col("total_n") - 1) * p
+        return F.floor(h).between(first, last) | F.ceil(h).between(first, last)
+    hits = run.select(*by, F.col(value).cast("double").alias("_v"), first.alias("_f"), last.alias("_l"), "total_n",
+                      F.explode(F.filter(wanted, lambda x: covers(x["p"]))).alias("_q"))
+    h = (F.col("total_n") - 1) * F.col("_q.p")
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when(rank.between(F.col("_f"), F.col("_l")), F.col("_v")))
+    ends = hits.groupBy(*by, F.col("_q.place").alias("place")).agg(at(F.floor(h)).alias("lo"), at(F.ceil(h)).alias("hi"), F.max(h - F.floor(h)).alias("part"))
+    return ends.select(*by, "place", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")).alias("quantile"))
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: list[float], buckets: int = 1) -> list[float]:
-    """Linear-interpolation quantiles from value counts; only the results reach the driver."""
-    row = grouped_quantiles(df, [], value, {f"q{i}": p for i, p in enumerate(probs)}, buckets).first()
-    return [float("nan") if v is None else float(v) for v in row]
+    """Linear-interpolation quantiles of a column; only the results reach the driver."""
+    found = {r["place"]: r["quantile"] for r in quantile_rows(df, [], value, probs, buckets).collect()}
+    return [found.get(i, float("nan")) for i in range(len(probs))]
+
+
+def grouped_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float], buckets: int = 1) -> DataFrame:
+    """Named quantiles per group, one row each (no group is collected)."""
+    rows = quantile_rows(df, by, value, list(probs.values()), buckets)
+    return rows.groupBy(*by).agg(*(F.max(F.when(F.col("place") == i, F.col("quantile"))).alias(n) for i, n in enumerate(probs)))
 
 
 def weighted_quantiles(df: DataFrame, value: str, weight: str, probs: list[float], old_style: bool = False, buckets: int = 1) -> list[float]:

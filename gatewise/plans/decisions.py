@@ -1 +1,103 @@
-"""Placeholder."""
+"""Registered decision queries: payload features, standard scores, decisions and replay monitoring."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gatewise.functions.scalars import year_month
+from gatewise.operators import decide as D, models as G
+from gatewise.operators.aggregates import overlap_rates, percent_pivot, value_shares
+from gatewise.plans.evaluation import _r
+from gatewise.plans.expressions import COUNTRIES, KEYWORDS
+from gatewise.plans.registry import query
+from gatewise.sources.standins import load
+
+HIGH, MEDIUM = 700, 300
+PAIRS = [(a, b) for a, b, _ in COUNTRIES]
+# A small linear score, so that reasons can be checked exactly.
+COEFFICIENTS = {"age_at_completion": -0.03125, "company_age_months": -0.015625, "failed_rules": 0.375, "years_to_id_expiry": 0.0625}
+MEANS = {"age_at_completion": 42.0, "company_age_months": 24.0, "failed_rules": 2.0, "years_to_id_expiry": 4.0}
+
+
+def payloads(spark, d):
+    return D.payload_from_members(load(spark, d, "members"), KEYWORDS, ["company_id", "score", "is_app_fraud"])
+
+
+_MAP = "MAP {" + ", ".join(f"'{a}': '{a}', '{b}': '{a}'" for a, b in PAIRS) + "}"
+_AREA = "CASE WHEN COALESCE(t, '') IN ('', 'none', 'None', 'null') OR NOT length(o) BETWEEN 2 AND 4 THEN 'Undefined' ELSE regexp_replace(o, '[0-9]', '', 'g') END"
+
+
+@query("payload_features", ("members",), f"""
+s AS (SELECT *, trim(postcode_raw) AS t, CASE WHEN length(trim(postcode_raw)) <= 4 THEN trim(postcode_raw) ELSE left(replace(trim(postcode_raw), ' ', ''), greatest(length(replace(trim(postcode_raw), ' ', '')) - 3, 0)) END AS o FROM members)
+SELECT company_id, identity_address_fail AS individual_identity_address, COALESCE({_MAP}[idcountry_raw], 'Undefined') AS applicant_idcountry_issue, {_AREA} AS applicant_postcode,
+  CASE WHEN nationality_raw IS NULL OR nationality_raw = 'null' THEN 'Undefined' ELSE array_to_string(list_transform(string_split(nationality_raw, ' '), lambda x: COALESCE({_MAP}[x], 'Undefined')), ',') END AS applicant_nationality,
+  CASE WHEN sic_raw IS NULL THEN 'Undefined' ELSE array_to_string(list_filter(list_transform(string_split(sic_raw, ','), lambda x: trim(x)), lambda x: x <> ''), ',') END AS company_sic,
+  COALESCE(icc_raw, 'Undefined') AS company_icc, CASE WHEN regexp_matches(email_raw, '[0-9]') THEN 1 ELSE 0 END AS applicant_email_numeric,
+  CAST(GREATEST(0, LEAST(10, years_to_id_expiry)) AS DOUBLE) AS years, CASE WHEN applicant_id_type = 'Undefined' THEN 'Undefined' ELSE applicant_id_type END AS applicant_id_type, structure_level AS company_structurelevelwise,
+  ROUND(date_diff('day', incorporated_on, created_on) / 30.436875, 6) AS company_age FROM s""")
+def payload_features(spark, d):
+    f = D.payload_features(payloads(spark, d), PAIRS, ["company_id"])
+    return f.select("company_id", "individual_identity_address", "applicant_idcountry_issue", "applicant_postcode", F.array_join("applicant_nationality", ",").alias("applicant_nationality"),
+                    F.array_join("company_sic", ",").alias("company_sic"), "company_icc", "applicant_email_numeric", F.col("applicant_years_to_id_expiry").alias("years"), "applicant_id_type",
+                    "company_structurelevelwise", F.round("company_age_at_completion", 6).alias("company_age"))
+
+
+_STD = f"CAST(round_even(CASE WHEN score >= {HIGH} THEN (score - {HIGH}) / (1000 - {HIGH}) * 397 + 602 WHEN score >= {MEDIUM} THEN (score - {MEDIUM}) / ({HIGH} - 1 - {MEDIUM}) * 201 + 400 ELSE score / {MEDIUM} * 198 + 201 END, 0) AS INTEGER)"
+
+
+@query("standardise_score", ("applications",), f"SELECT company_id, score, {_STD} AS rating FROM applications")
+def standardise_score(spark, d):
+    return load(spark, d, "applications").select("company_id", "score", D.standardise_score("score", HIGH, MEDIUM).alias("rating"))
+
+
+_PARTS = ", ".join(f"{c} * ({f} - {MEANS[f]}) AS p{i}" for i, (f, c) in enumerate(COEFFICIENTS.items()))
+_REASON = "CASE " + " ".join(f"WHEN p{i} = GREATEST(p0, p1, p2, p3) THEN '{f.upper()}'" for i, f in enumerate(COEFFICIENTS)) + " END"
+_DECIDED = f"""
+p AS (SELECT *, {_STD} AS rating, {_PARTS} FROM members),
+decided AS (SELECT *, score AS raw_rating, CASE WHEN rating <= 399 THEN 'LOW' WHEN rating <= 601 THEN 'MEDIUM' ELSE 'HIGH' END AS category, CASE WHEN rating <= 601 THEN 'BAU' ELSE 'EDD' END AS decision,
+  CASE WHEN rating > 601 THEN {_REASON} END AS reason FROM p)"""
+
+
+def decided(spark, d):
+    reason = G.top_reason(G.scorecard_contributions(COEFFICIENTS, MEANS))
+    return D.decide(load(spark, d, "members"), "score", HIGH, MEDIUM, reason)
+
+
+@query("decide_scores", ("members",), _DECIDED + " SELECT company_id, raw_rating, rating, category, decision, reason FROM decided")
+def decide_scores(spark, d):
+    return decided(spark, d).select("company_id", "raw_rating", "rating", "category", "decision", "reason")
+
+
+@query("band_consistency", ("members",), _DECIDED + f" SELECT company_id FROM decided WHERE category <> CASE WHEN score >= {HIGH} THEN 'HIGH' WHEN score >= {MEDIUM} THEN 'MEDIUM' ELSE 'LOW' END")
+def band_consistency(spark, d):
+    return D.inconsistent_bands(decided(spark, d), HIGH, MEDIUM).select("company_id")
+
+
+@query("replay_categories", ("members",), _DECIDED + """ SELECT category, CAST(COUNT(*) AS BIGINT) AS n, ROUND(COUNT(*) / SUM(COUNT(*)) OVER (), 6) AS share, ROUND(AVG(is_app_fraud), 6) AS label_rate,
+  ROUND(AVG(is_app_fraud) / (SUM(SUM(is_app_fraud)) OVER () / SUM(COUNT(*)) OVER ()), 6) AS lift FROM decided GROUP BY 1""")
+def replay_categories(spark, d):
+    return _r(D.category_report(decided(spark, d), "is_app_fraud"))
+
+
+@query("replay_by_month", ("members",), _DECIDED + " SELECT strftime(created_on, '%Y-%m') AS year_month, " + ", ".join(
+    f"ROUND(100.0 * SUM(CASE WHEN category = '{c}' THEN 1 ELSE 0 END) / COUNT(*), 2) AS \"{c}\"" for c in ["LOW", "MEDIUM", "HIGH"]) + " FROM decided GROUP BY 1")
+def replay_by_month(spark, d):
+    return percent_pivot(decided(spark, d).withColumn("year_month", year_month("created_on")), "year_month", "category", ["LOW", "MEDIUM", "HIGH"])
+
+
+@query("replay_overlap", ("members",), _DECIDED + " " + " UNION ALL ".join(f"SELECT '{n}' AS measure, ROUND(AVG(CASE WHEN {c} THEN 1.0 ELSE 0.0 END), 6) AS rate FROM decided" for n, c in [
+    ("rules", "failed_rules >= 3"), ("model", "decision = 'EDD'"), ("rules_or_model", "failed_rules >= 3 OR decision = 'EDD'"), ("rules_and_model", "failed_rules >= 3 AND decision = 'EDD'"), ("any", "failed_rules >= 3 OR decision = 'EDD'")]))
+def replay_overlap(spark, d):
+    return _r(overlap_rates(decided(spark, d), {"rules": F.col("failed_rules") >= 3, "model": F.col("decision") == "EDD"}))
+
+
+@query("replay_reasons", ("members",), _DECIDED + " SELECT reason, CAST(COUNT(*) AS BIGINT) AS n, ROUND(COUNT(*) / SUM(COUNT(*)) OVER (), 6) AS share FROM decided WHERE category = 'HIGH' GROUP BY 1")
+def replay_reasons(spark, d):
+    return _r(value_shares(decided(spark, d).filter("category = 'HIGH'"), "reason"))
+
+
+@query("replay_sample_decisions", ())
+def replay_sample_decisions(spark, d):
+    from gatewise.operators.weights import stratified_sample
+    m = stratified_sample(load(spark, d, "members").withColumn("year_month", year_month("created_on")), "year_month", "company_id", 0.05)
+    return D.decide(m, "score", HIGH, MEDIUM).select("company_id", "year_month", "raw_rating", "rating", "category", "decision")

@@ -1 +1,104 @@
-"""Placeholder."""
+"""Registered streaming queries: each runs a bounded file stream to its end and returns what it produced."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gatewise.operators import decide as D
+from gatewise.plans.decisions import HIGH, MEDIUM
+from gatewise.plans.registry import query
+from gatewise.sources.standins import load
+from gatewise.streaming import decisions as S
+
+
+def events(spark, d):
+    return S.event_stream(spark, d, "events", "ts")
+
+
+def _decide(df):
+    scored = df.withColumn("score", (F.col("event_id") * 37 + F.floor("value").cast("bigint")) % 1001)
+    return D.decide(scored, "score", HIGH, MEDIUM).select("event_id", "user_id", "raw_rating", "rating", "category", "decision")
+
+
+_STD = f"CAST(round_even(CASE WHEN score >= {HIGH} THEN (score - {HIGH}) / (1000 - {HIGH}) * 397 + 602 WHEN score >= {MEDIUM} THEN (score - {MEDIUM}) / ({HIGH} - 1 - {MEDIUM}) * 201 + 400 ELSE score / {MEDIUM} * 198 + 201 END, 0) AS INTEGER)"
+
+
+@query("stream_decisions", (), f"""
+s AS (SELECT event_id, user_id, (event_id * 37 + CAST(floor(value) AS BIGINT)) % 1001 AS score FROM events), r AS (SELECT *, {_STD} AS rating FROM s)
+SELECT event_id, user_id, score AS raw_rating, rating, CASE WHEN rating <= 399 THEN 'LOW' WHEN rating <= 601 THEN 'MEDIUM' ELSE 'HIGH' END AS category, CASE WHEN rating <= 601 THEN 'BAU' ELSE 'EDD' END AS decision FROM r""")
+def stream_decisions(spark, d):
+    return S.available_rows(S.decide_stream(events(spark, d), _decide), "decide", "append")
+
+
+@query("stream_rates", (), """
+SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, CAST(COUNT(*) AS BIGINT) AS n, ROUND(AVG(value), 6) AS mean_value FROM events GROUP BY 1, 2""")
+def stream_rates(spark, d):
+    out = S.available_rows(S.window_rates(events(spark, d), "ts", "event_type", "value", "1 day", "1 day"), "rates", "complete")
+    return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("mean_value", 6).alias("mean_value"))
+
+
+@query("stream_sliding_rates", (), """
+w AS (SELECT ts, event_type, value, unnest([0, 1]) AS back FROM events)
+SELECT strftime(date_trunc('day', ts) - back * INTERVAL 1 DAY, '%Y-%m-%d') AS day, event_type, CAST(COUNT(*) AS BIGINT) AS n, ROUND(AVG(value), 6) AS mean_value FROM w GROUP BY 1, 2""")
+def stream_sliding_rates(spark, d):
+    out = S.available_rows(S.window_rates(events(spark, d), "ts", "event_type", "value", "2 days", "1 day", "1 day"), "sliding", "complete")
+    return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("mean_value", 6).alias("mean_value"))
+
+
+@query("stream_sessions", (), """
+g AS (SELECT user_id, ts, CASE WHEN ts - LAG(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+s AS (SELECT user_id, ts, SUM(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, strftime(MIN(ts), '%Y-%m-%d %H:%M:%S') AS session_start, CAST(COUNT(*) AS BIGINT) AS n FROM s GROUP BY user_id, k""")
+def stream_sessions(spark, d):
+    out = S.available_rows(S.sessions(events(spark, d), "ts", "user_id", "6 hours", "1 day"), "sessions", "complete")
+    return out.select("user_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "n")
+
+
+@query("stream_dedupe", (), "SELECT CAST(COUNT(*) AS BIGINT) AS n, CAST(SUM(event_id) AS BIGINT) AS id_sum FROM events")
+def stream_dedupe(spark, d):
+    """Every event is sent twice; the stream keeps one copy of each."""
+    twice = events(spark, d).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    once = S.available_rows(S.drop_resent(twice, "ts", ["event_id"], "1 hour").select("event_id", "ts"), "dedupe", "append")
+    return once.agg(F.count("*").alias("n"), F.sum("event_id").alias("id_sum"))
+
+
+_LATEST = "SELECT user_id AS \"key\", event_id, payload FROM (SELECT user_id, event_id, props AS payload, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1"
+
+
+@query("stream_latest_batches", (), _LATEST)
+def stream_latest_batches(spark, d):
+    target = S.new_state_folder(spark, "latest-out")
+    S.latest_by_batch(events(spark, d), "user_id", "ts", "event_id", "props", target, S.new_state_folder(spark, "latest"))
+    return spark.read.parquet(f"{target}/batch-0").select("key", "event_id", "payload")
+
+
+@query("stream_latest_state", (), _LATEST)
+def stream_latest_state(spark, d):
+    previous = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        out = S.available_rows(S.latest_state(events(spark, d), "user_id", "ts", "event_id", "props"), "state", "update")
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", previous)
+    newest = out.groupBy("key").agg(F.max_by(F.struct("event_id", "payload"), F.struct("at", "event_id")).alias("r"))
+    return newest.select("key", "r.event_id", "r.payload")
+
+
+@query("stream_label_maturation", (), """
+SELECT a.event_id, CAST(b.event_id AS BIGINT) AS report_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 3 DAY
+WHERE a.event_type = 'purchase' AND b.event_type = 'error'""")
+def stream_label_maturation(spark, d):
+    """Matched pairs; unmatched decisions are emitted only after the watermark has passed them."""
+    e = events(spark, d)
+    decided = e.filter("event_type = 'purchase'").select("event_id", "user_id", F.col("ts").alias("decided_at"))
+    reports = events(spark, d).filter("event_type = 'error'").select("user_id", F.col("ts").alias("reported_at"), F.col("event_id").alias("report_id"))
+    out = S.available_rows(S.mature_labels(decided, reports, "user_id", "decided_at", "reported_at", "report_id", 3, "1 day"), "labels", "append")
+    return out.filter("report_id IS NOT NULL").select("event_id", "report_id")
+
+
+@query("late_label_reports", (), """
+l AS (SELECT user_id, MAX(ts) AS at FROM events WHERE event_type = 'purchase' GROUP BY 1)
+SELECT CAST(COUNT(*) AS BIGINT) AS late_reports FROM events e JOIN l USING (user_id) WHERE e.event_type = 'error' AND e.ts > l.at + INTERVAL 1 DAY""")
+def late_label_reports(spark, d):
+    e = load(spark, d, "events")
+    return S.count_late(e.filter("event_type = 'error'"), e.filter("event_type = 'purchase'").select("user_id", F.col("ts").alias("decided_at")), "user_id", "decided_at", "ts", 1)
