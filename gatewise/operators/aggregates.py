@@ -16,7 +16,7 @@ def rate_by(df: DataFrame, keys: list[str], label: str, amount: str) -> DataFram
 def value_shares(df: DataFrame, column: str) -> DataFrame:
     """Frequencies and shares of each value."""
     counts = df.groupBy(column).agg(F.count("*").alias("n"))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy()))
+    return counts.withColumn("share", F.col("n") / counts.agg(F.sum("n")).scalar())
 
 
 def null_shares(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -58,13 +58,14 @@ def top_k_or_other(df: DataFrame, column: str, k: int, name: str, other: str = "
 
 
 def weighted_mean_std(df: DataFrame, value: str, weight: str, by: list[str] | None = None) -> DataFrame:
-    """Weighted mean and population standard deviation about it, from sums centred on the plain mean for precision."""
+    """Weighted mean and population standard deviation. Values are shifted by the overall mean before squaring, so no second join is needed."""
     x, w = F.col(value).cast("double"), F.col(weight).cast("double")
     usable = df.filter(x.isNotNull() & w.isNotNull())
-    groups = by or []
-    centre = usable.groupBy(*groups).agg((F.sum(w * x) / F.sum(w)).alias("mean"))
-    joined = usable.join(centre, groups) if groups else usable.withColumn("mean", centre.scalar())
-    return joined.groupBy(*groups).agg(F.first("mean").alias("mean"), F.sqrt(F.sum(w * (x - F.col("mean")) * (x - F.col("mean"))) / F.sum(w)).alias("std"))
+    shift = usable.agg(F.sum(w * x) / F.sum(w)).scalar()
+    moved = usable.withColumns({"_w": w, "_x": x - shift, "_shift": shift})
+    mass, first, second = F.sum("_w"), F.sum(F.col("_w") * F.col("_x")), F.sum(F.col("_w") * F.col("_x") * F.col("_x"))
+    spread = F.greatest(F.lit(0.0), second / mass - (first / mass) * (first / mass))
+    return moved.groupBy(*(by or [])).agg((F.first("_shift") + first / mass).alias("mean"), F.sqrt(spread).alias("std"))
 
 
 def describe(df: DataFrame, column: str, probs: list[float], buckets: int = 1) -> DataFrame:
@@ -80,7 +81,8 @@ def weighted_quantile_table(df: DataFrame, value: str, weight: str, probs: list[
 
 def share_of_total(df: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
     grouped = df.groupBy(*keys).agg(*(F.sum(m).alias(m) for m in measures))
-    return grouped.select(*keys, *(F.try_divide(F.col(m), F.sum(m).over(W.partitionBy())).alias(f"{m}_share") for m in measures))
+    whole = grouped.agg(F.struct(*(F.sum(m).alias(m) for m in measures))).scalar()
+    return grouped.withColumn("_t", whole).select(*keys, *(F.try_divide(F.col(m), F.col(f"_t.{m}")).alias(f"{m}_share") for m in measures))
 
 
 def percent_pivot(df: DataFrame, row: str, column: str, values: list[str]) -> DataFrame:

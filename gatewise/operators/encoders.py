@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gatewise.operators.aggregates import long_features
-from gatewise.operators.windows import edge_bin, exact_quantiles, quantile_edges
+from gatewise.operators.windows import cumulative_by_value, edge_bin, exact_quantiles, quantile_edges
 from gatewise.session import broadcast_if_small, cut_lineage
 
 
@@ -103,28 +103,32 @@ def fit_smoothed_encoding(counts: DataFrame, kind: str = "woe", weight: float =
     ``woe``: log ratio of the category's share of positives and of negatives (half a count added); ``target``: mean
     shrunk by a sigmoid of ``n - weight``; ``m``: m-estimate; ``james_stein``: mean shrunk by its variance ratio.
     """
-    total = W.partitionBy("feature")
-    all_n, all_y = F.sum("n").over(total), F.sum("y").over(total)
-    prior, mean = all_y / all_n, F.col("y") / F.col("n")
+    mean = F.col("y") / F.col("n")
+    totals = counts.groupBy("feature").agg(F.sum("n").alias("_n"), F.sum("y").alias("_y"), F.var_pop(mean).alias("_spread"), F.avg(1 / F.col("n")).alias("_inverse"))
+    all_n, all_y = F.col("_n"), F.col("_y")
+    prior = all_y / all_n
     own = prior * (1 - prior) / F.col("n")
-    between = F.greatest(F.lit(0.0), F.var_pop(mean).over(total) - F.avg(own).over(total))
+    between = F.greatest(F.lit(0.0), F.col("_spread") - prior * (1 - prior) * F.col("_inverse"))
     formulas = {
         "woe": F.log(((F.col("y") + 0.5) / (all_y + 1)) / ((F.col("n") - F.col("y") + 0.5) / (all_n - all_y + 1))),
         "target": prior + (mean - prior) / (1 + F.exp(-(F.col("n") - weight) / weight)),
         "m": (F.col("y") + prior * weight) / (F.col("n") + weight),
         "james_stein": prior + (mean - prior) * F.coalesce(F.try_divide(between, between + own), F.lit(0.0)),
     }
-    return counts.select("feature", "category", "n", "y", formulas[kind].alias("value"))
+    # One row per feature: safe to broadcast; the category table itself is neither collected nor ordered.
+    return counts.join(F.broadcast(totals), "feature").select("feature", "category", "n", "y", formulas[kind].alias("value"))
 
 
 def out_of_fold_encoding(df: DataFrame, feature: str, label: str, fold: str, weight: float = 10.0, suffix: str = "_encoded") -> DataFrame:
     """M-estimate encoding where each row's value comes from the other folds only: totals minus the fold's own counts."""
     own = df.groupBy(feature, fold).agg(F.count("*").alias("_n"), F.sum(label).alias("_y"))
-    category, in_fold, everything = W.partitionBy(feature), W.partitionBy(fold), W.partitionBy()
-    other_n = F.sum("_n").over(category) - F.col("_n")
-    other_y = F.sum("_y").over(category) - F.col("_y")
-    prior = (F.sum("_y").over(everything) - F.sum("_y").over(in_fold)) / (F.sum("_n").over(everything) - F.sum("_n").over(in_fold))
-    table = broadcast_if_small(own.select(F.col(feature).alias("_c"), F.col(fold).alias("_f"), ((other_y + prior * weight) / (other_n + weight)).alias(feature + suffix)))
+    per_fold = own.groupBy(fold).agg(F.sum("_n").alias("_fn"), F.sum("_y").alias("_fy"))
+    every = W.partitionBy()
+    priors = per_fold.select(fold, ((F.sum("_fy").over(every) - F.col("_fy")) / (F.sum("_fn").over(every) - F.col("_fn"))).alias("_prior"))
+    category = W.partitionBy(feature)
+    others = own.join(F.broadcast(priors), fold).select(feature, fold, "_prior", (F.sum("_n").over(category) - F.col("_n")).alias("_on"), (F.sum("_y").over(category) - F.col("_y")).alias("_oy"))
+    value = (F.col("_oy") + F.col("_prior") * weight) / (F.col("_on") + weight)
+    table = broadcast_if_small(others.select(F.col(feature).alias("_c"), F.col(fold).alias("_f"), value.alias(feature + suffix)))
     return df.join(table, F.col(feature).eqNullSafe(F.col("_c")) & (F.col(fold) == F.col("_f")), "left").drop("_c", "_f")
 
 
@@ -136,9 +140,10 @@ def ratio_table(df: DataFrame, features: list[str], label: str, threshold: float
     counts = category_counts(df, features, label)
     ratio = F.try_divide(F.col("y"), F.col("n") - F.col("y"))
     scored = counts.withColumn("ratio", ratio).withColumn("_order", F.coalesce("ratio", F.lit(float("inf"))))
-    place = W.partitionBy("feature").orderBy(F.col("_order").desc()).rangeBetween(W.unboundedPreceding, W.currentRow)
-    return scored.select("feature", "category", F.col("n").alias("total"), "y", "ratio", (F.col("_order") > threshold).cast("int").alias("risky"),
-                         F.count(F.lit(1)).over(place).alias("place"))
+    scored = cut_lineage(scored)
+    places = cumulative_by_value(scored, "_order", {"k": F.count(F.lit(1))}, ["feature"], descending=True, buckets=8)
+    return scored.join(places.select("feature", "_order", F.col("cum_k").alias("place")), ["feature", "_order"]).select(
+        "feature", "category", F.col("n").alias("total"), "y", "ratio", (F.col("_order") > threshold).cast("int").alias("risky"), "place")
 
 
 def risky_categories(table: DataFrame, feature: str) -> DataFrame:

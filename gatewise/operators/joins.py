@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from gatewise.functions.scalars import DAYS_PER_YEAR, count_level
 from gatewise.functions.similarity import name_similarity
 
 
@@ -102,3 +103,17 @@ def match_directors(applicants: DataFrame, directors: DataFrame, key: str, thres
         "first_similarity": name_similarity(F.lower(F.coalesce("first_name", F.lit(""))), F.col("director_first")),
         "last_similarity": name_similarity(F.lower(F.coalesce("last_name", F.lit(""))), F.col("director_last"))})
     return scored.filter((F.col("first_similarity") >= threshold) & (F.col("last_similarity") >= threshold))
+
+
+def director_features(applicants: DataFrame, directors: DataFrame, key: str) -> DataFrame:
+    """Average whole age of all directors on the company's date and their number as a level; without directors the applicant's own age.
+
+    ``applicants`` has the key, ``created_at`` and ``date_of_birth``. Directors' ages count from the first of their birth month.
+    """
+    born = directors.join(applicants.select(key, "created_at"), key).filter(F.col("director_dob").isNotNull())
+    age = F.date_diff("created_at", F.to_date(F.trunc("director_dob", "month"))) / F.lit(DAYS_PER_YEAR)
+    per_company = born.groupBy(key).agg(F.avg(age).alias("_age"))
+    sizes = directors.groupBy(key).agg(F.count("*").alias("_n"))
+    own = F.date_diff("created_at", "date_of_birth") / F.lit(DAYS_PER_YEAR)
+    joined = applicants.join(per_company, key, "left").join(sizes, key, "left")
+    return joined.select(*applicants.columns, F.coalesce("_age", own).cast("int").alias("directors_avg_age"), count_level("_n").alias("directors_level"))

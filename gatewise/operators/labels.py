@@ -48,15 +48,19 @@ DECISION_SCHEMA = ("identity struct<membership_id: string>, metadata struct<crea
                    "decision struct<risk_category: string, final_decision: string, risk_rating: double, failed_business_rules: string>")
 
 
+def parsed_once(column: str, schema: str) -> Column:
+    """Top-level fields of a JSON column. Generated, so that filters and later projections do not repeat the parse."""
+    return F.inline(F.array(F.from_json(column, schema)))
+
+
 def parse_decisions(decisions: DataFrame) -> DataFrame:
     """Typed columns of the decision documents; documents that do not parse are dropped (they have no member)."""
-    doc = F.from_json("data", DECISION_SCHEMA)
-    parsed = decisions.select("decision_id", doc.alias("d"))
+    parsed = decisions.select("decision_id", parsed_once("data", DECISION_SCHEMA))
     return parsed.select(
-        F.col("d.identity.membership_id").try_cast("bigint").alias("member_id"), F.col("d.metadata.created_at").try_cast("date").alias("created_at"),
-        "decision_id", F.col("d.metadata.versions.risk_engine_version").alias("risk_engine_version"),
-        F.col("d.decision.risk_category").alias("risk_category"), F.col("d.decision.final_decision").alias("final_decision"),
-        F.col("d.decision.risk_rating").alias("risk_rating"), F.col("d.decision.failed_business_rules").alias("failed_business_rules"),
+        F.col("identity.membership_id").try_cast("bigint").alias("member_id"), F.col("metadata.created_at").try_cast("date").alias("created_at"),
+        "decision_id", F.col("metadata.versions.risk_engine_version").alias("risk_engine_version"),
+        F.col("decision.risk_category").alias("risk_category"), F.col("decision.final_decision").alias("final_decision"),
+        F.col("decision.risk_rating").alias("risk_rating"), F.col("decision.failed_business_rules").alias("failed_business_rules"),
     ).filter(F.col("member_id").isNotNull())
 
 
@@ -231,13 +235,13 @@ REGISTRY_SCHEMA = ("data struct<companyNumber: string, address: struct<postcode:
 
 def parse_registry(docs: DataFrame) -> DataFrame:
     """Typed columns of registry documents; the director list stays as JSON text."""
-    p = docs.select("doc", F.from_json("doc", REGISTRY_SCHEMA).alias("p"))
+    p = docs.select(parsed_once("doc", REGISTRY_SCHEMA))
     return p.select(
-        F.col("p.data.companyNumber").alias("registry_number"), F.col("p.metadata.created_at").try_cast("date").alias("registry_created_at"),
-        F.col("p.data.address.postcode").alias("company_postcode"), F.col("p.data.address.countryCode").alias("company_countrycode"),
-        F.col("p.data.incorporationDate").alias("incorporation_date"), F.col("p.data.numberOfEmployees").alias("employees"),
-        F.col("p.data.directorsTree").alias("directors"), F.col("p.data.structureLevelWise.`1`").alias("structure_level"),
-        F.col("p.data.status").alias("registry_status")).filter(F.col("registry_number").isNotNull())
+        F.col("data.companyNumber").alias("registry_number"), F.col("metadata.created_at").try_cast("date").alias("registry_created_at"),
+        F.col("data.address.postcode").alias("company_postcode"), F.col("data.address.countryCode").alias("company_countrycode"),
+        F.col("data.incorporationDate").alias("incorporation_date"), F.col("data.numberOfEmployees").alias("employees"),
+        F.col("data.directorsTree").alias("directors"), F.col("data.structureLevelWise.`1`").alias("structure_level"),
+        F.col("data.status").alias("registry_status")).filter(F.col("registry_number").isNotNull())
 
 
 def registry_match(companies: DataFrame, memberships: DataFrame, docs: DataFrame, from_date: str, to_date: str) -> DataFrame:

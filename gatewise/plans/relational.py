@@ -102,10 +102,27 @@ def dictionary_lookup(spark, d):
     return (J.lookup(load(spark, d, "events"), "event_type", table, "k", "kind", "kind", "Undefined").groupBy("event_type", "kind").agg(F.count("*").alias("n")))
 
 
+_DOCS = """
+docs AS (SELECT CASE WHEN json_valid(doc) THEN CAST(doc AS JSON) END AS j FROM registry_docs),
+typed AS (SELECT j->>'$.data.companyNumber' AS registry_number, CAST(j->>'$.metadata.created_at' AS DATE) AS made, j->>'$.data.address.postcode' AS p, CAST(j->>'$.data.numberOfEmployees' AS BIGINT) AS e,
+  j->>'$.data.status' AS s, j->>'$.data.directorsTree' AS directors FROM docs WHERE j IS NOT NULL),
+first_doc AS (SELECT registry_number, directors FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY registry_number ORDER BY made, p, e, s, directors) AS rn FROM typed) WHERE rn = 1),
+base AS (SELECT c.company_id, c.member_id, c.created_at, f.directors FROM companies c JOIN memberships m ON c.member_id = m.member_id AND m.is_completed = 1 LEFT JOIN first_doc f ON c.registry_number = f.registry_number
+  WHERE c.created_at BETWEEN DATE '2023-01-01' AND DATE '2023-12-31'),
+entry AS (SELECT company_id, created_at, unnest(CAST(json_extract(directors, '$[*]') AS JSON[])) AS o FROM base WHERE directors IS NOT NULL),
+officer AS (SELECT company_id, created_at, o->>'$.officerId' AS officer_id, lower(o->>'$.person.firstName') AS director_first, lower(o->>'$.person.lastName') AS director_last, CAST(o->>'$.person.dateOfBirth' AS DATE) AS dob,
+  CASE WHEN json_array_length(o, '$.person.nationalities') = 0 THEN '' ELSE array_to_string(CAST(json_extract(o, '$.person.nationalities') AS VARCHAR[]), ',') END AS nationalities FROM entry)"""
+_DIRECTOR_TABLES = ("companies", "memberships", "registry_docs", "users")
+
+
+def _registry(spark, d):
+    from gatewise.operators.labels import registry_match
+    return registry_match(load(spark, d, "companies"), load(spark, d, "memberships"), load(spark, d, "registry_docs"), "2023-01-01", "2023-12-31")
+
+
 @query("director_match", ())
 def director_match(spark, d):
-    from gatewise.operators.labels import registry_match
-    docs = registry_match(load(spark, d, "companies"), load(spark, d, "memberships"), load(spark, d, "registry_docs"), "2023-01-01", "2023-12-31")
+    docs = _registry(spark, d)
     directors = J.flatten_directors(docs.filter("directors IS NOT NULL"), "company_id", "directors")
     scans = load(spark, d, "members").select("company_id", "first_name", "last_name")
     born = docs.select("company_id", F.element_at(F.from_json("directors", "array<struct<person: struct<dateOfBirth: string>>>"), 1).getField("person").getField(
@@ -113,15 +130,26 @@ def director_match(spark, d):
     return J.match_directors(scans.join(born, "company_id"), directors, "company_id").select("company_id", "officer_id", "first_similarity", "last_similarity", "nationalities")
 
 
-@query("directors_to_rows", ())
+@query("directors_to_rows", _DIRECTOR_TABLES, _DOCS + " SELECT company_id, officer_id, director_first, director_last, CAST(dob AS VARCHAR) AS director_dob, nationalities FROM officer")
 def directors_to_rows(spark, d):
-    from gatewise.operators.labels import registry_match
-    docs = registry_match(load(spark, d, "companies"), load(spark, d, "memberships"), load(spark, d, "registry_docs"), "2023-01-01", "2023-12-31")
-    flat = J.flatten_directors(docs.filter("directors IS NOT NULL"), "company_id", "directors")
+    flat = J.flatten_directors(_registry(spark, d).filter("directors IS NOT NULL"), "company_id", "directors")
     return flat.select("company_id", "officer_id", "director_first", "director_last", F.col("director_dob").cast("string").alias("director_dob"),
                        F.array_join("nationalities", ",").alias("nationalities"))
 
 
+@query("director_features", _DIRECTOR_TABLES, _DOCS + """,
+ages AS (SELECT company_id, AVG(date_diff('day', CAST(date_trunc('month', dob) AS DATE), created_at) / 365.2425) AS age, COUNT(*) AS n FROM officer GROUP BY 1),
+born AS (SELECT member_id, MIN(date_of_birth) FILTER (created_at = DATE '2023-01-02') AS dob FROM users GROUP BY 1)
+SELECT b.company_id, CAST(floor(COALESCE(a.age, date_diff('day', u.dob, b.created_at) / 365.2425)) AS INTEGER) AS directors_avg_age,
+  CASE WHEN n = 1 THEN '1' WHEN n = 2 THEN '2' WHEN n >= 3 THEN '3+' ELSE 'Undefined' END AS directors_level FROM base b LEFT JOIN ages a ON b.company_id = a.company_id JOIN born u ON b.member_id = u.member_id""")
+def director_features(spark, d):
+    docs = _registry(spark, d)
+    users = load(spark, d, "users").groupBy("member_id").agg(F.min_by("date_of_birth", "created_at").alias("date_of_birth"))
+    applicants = docs.join(users, "member_id").select("company_id", "created_at", "date_of_birth")
+    directors = J.flatten_directors(docs.filter("directors IS NOT NULL"), "company_id", "directors")
+    return J.director_features(applicants, directors, "company_id").select("company_id", "directors_avg_age", "directors_level")
+
+
 @query("semi_anti_join", (), """
 SELECT c_mktsegment, CAST(SUM(CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') THEN 1 ELSE 0 END) AS BIGINT) AS with_pending,
   CAST(SUM(CASE WHEN NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') THEN 1 ELSE 0 END) AS BIGINT) AS without_pending
