@@ -59,9 +59,9 @@ def broadcast_if_small(table: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) ->
 
 
 def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A lookup table written in code: VALUES with bound parameters. It is bounded by the source text, hence broadcast."""
+    """A lookup table written in code, generated from constants by one task. It is bounded by the source text, hence broadcast."""
     if len(rows) > 10_000:
         raise ValueError("literal lookup tables are for small fixed data; read larger ones from storage")
-    names = ", ".join(field.split()[0] for field in schema.split(","))
-    marks = ", ".join("(" + ", ".join("?" for _ in row) + ")" for row in rows)
-    return F.broadcast(spark.sql(f"SELECT * FROM VALUES {marks} AS t({names})", args=[v for row in rows for v in row]))
+    fields = [field.split() for field in schema.split(",")]
+    entries = [F.struct(*(F.lit(v).cast(kind).alias(name) for (name, kind), v in zip(fields, row))) for row in rows]
+    return F.broadcast(spark.range(0, 1, 1, 1).select(F.inline(F.array(*entries))))

@@ -121,3 +121,10 @@ def test_stage_and_artefact_round_trip(spark, tmp_path):
     assert files.load_tables(spark, str(tmp_path / "fit"), ["a"])["a"].count() == 2
     files.write_metrics(df, str(tmp_path / "metrics"))
     assert spark.read.json(str(tmp_path / "metrics")).count() == 2
+
+
+def test_literal_table_keeps_pairs_together(spark):
+    from gatewise.operators.labels import MAIN_CATEGORY
+    from gatewise.session import literal_table
+    got = {r["a"]: r["b"] for r in literal_table(spark, list(MAIN_CATEGORY.items()), "a string, b string").collect()}
+    assert got == MAIN_CATEGORY
