@@ -21,7 +21,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from gatewise.operators import evaluate as V
 from gatewise.operators.windows import time_folds
-from gatewise.session import checkpoint_folder
+from gatewise.session import checkpoint_folder, cut_lineage
 
 
 def assemble(df: DataFrame, features: list[str]) -> DataFrame:
@@ -137,7 +137,7 @@ def fit_calibration(df: DataFrame, score: str, label: str, weight: str | None =
     both = df.select(F.col(score).cast("double").alias("_s"), F.explode(F.array(F.struct(F.lit(1.0).alias("y"), (w * target).alias("w")),
                                                                                 F.struct(F.lit(0.0).alias("y"), (w * (1 - target)).alias("w")))).alias("_r"))
     data = VectorAssembler(inputCols=["_s"], outputCol="features").transform(both.select("_s", "_r.y", "_r.w"))
-    return LogisticRegression(labelCol="y", weightCol="w", regParam=0.0, maxIter=100, tol=1e-9).fit(data)
+    return LogisticRegression(labelCol="y", weightCol="w", regParam=0.0, maxIter=50, tol=1e-7).fit(data)
 
 
 def calibrated(score: str, fit) -> Column:
@@ -220,7 +220,7 @@ def time_cross_validation(df: DataFrame, date: str, key: str, label: str, weight
 
     ``df`` carries assembled features. Long result ``(fold, split, population, metric, value)``.
     """
-    placed = time_folds(df, date, key, folds, within).persist()
+    placed = cut_lineage(time_folds(df, date, key, folds, within))
     out = None
     for f in range(1, folds + 1):
         rows = placed.filter(F.col("fold") <= f).withColumn("split", F.when(F.col("fold") == f, "Test").otherwise("Train"))
@@ -228,7 +228,7 @@ def time_cross_validation(df: DataFrame, date: str, key: str, label: str, weight
         model = fit_boosted(train, label, weight, **params)
         fit = fit_calibration(with_probability(train, model), "probability", label, weight)
         scored = with_probability(rows, model).withColumn("_p", calibrated("probability", fit)).withColumn("score", V.to_score("_p"))
-        scored = scored.select("split", "score", label, weight, approved)
+        scored = cut_lineage(scored.select("split", "score", label, weight, approved))
         people = F.when(F.col(approved) == 1, F.array(F.lit("RM"), F.lit("KM"))).otherwise(F.array(F.lit("RM")))
         areas = V.auc(scored.withColumn("population", F.explode(people)), "score", label, weight, ["split", "population"])
         metric = areas.select(F.lit(f).alias("fold"), "split", "population", F.lit("auc").alias("metric"), F.col("auc").alias("value"))

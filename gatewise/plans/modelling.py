@@ -9,6 +9,7 @@ from gatewise.operators.weights import augment_rejects, class_weights
 from gatewise.plans.decisions import COEFFICIENTS, MEANS
 from gatewise.plans.evaluation import WEIGHT, _r
 from gatewise.plans.registry import query
+from gatewise.session import cut_lineage
 from gatewise.sources.standins import load
 
 CATEGORIES = ["applicant_id_type", "company_icc", "applicant_country"]
@@ -21,7 +22,7 @@ def prepared(spark, d):
     """Members with encoded categories and the assembled vector; encoders see approved training rows only."""
     m = load(spark, d, "members").select("company_id", "created_on", "is_approved", "is_app_fraud", "app_fraud_amount", "data_type", F.expr(WEIGHT).cast("double").alias("w"), *CATEGORIES, *NUMBERS)
     table = E.fit_smoothed_encoding(E.category_counts(m.filter("is_approved = 1 AND data_type = 'train'"), CATEGORIES, "is_app_fraud"), "woe")
-    return G.assemble(E.apply_encoding(m, table, CATEGORIES), FEATURES).persist()
+    return cut_lineage(G.assemble(E.apply_encoding(m, table, CATEGORIES), FEATURES))
 
 
 def km_train(frame):
