@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -29,18 +29,13 @@ def build_session(app: str = "gatewise", master: str | None = None, shuffle_part
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster; a temporary one only where none is set (tests)."""
+    """The shared checkpoint folder the cluster names; where none is named, a folder beside the warehouse, on every master."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
-    if named:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(named)
-        return named
     if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="gatewise-checkpoint-"))
-    return context.getCheckpointDir()
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        context.setCheckpointDir(named or f"{warehouse}/_checkpoints")
+    return named or context.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -49,6 +44,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+STAGES: list[str] = []
+
+
+def staged(df: DataFrame, partitions: list[str] | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: unlike a checkpoint this keeps size statistics and column pruning."""
+    spark = df.sparkSession
+    folder = f"{checkpoint_folder(spark)}/stages/{uuid.uuid4().hex}"
+    STAGES.append(folder)
+    (df.write.partitionBy(*partitions) if partitions else df.write).parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def drop_stages(spark: SparkSession) -> int:
+    """Delete the tables ``staged`` has written. Call it when no frame built on them is needed any more; returns their number."""
+    dropped = 0
+    while STAGES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(STAGES.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        dropped += 1
+    return dropped
+
+
 def broadcast_if_small(table: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """Materialise a fitted table and broadcast it only when its counted size allows; otherwise leave a shuffle join.
 
