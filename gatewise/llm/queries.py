@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gatewise.llm import licenses, lines, mixing, ngram_join, urls
-from gatewise.llm.common import table
+from gatewise.llm import embeddings, hmm, language, licenses, lines, mixing, ngram_join, urls
+from gatewise.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,3 +77,22 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_ngram_jaccard", sql=None)
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, folder, "documents"))
+
+
+@query("op3_embedding_near_dedup")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, folder, "embeddings"))
+
+
+@query("op7_language_id")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = language.identify_languages(docs, learn=remainder(F.col("doc_id"), 4) != 2)
+    return found.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query("op10_hmm_score")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    scored = hmm.score_texts(docs, learn=remainder(F.col("doc_id"), 7) != 2)
+    return scored.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
