@@ -87,28 +87,34 @@ def _encode(known: dict[str, tuple[int, int, float, float]], offset: int):
 
 
 def forward(sequences: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> np.ndarray:
-    """Natural log likelihood of each sequence by the scaled forward recursion, many sequences in step. ``emit`` is (symbols, states)."""
+    """Natural log likelihood of each sequence by the scaled forward recursion, many sequences in step.
+
+    ``emit`` is (states, symbols). States come first in every array, so each numpy call runs along the sequences.
+    """
     out = np.zeros(len(sequences))
+    onward, first_step = np.ascontiguousarray(move.T), start[:, None]
     order = np.argsort([-len(s) for s in sequences], kind="stable")
     for lo in range(0, len(order), LANES):
         lane = order[lo : lo + LANES]
         lengths = np.array([len(sequences[k]) for k in lane])
         flat = np.concatenate([sequences[k] for k in lane])
         first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+        live = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")
         alpha, log = None, np.zeros(len(lane))
         for t in range(int(lengths[0])):
-            live = int(np.searchsorted(-lengths, -t, "left"))
-            b = emit[flat[first[:live] + t]]
-            alpha = b * start if t == 0 else (alpha[:live] @ move) * b
-            scale = alpha.sum(axis=1)
-            alpha /= scale[:, None]
-            log[:live] += np.log(scale)
+            n = live[t]
+            b = emit.take(flat[first[:n] + t], axis=1)
+            b *= first_step if t == 0 else onward @ alpha[:, :n]
+            scale = b.sum(axis=0)
+            b /= scale
+            alpha = b
+            log[:n] += np.log(scale)
         out[lane] = log
     return out
 
 
 def expected_counts(sequences: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch counts (starts, moves, emissions) of sequences about as long as each other, in step."""
+    """Baum-Welch counts (starts, moves, emissions) of sequences about as long as each other, in step. States come first."""
     states = len(start)
     lengths = np.array([len(s) for s in sequences])
     order = np.argsort(-lengths, kind="stable")
@@ -116,29 +122,33 @@ def expected_counts(sequences: list[np.ndarray], start: np.ndarray, move: np.nda
     grid = np.zeros((longest, len(order)), np.int32)
     for k, o in enumerate(order):
         grid[: lengths[k], k] = sequences[o]
-    live = [int(np.searchsorted(-lengths, -t, "left")) for t in range(longest)]
-    alpha, scale = np.zeros((longest, len(order), states)), np.ones((longest, len(order)))
+    live = np.searchsorted(-lengths, -np.arange(longest), "left")
+    onward = np.ascontiguousarray(move.T)
+    alpha: list[np.ndarray] = []
+    ahead_of: list[np.ndarray] = []
     for t in range(longest):
-        a = emit[grid[t, : live[t]]] * (start if t == 0 else alpha[t - 1, : live[t]] @ move)
-        scale[t, : live[t]] = a.sum(axis=1)
-        alpha[t, : live[t]] = a / scale[t, : live[t], None]
-    beta = np.ones((len(order), states))
-    moves, emissions = np.zeros((states, states)), np.zeros(emit.shape)
+        b = emit.take(grid[t, : live[t]], axis=1)
+        a = b * (start[:, None] if t == 0 else onward @ alpha[-1][:, : live[t]])
+        scale = a.sum(axis=0)
+        a /= scale
+        b /= scale
+        alpha.append(a)
+        ahead_of.append(b)
+    beta = np.ones((states, len(order)))
+    moves = np.zeros((states, states))
     for t in range(longest - 1, -1, -1):
         n = live[t]
         if t + 1 < longest:
             m = live[t + 1]
-            ahead = emit[grid[t + 1, :m]] * beta[:m] / scale[t + 1, :m, None]
-            moves += (alpha[t, :m].T @ ahead) * move
-            beta[:m] = ahead @ move.T
-        gamma = alpha[t, :n] * beta[:n]
-        gamma /= gamma.sum(axis=1, keepdims=True)
-        alpha[t, :n] = gamma
-    held = np.arange(len(order)) < np.array(live)[:, None]
-    seen, weights = grid[held], alpha[held]
-    for k in range(states):
-        emissions[:, k] = np.bincount(seen, weights[:, k], minlength=len(emit))
-    return alpha[0].sum(axis=0), moves, emissions
+            ahead = ahead_of[t + 1] * beta[:, :m]
+            moves += alpha[t][:, :m] @ ahead.T
+            beta[:, :m] = move @ ahead
+        gamma = alpha[t]
+        gamma *= beta[:, :n]
+        gamma /= gamma.sum(axis=0)
+    held = np.concatenate([grid[t, : live[t]] for t in range(longest)])
+    emissions = np.stack([np.bincount(held, np.concatenate([a[k] for a in alpha]), minlength=emit.shape[1]) for k in range(states)])
+    return alpha[0].sum(axis=1), moves * move, emissions
 
 
 def _learn(start: np.ndarray, move: np.ndarray, emit: np.ndarray, span: int, budget: int):
@@ -170,7 +180,7 @@ def _learn(start: np.ndarray, move: np.ndarray, emit: np.ndarray, span: int, bud
                     fold()
                     size = 0
         fold()
-        table = np.concatenate((totals[0][None, :], totals[1], totals[2]))
+        table = np.concatenate((totals[0][None, :], totals[1], totals[2].T))
         pieces = [table[k : k + 1024].tobytes() for k in range(0, len(table), 1024)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.binary())], names=["piece", "counts"])
     return run
@@ -188,9 +198,9 @@ def train(sequences: DataFrame, weights: np.ndarray, states: int, rounds: int, s
     model alone (symbols x states). ``weights`` are the symbols' training counts, from which a fixed perturbation breaks the symmetry."""
     symbols = len(weights)
     rng = np.random.default_rng(11)
-    emit = (weights[:, None] + smoothing) * rng.uniform(0.5, 1.5, (symbols, states))
-    emit /= emit.sum(axis=0)
-    move = np.full((states, states), 1.0) + states * np.eye(states) * 0.1 + rng.uniform(0, 0.1, (states, states))
+    emit = (weights + smoothing) * rng.lognormal(0, 1.5, (states, symbols))
+    emit /= emit.sum(axis=1, keepdims=True)
+    move = np.full((states, states), 0.1) + 9.0 * np.eye(states)  # states last, so they settle on topics before word order
     move /= move.sum(axis=1, keepdims=True)
     start = np.full(states, 1 / states)
     for _ in range(rounds):
@@ -205,8 +215,8 @@ def train(sequences: DataFrame, weights: np.ndarray, states: int, rounds: int, s
         start = (table[0] + smoothing) / (table[0] + smoothing).sum()
         move = table[1 : states + 1] + smoothing
         move = move / move.sum(axis=1, keepdims=True)
-        emit = table[states + 1 :] + smoothing * weights[:, None] / max(weights.sum(), 1) * states + 1e-6
-        emit = emit / emit.sum(axis=0)
+        emit = table[states + 1 :].T + smoothing * weights / max(weights.sum(), 1) * states + 1e-6
+        emit = np.ascontiguousarray(emit / emit.sum(axis=1, keepdims=True))
     return start, move, emit
 
 
@@ -221,7 +231,7 @@ def _score(start, move, emit):
     return run
 
 
-def score_texts(docs: DataFrame, learn: Column, vocabulary: int = 16_384, broadcast_words: int = 200_000, states: int = 4, rounds: int = 3) -> DataFrame:
+def score_texts(docs: DataFrame, learn: Column, vocabulary: int = 16_384, broadcast_words: int = 200_000, states: int = 4, rounds: int = 4) -> DataFrame:
     """One row per document: ``doc_id, learned, n_tokens, n_known, train_tokens, base_score, score``.
 
     Words (A-Z lower-cased) and one end token per text are counted over all rows where ``learn`` holds. ``base_score`` is the smoothed
