@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gatewise.llm import embeddings, hmm, language, licenses, lines, mixing, ngram_join, urls
+from gatewise.llm import decontaminate, embeddings, hmm, language, licenses, lines, mixing, ngram_join, toxicity, urls
 from gatewise.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,17 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     scored = hmm.score_texts(docs, learn=remainder(F.col("doc_id"), 7) != 2)
     return scored.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op6_decontaminate")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op8_toxicity")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = toxicity.score_toxicity(docs, table(spark, folder, "labels"), learn=remainder(F.col("doc_id"), 4) != 2)
+    held = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out")
+    score = F.col(toxicity.SCORE_COLUMN)
+    return scored.select("doc_id", held, score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
