@@ -14,7 +14,7 @@ from gatewise.llm.common import components
 from gatewise.llm.text import MIX1, RADIX, lowered, mix, shingle_sets
 from gatewise.session import staged
 
-REGION = 0.3       # share of the hash range whose tokens are counted over all documents
+REGION = 0.26      # share of the hash range whose tokens are counted over all documents
 BLOCK = 800        # sets in one prefix tree
 ID_BROADCAST = 1_000_000  # ids are broadcast up to this count (some 16 MB), beyond it they are joined by shuffle
 SET = ["f1", "f2"]
@@ -159,7 +159,7 @@ def link_block(keys: list[int], groups: list[int], packed: list[bytes], percent:
 def _linker(percent: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int]] = []
-        for _, block in frame.groupby(["s1", "s2", "i", "j"], sort=False):
+        for _, block in frame.groupby(["head", "i", "j"], sort=False):
             block = block.drop_duplicates("cid")
             if len(block) > 1:
                 out += link_block(block["cid"].tolist(), block["component"].tolist(), block["shingles"].tolist(), percent)
@@ -168,11 +168,11 @@ def _linker(percent: int):
 
 
 def _links(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Link the sets of every block ``(s1, s2, i, j)``. Blocks are dealt to groups of bounded expected size."""
+    """Link the sets of every block ``(head, i, j)``. Blocks are dealt to groups of bounded expected size."""
     spark = placed.sparkSession
     rows = placed.count()
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // BLOCK + 1)
-    dealt = placed.withColumn("deal", F.pmod(F.xxhash64("s1", "s2", "i", "j"), F.lit(groups)))
+    dealt = placed.withColumn("deal", F.pmod(F.xxhash64("head", "i", "j"), F.lit(groups)))
     return dealt.join(sets, "cid").groupBy("deal").applyInPandas(_linker(percent), "a long, b long")
 
 
@@ -186,8 +186,9 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     2. Tokens have a global order: rarest first among the tokens in the lowest ``REGION`` of the hash range, whose document
        counts are taken over all classes, then the others by hash. A set shares a token of its prefix (a fifth of it) with
        any partner. Tokens no other class has use up the prefix; a set with a fifth of its tokens to itself drops out here.
-    3. The tree of ordered sets is sharded at the first shared token. Tokens held by the same classes are one shard. Shards are
-       cut into blocks and pairs of blocks, so no task holds an unbounded shard.
+    3. The tree of ordered sets is sharded at the shared tokens: whoever holds one may meet below it. Tokens held by the same
+       classes, and then those with the same smallest holder, are one shard. Shards are cut into blocks and pairs of blocks,
+       so no task holds an unbounded shard.
     4. A first pass links every set inside its widest shard, together with the shard's smallest member. Shards whose members are
        then all in one component are done; the others are joined in full, skipping sets already connected.
 
@@ -219,8 +220,9 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     ranked = held.join(counted, "cid").withColumn("room", room).where("room > 0")
     active = ranked.select("cid", F.explode(F.array_distinct(F.transform(F.slice("held", F.lit(1), F.col("room")), lambda h: F.struct(h["s1"].alias("s1"), h["s2"].alias("s2"))))).alias("shard")).select("cid", "shard.*")
     active = staged(active)
-    sizes = active.groupBy("s1", "s2").agg(F.count("*").alias("members"), F.min("cid").alias("head")).where("members > 1")
-    active = staged(active.join(sizes, ["s1", "s2"]))
+    heads = active.groupBy("s1", "s2").agg(F.count("*").alias("members"), F.min("cid").alias("head")).where("members > 1").select("s1", "s2", "head")
+    active = staged(active.join(heads, ["s1", "s2"]).select("cid", "head").distinct())
+    active = staged(active.join(active.groupBy("head").agg(F.count("*").alias("members")), "head"))
 
     wanted = staged(active.select("cid").distinct().join(usable.select("cid", "doc_id", *SET), "cid").dropDuplicates(["cid"]))
     texts = docs.join(_few(wanted.select("doc_id")), "doc_id", "left_semi")
@@ -228,15 +230,15 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
 
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.lit(1)).cast("int")
     block = F.pmod(F.xxhash64("cid"), blocks).cast("int")
-    widest = active.groupBy("cid").agg(F.max_by(F.struct("s1", "s2", "members", "head"), F.struct("members", "s1", "s2")).alias("w")).select("cid", "w.*")
+    widest = active.groupBy("cid").agg(F.max(F.struct("members", "head")).alias("w")).select("cid", "w.*")
     everywhere = F.when(F.col("cid") == F.col("head"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(block))
-    first = staged(widest.select("cid", "s1", "s2", F.explode(everywhere).alias("i")).select("cid", "s1", "s2", "i", F.col("i").alias("j"), F.col("cid").alias("component")))
+    first = staged(widest.select("cid", "head", F.explode(everywhere).alias("i")).select("cid", "head", "i", F.col("i").alias("j"), F.col("cid").alias("component")))
     found = staged(components(_links(first, sets, percent)))
 
     placed = active.join(found.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    open_shards = staged(placed.groupBy("s1", "s2").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("s1", "s2"))
+    open_shards = staged(placed.groupBy("head").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("head"))
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda t: F.struct(F.least(block, t).alias("i"), F.greatest(block, t).alias("j")))
-    rest = staged(placed.join(open_shards, ["s1", "s2"]).withColumn("pair", F.explode(pairs)).select("cid", "s1", "s2", "pair.i", "pair.j", "component"))
+    rest = staged(placed.join(open_shards, "head").withColumn("pair", F.explode(pairs)).select("cid", "head", "pair.i", "pair.j", "component"))
     more = []
     if not rest.isEmpty():
         more.append(_links(rest, sets, percent))
