@@ -50,6 +50,21 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def leading_words(counts: DataFrame, limit: int) -> list[tuple[str, int]]:
+    """The most frequent words, at most ``limit``, by falling count: all words above the lowest count level that fits. No task sorts
+    more than its share and the driver receives no more than ``limit`` words."""
+    level = F.floor(F.log2("n") * 64)
+    lowest, total = None, 0
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect(), reverse=True):  # some 64 levels a doubling
+        total += r["words"]
+        if total > limit:
+            break
+        lowest = r["level"]
+    if lowest is None:
+        return []
+    return sorted(((r["word"], r["n"]) for r in counts.where(level >= lowest).collect()), key=lambda w: (-w[1], w[0]))
+
+
 def shape_column(word: Column) -> Column:
     """``shape_class`` as an expression."""
     return (F.when(word.rlike(r"^\p{L}+$"), 0).otherwise(4) + F.least(F.floor(F.char_length(word) / 5), F.lit(3))).cast("int")
@@ -231,7 +246,7 @@ def _score(start, move, emit):
     return run
 
 
-def score_texts(docs: DataFrame, learn: Column, vocabulary: int = 16_384, broadcast_words: int = 200_000, states: int = 4, rounds: int = 4) -> DataFrame:
+def score_texts(docs: DataFrame, learn: Column, vocabulary: int = 16_384, broadcast_words: int = 100_000, states: int = 4, rounds: int = 4) -> DataFrame:
     """One row per document: ``doc_id, learned, n_tokens, n_known, train_tokens, base_score, score``.
 
     Words (A-Z lower-cased) and one end token per text are counted over all rows where ``learn`` holds. ``base_score`` is the smoothed
@@ -247,7 +262,7 @@ def score_texts(docs: DataFrame, learn: Column, vocabulary: int = 16_384, broadc
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), "text")
     counts = staged(count_words(docs.where("learn")))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    head = [(r["word"], r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(broadcast_words).collect()]
+    head = leading_words(counts, broadcast_words)
     own, below = head[:vocabulary], [n for _, n in head[:vocabulary]]
     # words and tokens of each shape class outside the vocabulary
     by_class = {r["c"]: (r["n"], r["v"]) for r in counts.groupBy(shape_column(F.col("word")).alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
