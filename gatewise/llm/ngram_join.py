@@ -170,10 +170,11 @@ def _linker(percent: int):
 def _links(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Link the sets of every block ``(head, i, j)``. Blocks are dealt to groups of bounded expected size."""
     spark = placed.sparkSession
-    rows = placed.count()
+    rows = placed.count()  # small rows of four numbers: broadcast while counted to be few
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // BLOCK + 1)
     dealt = placed.withColumn("deal", F.pmod(F.xxhash64("head", "i", "j"), F.lit(groups)))
-    return dealt.join(sets, "cid").groupBy("deal").applyInPandas(_linker(percent), "a long, b long")
+    few = F.broadcast(dealt) if rows <= ID_BROADCAST else dealt
+    return sets.join(few, "cid").groupBy("deal").applyInPandas(_linker(percent), "a long, b long")
 
 
 def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -236,7 +237,10 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     found = staged(components(_links(first, sets, percent)))
 
     placed = active.join(found.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    open_shards = staged(placed.groupBy("head").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("head"))
+    # a shard of one block in which every member was placed has been compared in full
+    compared = first.join(active.select("head", "members").distinct(), "head").groupBy("head", "members").agg(F.count("*").alias("seen")).where((F.col("seen") == F.col("members")) & (F.col("members") <= BLOCK))
+    open_shards = placed.groupBy("head").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("head")
+    open_shards = staged(open_shards.join(compared.select("head"), "head", "left_anti"))
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda t: F.struct(F.least(block, t).alias("i"), F.greatest(block, t).alias("j")))
     rest = staged(placed.join(open_shards, "head").withColumn("pair", F.explode(pairs)).select("cid", "head", "pair.i", "pair.j", "component"))
     more = []
