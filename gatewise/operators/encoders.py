@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gatewise.operators.aggregates import long_features
 from gatewise.operators.windows import cumulative_by_value, edge_bin, exact_quantiles, quantile_edges
-from gatewise.session import broadcast_if_small, cut_lineage
+from gatewise.session import broadcast_if_small, cut_lineage, staged
 
 
 # ---- category counts and encodings -------------------------------------------------------------------------------
@@ -23,6 +23,9 @@ def category_counts(df: DataFrame, features: list[str], label: str) -> DataFrame
         F.count("*").alias("n"), F.sum(label).cast("double").alias("y"))
 
 
+LEAST_SPREAD = 1e-4
+
+
 def list_category_counts(df: DataFrame, feature: str, label: str) -> DataFrame:
     """Counts on the first entry of a list feature, the slot its encoder is fitted on."""
     first = df.select(F.try_element_at(F.col(feature), F.lit(1)).alias("category"), label)
@@ -46,20 +49,24 @@ def _scalar(column: str, values: dict[str, float]) -> Column:
     return F.element_at(F.create_map(*pairs), F.col(column))
 
 
-def fit_mixed_encoding(counts: DataFrame, rounds: int = 25, tolerance: float = 1e-6) -> DataFrame:
+def fit_mixed_encoding(counts: DataFrame, rounds: int = 400, tolerance: float = 1e-6) -> DataFrame:
     """Random-intercept logistic encoding per category, from counts ``(feature, category, n, y)``.
 
     Model: ``logit p = b + u`` with ``u ~ N(0, s2)`` per feature. Categories with equal ``(n, y)`` share ``u``, so the
     rounds run on distinct pairs with their multiplicity. The only state between rounds is ``(b, s2)`` per feature;
     each round is one aggregate of fixed plan size. The encoding is ``u``; a category not seen gets 0.
+
+    The spread's plain update creeps on a weak signal, so after every three plain rounds its logarithm is extrapolated
+    (Steffensen). A fit that does not meet the tolerance raises.
     """
-    counts = cut_lineage(counts.filter(F.col("n") > 0))
-    pairs = cut_lineage(counts.groupBy("feature", "n", "y").agg(F.count("*").alias("m")))
+    counts = staged(counts.filter(F.col("n") > 0))
+    pairs = staged(counts.groupBy("feature", "n", "y").agg(F.count("*").alias("m")))
     start = pairs.groupBy("feature").agg(F.sum(F.col("m") * F.col("n")).alias("n"), F.sum(F.col("m") * F.col("y")).alias("y"), F.sum("m").alias("k")).collect()
     smooth = {r["feature"]: (r["y"] + 0.5) / (r["n"] + 1.0) for r in start}
     base = {f: math.log(p / (1 - p)) for f, p in smooth.items()}
     spread = {f: 0.5 for f in base}
-    for _ in range(rounds):
+    recent: dict[str, list[float]] = {f: [] for f in base}
+    for _ in range(rounds if base else 0):
         b, s2 = _scalar("feature", base), _scalar("feature", spread)
         at = pairs.withColumn("u", _effect(F.col("n").cast("double"), F.col("y"), b, s2)).withColumn("p", 1 / (1 + F.exp(-(b + F.col("u")))))
         info = F.col("n") * F.col("p") * (1 - F.col("p"))
@@ -69,17 +76,34 @@ def fit_mixed_encoding(counts: DataFrame, rounds: int = 25, tolerance: float = 1
             (F.sum(F.col("m") * (F.col("u") * F.col("u") + 1 / total)) / F.sum("m")).alias("s2")).collect()
         change = 0.0
         for r in sums:
+            f = r["feature"]
             move = max(-2.0, min(2.0, r["g"] / r["h"])) if r["h"] else 0.0
-            new = max(r["s2"], 1e-4)
-            change = max(change, abs(move), abs(new - spread[r["feature"]]))
-            base[r["feature"]] += move
-            spread[r["feature"]] = new
+            new = max(r["s2"], LEAST_SPREAD)
+            change = max(change, abs(move), abs(new - spread[f]))
+            recent[f].append(math.log(new))
+            if len(recent[f]) == 3:
+                new = math.exp(_extrapolated(*recent[f]))
+                recent[f] = []
+            base[f] += move
+            spread[f] = new
         if change < tolerance:
             break
+    else:
+        if base:
+            raise RuntimeError(f"the mixed encoding did not settle in {rounds} rounds")
     b, s2 = _scalar("feature", base), _scalar("feature", spread)
     return counts.select("feature", "category", "n", "y", _effect(F.col("n").cast("double"), F.col("y"), b, s2).alias("value"))
 
 
+def _extrapolated(a: float, b: float, c: float) -> float:
+    """Where a geometric sequence through three values ends; kept within two of the last and above the least spread."""
+    bend = (c - b) - (b - a)
+    end = c if abs(bend) < 1e-12 else a - (b - a) ** 2 / bend
+    if (end - c) * (c - b) < 0:  # no extrapolation backwards
+        end = c
+    return min(max(end, c - 2, math.log(LEAST_SPREAD)), c + 2)
+
+
 def apply_encoding(df: DataFrame, table: DataFrame, features: list[str], suffix: str = "_encoded", default: float = 0.0) -> DataFrame:
     """Encoded columns by one lookup join per feature; unseen categories get ``default``. NULL matches a fitted NULL."""
     out = df

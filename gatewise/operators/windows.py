@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from gatewise.session import cut_lineage
+from gatewise.session import cut_lineage, staged
 
-# Distinct values up to this count are ordered by one task; more are split into buckets.
-ONE_TASK_ROWS = 200_000
+# Distinct values that one task puts in order.
+BUCKET_ROWS = 200_000
 
 
 def pick_one(df: DataFrame, keys: list[str], order: list[Column | str], largest: bool = True) -> DataFrame:
@@ -40,24 +39,25 @@ def cumulative_by_value(df: DataFrame, value: str, sums: dict[str, Column], by:
                         descending: bool = False, buckets: int = 1) -> DataFrame:
     """One row per distinct ``(by, value)`` with aggregates ``sums`` and their running totals ``cum_*`` and totals ``total_*``.
 
-    ``buckets=1`` is for values of a bounded domain (scores 0..1000, dates): the window then holds few rows. With more
-    buckets the distinct values are counted, and beyond ``ONE_TASK_ROWS`` the order is split at approximate quantiles:
-    totals per bucket become offsets, and each bucket is scanned by its own task. The result is exact for any split points.
+    ``buckets=1`` is for values of a bounded domain (scores 0..1000, dates): the window then holds few rows. Otherwise the distinct
+    values are counted and the order is split at approximate quantiles into as many buckets as keep about ``BUCKET_ROWS`` values in
+    each: totals per bucket become offsets, and each bucket is scanned by its own task. The result is exact for any split points; NaN
+    is above all numbers.
     """
     by = list(by or [])
     per_value = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(*(c.alias(n) for n, c in sums.items()))
     order = F.col(value).desc() if descending else F.col(value).asc()
     total = W.partitionBy(*by)
-    if buckets > 1:
-        per_value = cut_lineage(per_value)
-    if buckets <= 1 or per_value.count() <= ONE_TASK_ROWS:
+    if buckets <= 1:
         running = total.orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
         return per_value.select("*", *(F.sum(n).over(running).alias(f"cum_{n}") for n in sums),
                                 *(F.sum(n).over(total).alias(f"total_{n}") for n in sums))
-    probs = [i / buckets for i in range(1, buckets)]
-    edges = sorted(set(per_value.select(F.col(value).cast("double")).approxQuantile(value, probs, 0.5 / buckets)))
-    split = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol="_v", outputCol="_bucket")
-    marked = split.transform(per_value.withColumn("_v", F.col(value).cast("double"))).drop("_v")
+    per_value = staged(per_value)
+    pieces = per_value.count() // BUCKET_ROWS + 1
+    probs = [i / pieces for i in range(1, pieces)]
+    number = F.col(value).cast("double")
+    edges = sorted({e for e in per_value.select(number.alias("_v")).approxQuantile("_v", probs, 0.5 / pieces) if math.isfinite(e)}) if probs else []
+    marked = per_value.withColumn("_bucket", F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= number)) if edges else F.lit(0))
     earlier = W.partitionBy(*by).orderBy(F.col("_bucket").desc() if descending else F.col("_bucket").asc()).rowsBetween(W.unboundedPreceding, -1)
     offsets = (marked.groupBy(*by, "_bucket").agg(*(F.sum(n).alias(n) for n in sums))
                .select(*by, "_bucket", *(F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_before_{n}") for n in sums),

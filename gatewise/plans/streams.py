@@ -69,7 +69,7 @@ _LATEST = "SELECT user_id AS \"key\", event_id, payload FROM (SELECT user_id, ev
 def stream_latest_batches(spark, d):
     target = S.new_state_folder(spark, "latest-out")
     S.latest_by_batch(events(spark, d), "user_id", "ts", "event_id", "props", target, S.new_state_folder(spark, "latest"))
-    return spark.read.parquet(f"{target}/batch-0").select("key", "event_id", "payload")
+    return S.read_latest(spark, target, "key long, at timestamp, event_id long, payload string").select("key", "event_id", "payload")
 
 
 @query("stream_latest_state", (), _LATEST)

@@ -27,10 +27,10 @@ def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, mode: str
     df.write.mode(mode).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
 
 
-def rows_per_chunk(df: DataFrame, target_bytes: int = 10 * 1024 * 1024, fraction: float = 0.01) -> int:
-    """Rows that make up about ``target_bytes`` of CSV, from the mean row size of a sample."""
+def rows_per_chunk(df: DataFrame, target_bytes: int = 10 * 1024 * 1024) -> int:
+    """Rows that make up about ``target_bytes`` of CSV, from the mean size of all rows."""
     size = sum((F.length(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in df.columns), F.lit(len(df.columns)))
-    mean = df.sample(fraction, seed=7).agg(F.avg(size)).first()[0] or df.limit(1000).agg(F.avg(size)).first()[0]
+    mean = df.agg(F.avg(size)).first()[0]
     return max(1, int(target_bytes / mean)) if mean else 1
 
 

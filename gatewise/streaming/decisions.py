@@ -11,22 +11,30 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from gatewise.session import checkpoint_folder
+from gatewise.session import checkpoint_folder, staged
 
 
 def event_stream(spark: SparkSession, folder: str, name: str, time: str, files_per_trigger: int | None = None) -> DataFrame:
     """File stream over one table of a directory, with the event time as TIMESTAMP."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder).withColumn(time, F.col(time).cast("timestamp"))
+    # a pattern that fits this name alone: it takes a table of one file and a table that is a folder of files
+    return reader.parquet(f"{folder}/{name}.parque[t]").withColumn(time, F.col(time).cast("timestamp"))
 
 
-def run_available(stream: DataFrame, sink: str, mode: str, state_folder: str, output: str | None = None) -> None:
-    """Process everything available, then stop. The state folder must be on shared storage on a cluster."""
+def run_available(stream: DataFrame, mode: str, state_folder: str, output: str) -> None:
+    """Process everything available into parquet on shared storage, then stop.
+
+    Append mode uses the file sink. The other modes write each micro-batch to its own generation ``batch=<id>``, which is replaced
+    as a whole when the batch is retried. No result passes through the driver.
+    """
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", state_folder).trigger(availableNow=True)
-    started = writer.format("memory").queryName(sink).start() if output is None else writer.format("parquet").option("path", output).start()
+    if mode == "append":
+        started = writer.format("parquet").option("path", output).start()
+    else:
+        started = writer.foreachBatch(lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")).start()
     started.awaitTermination()
 
 
@@ -36,17 +44,18 @@ def new_state_folder(spark: SparkSession, name: str) -> str:
 
 
 def available_rows(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Run a bounded stream to its end into parquet files (append) or the memory sink (small windowed results) and read it back."""
-    import uuid
+    """Run a bounded stream to its end into parquet and read it back: all rows (append), all updates, or the last complete result."""
     spark = stream.sparkSession
     state = new_state_folder(spark, name)
+    output = f"{state}-out"
+    run_available(stream, mode, state, output)
     if mode == "append":
-        output = f"{state}-out"
-        run_available(stream, name, mode, state, output)
         return spark.read.schema(stream.schema).parquet(output)
-    sink = f"{name}_{uuid.uuid4().hex}"
-    run_available(stream, sink, mode, state)
-    return spark.table(sink)
+    written = spark.read.schema(stream.schema.add("batch", "long")).parquet(output)
+    if mode == "complete":
+        last = written.agg(F.max("batch")).first()[0]
+        written = written.where(F.col("batch") == F.lit(last))
+    return written.drop("batch")
 
 
 def window_rates(events: DataFrame, time: str, category: str, value: str, window: str, watermark: str, slide: str | None = None) -> DataFrame:
@@ -96,21 +105,55 @@ def latest_state(events: DataFrame, key: str, time: str, event_id: str, payload:
                                                             outputMode="Update", timeMode="None")
 
 
-def latest_by_batch(events: DataFrame, key: str, time: str, event_id: str, payload: str, target: str, state_folder: str) -> None:
-    """Newest payload per key into parquet generations: each micro-batch is reduced by an aggregate and merged with the previous one.
+def latest_by_batch(events: DataFrame, key: str, time: str, event_id: str, payload: str, target: str, state_folder: str, parts: int = 64) -> None:
+    """Newest payload per key as parquet in ``parts`` parts by key hash: a micro-batch rewrites only the parts it has news for.
 
-    Generation ``batch-<id>`` is rewritten as a whole when a batch is retried, so the result survives a restart.
+    A part's state lies in ``batch=<id>/part=<p>``; the highest batch of a part counts (``read_latest``). A retried batch replaces its own
+    folders and reads older ones alone. The state before the previous one of a rewritten part is deleted.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         fresh = batch.select(F.col(key).alias("key"), F.col(time).alias("at"), F.col(event_id).alias("event_id"), F.col(payload).alias("payload"))
-        if batch_id > 0:
-            fresh = fresh.unionByName(spark.read.parquet(f"{target}/batch-{batch_id - 1}"))
-        best = fresh.groupBy("key").agg(F.max_by(F.struct("at", "event_id", "payload"), F.struct("at", "event_id")).alias("r"))
-        best.select("key", "r.*").write.mode("overwrite").parquet(f"{target}/batch-{batch_id}")
+        fresh = fresh.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
+        newest = F.max_by(F.struct("at", "event_id", "payload"), F.struct("at", "event_id")).alias("r")
+        fresh = staged(fresh.groupBy("part", "key").agg(newest).select("part", "key", "r.*"))
+        touched = [r["part"] for r in fresh.select("part").distinct().collect()]  # at most ``parts``
+        if not touched:
+            return
+        states = {p: [g for g in sorted(written) if g < batch_id] for p, written in _part_batches(spark, target).items() if p in touched}
+        older = [f"{target}/batch={g[-1]}/part={p}" for p, g in states.items() if g]
+        if older:
+            kept = spark.read.schema(fresh.drop("part").schema).parquet(*older)
+            fresh = fresh.unionByName(kept.select(F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("part"), *kept.columns))
+        best = fresh.groupBy("part", "key").agg(newest).select("part", "key", "r.*")
+        best.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{target}/batch={batch_id}")
+        for p, g in states.items():
+            for old in g[:-1]:
+                _delete(spark, f"{target}/batch={old}/part={p}")
     (events.writeStream.foreachBatch(merge).option("checkpointLocation", state_folder).trigger(availableNow=True).start().awaitTermination())
 
 
+def read_latest(spark: SparkSession, target: str, schema: str) -> DataFrame:
+    """The table that ``latest_by_batch`` keeps: every part from its highest batch."""
+    paths = [f"{target}/batch={max(written)}/part={p}" for p, written in _part_batches(spark, target).items()]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def _part_batches(spark: SparkSession, target: str) -> dict[int, list[int]]:
+    """Batches that hold each part: a listing of folder names, not of rows."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/batch=*/part=*")
+    found: dict[int, list[int]] = {}
+    for status in path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []:
+        batch, part = str(status.getPath()).rsplit("/", 2)[1:]
+        found.setdefault(int(part.removeprefix("part=")), []).append(int(batch.removeprefix("batch=")))
+    return found
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def mature_labels(decisions: DataFrame, reports: DataFrame, key: str, decided_at: str, reported_at: str, report_id: str, days: int = 180, lateness: str = "7 days") -> DataFrame:
     """Decisions with fraud reports of the same key within ``days``. Both sides are watermarked; keep only key, time and band on the left.
 

@@ -20,4 +20,4 @@ def spark():
 def split_ordered_work(monkeypatch):
     """Force the bucketed path of ordered operators, which small data would not take."""
     from gatewise.operators import windows
-    monkeypatch.setattr(windows, "ONE_TASK_ROWS", 0)
+    monkeypatch.setattr(windows, "BUCKET_ROWS", 3)
