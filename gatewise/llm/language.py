@@ -13,7 +13,8 @@ UNKNOWN = "und"
 
 
 def letter_table() -> np.ndarray:
-    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+    """One bit a code point, set for letters. Made once and unpacked by each task."""
+    return np.packbits(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
 
 
 def grams(text: str, letters: np.ndarray) -> Iterator[np.ndarray]:
@@ -29,11 +30,11 @@ def grams(text: str, letters: np.ndarray) -> Iterator[np.ndarray]:
         yield np.concatenate((cp[cp != 32], two, (two[:-1] << 21) | cp[2:]))
 
 
-def _count():
+def _count(packed: np.ndarray):
     schema = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters = letter_table()
+        letters = np.unpackbits(packed).astype(bool)
         for batch in batches:
             waiting: dict[str, list[np.ndarray]] = {}
             size: dict[str, int] = {}
@@ -59,7 +60,7 @@ def learn_profiles(labelled: DataFrame, size: int = 400) -> dict[str, list[int]]
 
     Counts cover all texts and are summed by Spark; the driver receives ``size`` grams a language.
     """
-    counts = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").mapInArrow(_count(), "lang string, gram long, n long")
+    counts = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").mapInArrow(_count(letter_table()), "lang string, gram long, n long")
     counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = [F.desc("n"), F.col("gram")]
     part = F.pmod(F.xxhash64("gram"), F.lit(64))
@@ -71,7 +72,7 @@ def learn_profiles(labelled: DataFrame, size: int = 400) -> dict[str, list[int]]
     return profiles
 
 
-def _predict(profiles: dict[str, list[int]], top: int):
+def _predict(profiles: dict[str, list[int]], top: int, packed: np.ndarray):
     langs = sorted(profiles)
     universe = np.unique(np.array([g for p in profiles.values() for g in p], np.int64))
     size, miss = len(universe), max((len(p) for p in profiles.values()), default=0)
@@ -81,7 +82,7 @@ def _predict(profiles: dict[str, list[int]], top: int):
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters = letter_table()
+        letters = np.unpackbits(packed).astype(bool)
         slots, factor = _slots(universe)
         for batch in batches:
             pred, score = [], []
@@ -135,4 +136,4 @@ def identify_languages(docs: DataFrame, learn: Column, size: int = 400) -> DataF
     """
     docs = docs.select("doc_id", "text", "lang", F.coalesce(learn, F.lit(False)).alias("learn_from"))
     profiles = learn_profiles(docs.where("learn_from").select("lang", "text"), size)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_predict(profiles, size), "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_predict(profiles, size, letter_table()), "doc_id long, lang_pred string, score double")
