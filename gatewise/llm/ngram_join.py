@@ -49,17 +49,18 @@ def _signatures(width: int, percent: int):
 
 
 def _full_sets(width: int):
-    schema = pa.schema([("f1", pa.int64()), ("f2", pa.int64()), ("shingles", pa.binary())])
+    """Whole sets of ``(cid, f1, f2, text)`` rows. Where an id has several texts, only the one with the row's fingerprint counts."""
+    schema = pa.schema([("cid", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            f1, f2, packed = [], [], []
-            for s in shingle_sets(lowered(batch.column(1)), width):
-                one, two = fingerprint(s)
-                f1.append(one)
-                f2.append(two)
-                packed.append(s.astype(">i8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(packed, pa.binary())], schema=schema)
+            cids, packed = [], []
+            wanted = zip(*(batch.column(k).to_pylist() for k in range(3)))
+            for (cid, *marks), s in zip(wanted, shingle_sets(lowered(batch.column(3)), width)):
+                if fingerprint(s) == tuple(marks):
+                    cids.append(cid)
+                    packed.append(s.astype(">i8").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(packed, pa.binary())], schema=schema)
     return run
 
 
@@ -226,8 +227,7 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     active = staged(active.join(active.groupBy("head").agg(F.count("*").alias("members")), "head"))
 
     wanted = staged(active.select("cid").distinct().join(usable.select("cid", "doc_id", *SET), "cid").dropDuplicates(["cid"]))
-    texts = docs.join(_few(wanted.select("doc_id")), "doc_id", "left_semi")
-    sets = staged(texts.mapInArrow(_full_sets(width), "f1 long, f2 long, shingles binary").join(wanted.select("cid", *SET), SET).select("cid", "shingles"))
+    sets = staged(docs.join(_few(wanted), "doc_id").select("cid", *SET, "text").mapInArrow(_full_sets(width), "cid long, shingles binary"))
 
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.lit(1)).cast("int")
     block = F.pmod(F.xxhash64("cid"), blocks).cast("int")
