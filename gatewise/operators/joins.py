@@ -79,7 +79,7 @@ def with_membership(df: DataFrame, table: DataFrame, keys: list[str], name: str)
 
 
 def flatten_directors(docs: DataFrame, key: str, column: str) -> DataFrame:
-    """JSON director list to one row per officer; the last entry of a repeated officer id wins."""
+    """JSON director list to one row per officer; the last entry of a repeated officer id wins, in the place of its first."""
     shape = "array<struct<officerId: string, person: struct<firstName: string, lastName: string, dateOfBirth: string, nationalities: array<string>>>>"
     rows = docs.select(key, F.posexplode(F.from_json(column, shape)).alias("_pos", "_d"))
     flat = rows.select(key, F.coalesce("_d.officerId", F.lit("")).alias("officer_id"), "_pos",
@@ -88,23 +88,31 @@ def flatten_directors(docs: DataFrame, key: str, column: str) -> DataFrame:
                        F.col("_d.person.dateOfBirth").try_cast("date").alias("director_dob"),
                        F.coalesce("_d.person.nationalities", F.expr("CAST(array() AS array<string>)")).alias("nationalities"))
     last = F.max_by(F.struct("director_first", "director_last", "director_dob", "nationalities"), "_pos")
-    return flat.groupBy(key, "officer_id").agg(last.alias("_r")).select(key, "officer_id", "_r.*")
+    return flat.groupBy(key, "officer_id").agg(last.alias("_r"), F.min("_pos").alias("position")).select(key, "officer_id", "position", "_r.*")
 
 
 def match_directors(applicants: DataFrame, directors: DataFrame, key: str, threshold: float = 90.0) -> DataFrame:
     """Applicants joined to the directors of their own company with the same birth month and year and similar names.
 
-    Blocking on (key, month, year) is an equi-join; only surviving pairs reach the Arrow similarity function.
+    Blocking on (key, month, year) is an equi-join; only surviving pairs reach the Arrow similarity function, and only those whose
+    first names are similar get there a second time.
     """
     left = applicants.withColumns({"_m": F.month("date_of_birth"), "_y": F.year("date_of_birth")})
     right = directors.withColumns({"_m": F.month("director_dob"), "_y": F.year("director_dob")})
     pairs = left.join(right, [key, "_m", "_y"]).drop("_m", "_y")
-    scored = pairs.withColumns({
-        "first_similarity": name_similarity(F.lower(F.coalesce("first_name", F.lit(""))), F.col("director_first")),
-        "last_similarity": name_similarity(F.lower(F.coalesce("last_name", F.lit(""))), F.col("director_last"))})
+    scored = pairs.withColumn("first_similarity", name_similarity(F.lower(F.coalesce("first_name", F.lit(""))), F.col("director_first")))
+    last = F.when(F.col("first_similarity") >= threshold, F.lower(F.coalesce("last_name", F.lit(""))))
+    scored = scored.withColumn("last_similarity", name_similarity(last, F.col("director_last")))
     return scored.filter((F.col("first_similarity") >= threshold) & (F.col("last_similarity") >= threshold))
 
 
+def first_director(applicants: DataFrame, directors: DataFrame, key: str, threshold: float = 90.0) -> DataFrame:
+    """Every applicant with the officer id and nationalities of the first officer, in the register's order, that matches; else NULL."""
+    first = F.min_by(F.struct("officer_id", "nationalities"), "position")
+    found = match_directors(applicants, directors, key, threshold).groupBy(key).agg(first.alias("_d")).select(key, "_d.*")
+    return applicants.join(found, key, "left")
+
+
 def director_features(applicants: DataFrame, directors: DataFrame, key: str) -> DataFrame:
     """Average whole age of all directors on the company's date and their number as a level; without directors the applicant's own age.
 

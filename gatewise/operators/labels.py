@@ -108,11 +108,18 @@ def earliest_report(tickets: DataFrame, changes: DataFrame) -> DataFrame:
             .agg(F.min("at").alias("reported_at")))
 
 
+def spread_nulls(key: str, by: str) -> Column:
+    """A text join key whose NULLs become up to 4,096 values that match nothing, dealt by another column."""
+    return F.coalesce(F.col(key), F.concat(F.lit("\u0000absent "), F.pmod(F.xxhash64(by), F.lit(4096)).cast("string")))
+
+
 def conversation_report_date(classified: DataFrame, chats: DataFrame) -> DataFrame:
     """Reported date: first conversation found by link, then by description, else the ticket's creation."""
     by_link = chats.select(F.col("ticket_id").alias("link_id"), F.col("created_at").alias("link_at"))
     by_text = chats.select(F.col("ticket_id").alias("text_id"), F.col("created_at").alias("text_at"))
-    joined = classified.join(by_link, "link_id", "left").join(by_text, "text_id", "left")
+    # most tickets have no link: absent ids are spread over keys that match nothing, not gathered in one partition
+    joined = (classified.withColumns({"_link": spread_nulls("link_id", "ticket_key"), "_text": spread_nulls("text_id", "ticket_key")})
+              .join(by_link.withColumnRenamed("link_id", "_link"), "_link", "left").join(by_text.withColumnRenamed("text_id", "_text"), "_text", "left").drop("_link", "_text"))
     return joined.withColumn("reported_date", F.to_date(F.coalesce("link_at", "text_at", "created_at"))).drop("link_at", "text_at")
 
 
@@ -251,7 +258,9 @@ def registry_match(companies: DataFrame, memberships: DataFrame, docs: DataFrame
     done = memberships.filter(F.col("is_completed") == 1).select("member_id")
     base = (companies.filter(F.col("created_at").between(F.lit(from_date).cast("date"), F.lit(to_date).cast("date")))
             .join(done, "member_id", "left_semi").select("company_id", "member_id", "created_at", "registry_number"))
-    return base.join(earliest, "registry_number", "left").withColumn("registry_hit", F.col("registry_created_at").isNotNull().cast("int"))
+    matched = (base.withColumn("_number", spread_nulls("registry_number", "company_id"))
+               .join(earliest.withColumnRenamed("registry_number", "_number"), "_number", "left").drop("_number"))
+    return matched.withColumn("registry_hit", F.col("registry_created_at").isNotNull().cast("int"))
 
 
 NAME_SCHEMA = "applicant struct<firstName: string, middleName: string, lastName: string, idScan: struct<firstName: string, middleName: string, lastName: string>>"

@@ -5,7 +5,7 @@ Data stays distributed during training; what reaches the driver is a fitted mode
 
 from __future__ import annotations
 
-import itertools
+import math
 import random
 import uuid
 from concurrent.futures import ThreadPoolExecutor
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from gatewise.operators import evaluate as V
+from gatewise.operators.weights import augment_rejects
 from gatewise.operators.windows import time_folds
 from gatewise.session import checkpoint_folder, cut_lineage
 
@@ -106,8 +107,16 @@ def importances(model: PipelineModel, df: DataFrame, features: list[str]) -> Dat
 
 def sampled_grid(space: dict[str, list], trials: int, seed: int) -> list[dict]:
     """``trials`` distinct parameter combinations, drawn with a seed."""
-    every = [dict(zip(space, values)) for values in itertools.product(*space.values())]
-    return random.Random(seed).sample(every, min(trials, len(every)))
+    sizes = [len(values) for values in space.values()]
+    drawn = random.Random(seed).sample(range(math.prod(sizes)), min(trials, math.prod(sizes)))
+    grid = []
+    for place in drawn:  # the place in the product, read as a number with one digit per parameter
+        digits = []
+        for n in reversed(sizes):
+            place, digit = divmod(place, n)
+            digits.append(digit)
+        grid.append({name: values[k] for (name, values), k in zip(space.items(), reversed(digits))})
+    return grid
 
 
 def search_boosted(train: DataFrame, test: DataFrame, label: str, weight: str, space: dict[str, list], trials: int, seed: int = 111, parallelism: int = 2) -> tuple[dict, DataFrame]:
@@ -215,12 +224,18 @@ def dependence(df: DataFrame, value: Column, contribution: Column) -> DataFrame:
 # ---- time-wise validation ----------------------------------------------------------------------------------------
 
 def time_cross_validation(df: DataFrame, date: str, key: str, label: str, weight: str, approved: str, folds: int = 5, within: Column | None = None,
-                          limits: tuple = (0, 100, 10, 100, 15, 45), **params) -> DataFrame:
+                          limits: tuple = (0, 100, 10, 100, 15, 45), inferred: str | None = None, **params) -> DataFrame:
     """Train on everything before each block of time, calibrate, score; AUC per fold, split and population, and thresholds.
 
-    ``df`` carries assembled features. Long result ``(fold, split, population, metric, value)``.
+    ``df`` carries assembled features. With ``inferred``, a column of probabilities, labels of rows that are not approved stay unseen: each
+    counts twice, as 1 and as 0, weighted by its probability. Rows are placed in time first, so both halves are in one fold.
+    Long result ``(fold, split, population, metric, value)``.
     """
-    placed = cut_lineage(time_folds(df, date, key, folds, within))
+    placed = time_folds(df, date, key, folds, within)
+    if inferred:
+        halves = augment_rejects(placed, approved, label, inferred, "_share").withColumn(weight, F.col(weight) * F.col("_share"))
+        placed = halves.filter(F.col("_share") > 0).drop("_share", inferred)
+    placed = cut_lineage(placed)
     out = None
     for f in range(1, folds + 1):
         rows = placed.filter(F.col("fold") <= f).withColumn("split", F.when(F.col("fold") == f, "Test").otherwise("Train"))

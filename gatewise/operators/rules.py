@@ -210,8 +210,11 @@ def threshold_grid(df: DataFrame, first: str, second: str, first_limits: list[in
     """Rules ``first <= a and second <= b`` for a grid of consecutive whole limits, in one pass.
 
     Rows are counted per grid cell; each cell then adds to the limits at or above it. Rows beyond the grid only count in
-    the totals. Rows with a NULL in either column are left out.
+    the totals. Rows with a NULL in either column are left out. Limits with gaps raise.
     """
+    for limits in (first_limits, second_limits):
+        if sorted(limits) != list(range(min(limits), max(limits) + 1)):
+            raise ValueError(f"limits must be consecutive whole numbers: {limits}")
     hi1, hi2 = max(first_limits), max(second_limits)
 
     def cell(c: str, limits: list[int]) -> Column:

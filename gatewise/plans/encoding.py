@@ -10,6 +10,7 @@ from gatewise.functions.scalars import code_list
 from gatewise.operators import encoders as E
 from gatewise.plans.evaluation import _r
 from gatewise.plans.registry import query
+from gatewise.session import staged
 from gatewise.sources.standins import load
 
 CATEGORICAL = ["applicant_id_type", "company_icc", "applicant_country", "postcode_area"]
@@ -107,7 +108,7 @@ w AS (SELECT *, SUM(e) OVER k AS te, SUM(o) OVER k AS tot, LN((o / SUM(o) OVER k
 
 @query("woe_table", ("members",), _T + _BINS + " SELECT feature, CAST(bin AS INTEGER) AS bin, CAST(e AS DOUBLE) AS events, CAST(o AS DOUBLE) AS non_events, ROUND(e / (e + o), 6) AS rate, ROUND(woe, 6) AS woe, ROUND((o / tot - e / te) * woe, 6) AS iv FROM w")
 def woe_table(spark, d):
-    t = train(spark, d).select("is_app_fraud", *CUTS).persist()
+    t = staged(train(spark, d).select("is_app_fraud", *CUTS))
     return _r(E.woe_report(t, [E.fit_woe_bins(t, f, "is_app_fraud", cuts=c) for f, c in CUTS.items()]).drop("low", "high"))
 
 
@@ -119,7 +120,7 @@ def woe_transform(spark, d):
 
 @query("fitted_woe_bins", ())
 def fitted_woe_bins(spark, d):
-    t = train(spark, d).select("is_app_fraud", "balance", "declared_amount", "score").persist()
+    t = staged(train(spark, d).select("is_app_fraud", "balance", "declared_amount", "score"))
     return E.woe_report(t, [E.fit_woe_bins(t, f, "is_app_fraud", buckets=8) for f in ["balance", "declared_amount", "score"]])
 
 

@@ -158,14 +158,13 @@ def ref_columns_to_rows(spark, d):
     return L.references_to_rows(load(spark, d, "tickets"), REFERENCE_COLUMNS)
 
 
-@query("wide_line_items_to_rows", (), """
-wide AS (SELECT l_orderkey, """ + ", ".join(f"MAX(CASE WHEN l_linenumber = {i} THEN l_partkey END) AS p{i}" for i in range(1, 8)) + """
-  FROM lineitem GROUP BY l_orderkey)
-SELECT DISTINCT l_orderkey, part FROM (""" + " UNION ALL ".join(f"SELECT l_orderkey, p{i} AS part FROM wide" for i in range(1, 8)) + ") WHERE part IS NOT NULL")
+@query("wide_line_items_to_rows", (), "SELECT DISTINCT l_orderkey, l_partkey AS part FROM lineitem WHERE l_partkey IS NOT NULL")
 def wide_line_items_to_rows(spark, d):
-    wide = (load(spark, d, "lineitem").groupBy("l_orderkey").pivot("l_linenumber", list(range(1, 8))).agg(F.max("l_partkey")))
-    slots = [str(i) for i in range(1, 8)]
-    return wide.unpivot("l_orderkey", slots, "slot", "part").filter(F.col("part").isNotNull()).select("l_orderkey", "part").distinct()
+    # seven slots a row; a slot is a list, so later lines and repeated ones lose nothing
+    slot = F.coalesce(F.pmod(F.col("l_linenumber"), F.lit(7)), F.lit(0))
+    wide = load(spark, d, "lineitem").withColumn("slot", slot).groupBy("l_orderkey").pivot("slot", list(range(7))).agg(F.collect_set("l_partkey"))
+    slots = [str(i) for i in range(7)]
+    return wide.unpivot("l_orderkey", slots, "slot", "parts").select("l_orderkey", F.explode("parts").alias("part")).distinct()
 
 
 @query("ticket_transactions", ("tickets", "cleared_txns", "realtime_txns"), _REFS + "," + _LINKED + """

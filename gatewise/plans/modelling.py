@@ -9,7 +9,7 @@ from gatewise.operators.weights import augment_rejects, class_weights
 from gatewise.plans.decisions import COEFFICIENTS, MEANS
 from gatewise.plans.evaluation import WEIGHT, _r
 from gatewise.plans.registry import query
-from gatewise.session import cut_lineage
+from gatewise.session import cut_lineage, staged
 from gatewise.sources.standins import load
 
 CATEGORIES = ["applicant_id_type", "company_icc", "applicant_country"]
@@ -39,13 +39,18 @@ def gbt_scores(spark, d):
     return G.score_table(scored.withColumn("calibrated", G.calibrated("probability", fit)), ["company_id"], "calibrated", "probability", "is_app_fraud", "app_fraud_amount", "is_approved", "w", "created_on")
 
 
+def _first_scores(p):
+    """Everybody's calibrated probability ``p`` by the model of approved members."""
+    first = G.with_probability(p, G.fit_boosted(km_train(p), "is_app_fraud", "w", "held_out", **SMALL))
+    fit = G.fit_calibration(first.filter("is_approved = 1 AND data_type = 'train'"), "probability", "is_app_fraud", "w")
+    return first.withColumn("p", G.calibrated("probability", fit))
+
+
 @query("reject_inference_scores", ())
 def reject_inference_scores(spark, d):
     """Scores of the approved-member model turn each reject into two weighted rows; a second model is fitted on all of them."""
     p = prepared(spark, d)
-    first = G.with_probability(p, G.fit_boosted(km_train(p), "is_app_fraud", "w", "held_out", **SMALL))
-    fit = G.fit_calibration(first.filter("is_approved = 1 AND data_type = 'train'"), "probability", "is_app_fraud", "w")
-    inferred = augment_rejects(first.withColumn("p", G.calibrated("probability", fit)).drop("probability"), "is_approved", "is_app_fraud", "p")
+    inferred = augment_rejects(_first_scores(p).drop("probability"), "is_approved", "is_app_fraud", "p")
     final = G.fit_boosted(inferred.filter("data_type = 'train' AND weights > 0"), "is_app_fraud", "weights", **SMALL)
     return G.with_probability(p, final).select("company_id", F.round("probability", 6).alias("probability"))
 
@@ -60,7 +65,7 @@ def tree_rules(spark, d):
 
 @query("feature_importances", ())
 def feature_importances(spark, d):
-    t = load(spark, d, "members").filter("is_approved = 1 AND data_type = 'train'").select("is_app_fraud", *CATEGORIES, *NUMBERS).persist()
+    t = staged(load(spark, d, "members").filter("is_approved = 1 AND data_type = 'train'").select("is_app_fraud", *CATEGORIES, *NUMBERS))
     return G.importances(G.fit_category_model(t, CATEGORIES, NUMBERS, "is_app_fraud", rounds=3, depth=3), t, [*CATEGORIES, *NUMBERS])
 
 
@@ -80,8 +85,9 @@ def tree_reasons(spark, d):
 
 @query("time_cross_validation", ())
 def time_cross_validation(spark, d):
-    p = prepared(spark, d)
-    return G.time_cross_validation(p, "created_on", "company_id", "is_app_fraud", "w", "is_approved", folds=5, rounds=2, depth=2, step=0.3)
+    """Labels of rejected members stay unseen: they are inferred from the model of approved members."""
+    first = _first_scores(prepared(spark, d)).drop("probability")
+    return G.time_cross_validation(first, "created_on", "company_id", "is_app_fraud", "w", "is_approved", inferred="p", folds=5, rounds=2, depth=2, step=0.3)
 
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gatewise.operators import weights as X
 from gatewise.plans.evaluation import WEIGHT, _r, scored
 from gatewise.plans.registry import query
+from gatewise.session import staged
 from gatewise.sources.standins import load
 
 _S = f"s AS (SELECT *, CAST({WEIGHT} AS DOUBLE) AS w FROM applications)"
@@ -87,7 +88,7 @@ def reject_augment(spark, d):
 
 @query("balance_weights", ())
 def balance_weights(spark, d):
-    a = apps(spark, d).select("company_id", "is_approved", *BALANCED).persist()
+    a = staged(apps(spark, d).select("company_id", "is_approved", *BALANCED))
     fit = X.fit_balancing(a, BALANCED, bins=20)
     return X.balance_weights(a.filter("is_approved = 1"), fit).select("company_id", F.round("weight", 6).alias("weight"))
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from gatewise.functions import scalars as S
 from gatewise.functions.similarity import name_similarity, partial_similarity, token_similarity
-from gatewise.operators import joins as J, rules as R
+from gatewise.operators import joins as J, labels as L, rules as R
 from gatewise.sources import files, tables
 
 
@@ -90,6 +90,30 @@ def test_directors_match_on_birth_month_and_similar_names(spark):
     assert [(h["officer_id"], h["nationalities"]) for h in hits] == [("o", ["GB"])]
 
 
+def test_first_director_follows_the_register_and_keeps_everybody(spark):
+    officer = '{"officerId":"%s","person":{"firstName":"%s","lastName":"Lee","dateOfBirth":"1980-05-02","nationalities":["%s"]}}'
+    tree = "[" + ",".join(officer % o for o in (("z", "Zed", "FR"), ("q", "Ann", "GB"), ("b", "Ann", "IE"))) + "]"
+    docs = spark.createDataFrame([(1, tree)], "id int, directors string")
+    born = datetime.date(1980, 5, 30)
+    people = spark.createDataFrame([(1, "Ann", "Lee", born), (2, "Bo", "Ray", born), (3, None, None, None)], "id int, first_name string, last_name string, date_of_birth date")
+    out = J.first_director(people, J.flatten_directors(docs, "id", "directors"), "id").orderBy("id").collect()
+    assert [(r["id"], r["officer_id"], r["nationalities"]) for r in out] == [(1, "q", ["GB"]), (2, None, None), (3, None, None)]
+
+
+def test_absent_conversation_ids_match_nothing(spark):
+    at = [datetime.datetime(2023, 1, d) for d in (1, 2, 3)]
+    tickets = spark.createDataFrame([("a", "c1", None, at[0]), ("b", None, "c1", at[0]), ("c", None, None, at[0])], "ticket_key string, link_id string, text_id string, created_at timestamp")
+    chats = spark.createDataFrame([("c1", at[1]), (None, at[2])], "ticket_id string, created_at timestamp")
+    out = {r["ticket_key"]: (r["reported_date"].day, r["link_id"]) for r in L.conversation_report_date(tickets, chats).collect()}
+    assert out == {"a": (2, "c1"), "b": (2, None), "c": (1, None)}
+
+
+def test_threshold_grid_refuses_gaps(spark):
+    df = spark.createDataFrame([(1, 1, 0, 1.0)], "a int, b int, y int, v double")
+    with pytest.raises(ValueError):
+        R.threshold_grid(df, "a", "b", [1, 3], [1, 2], "y", "v")
+
+
 def test_input_contract_and_names(spark):
     df = spark.createDataFrame([(1, 2)], "`A.Key` int, `x__Value` int")
     assert tables.normalise_names(df).columns == ["key", "value"]

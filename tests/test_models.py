@@ -137,3 +137,10 @@ def test_scorecard_reason(spark):
     parts = G.scorecard_contributions({"a": 1.0, "b": -2.0}, {"a": 0.0, "b": 0.0})
     df = spark.createDataFrame([(3.0, 1.0), (1.0, -4.0), (0.0, 0.0)], "a double, b double").select(G.top_reason(parts).alias("r"))
     assert [r["r"] for r in df.collect()] == ["a", "b", "a"]
+
+
+def test_sampled_grid_draws_distinct_places_of_the_product():
+    space = {"a": [1, 2, 3], "b": ["x", "y"]}
+    every = G.sampled_grid(space, 99, 5)
+    assert len(every) == 6 and {(g["a"], g["b"]) for g in every} == {(a, b) for a in space["a"] for b in space["b"]}
+    assert len(G.sampled_grid({str(k): list(range(10)) for k in range(12)}, 4, 5)) == 4  # a product of 10^12 is never built
