@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+import gc
 import math
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gatewise.session import staged
+from gatewise.session import STAGES, staged
 
 END = "\n"  # the end token; no word contains a line break
-SHAPES = 8  # classes of words outside the model's own vocabulary
 LANES = 1024  # sequences that advance together
 
 
@@ -23,11 +24,6 @@ def words_of(text: str | None) -> list[str]:
     return [w.decode("utf-8", "surrogatepass") for w in (text or "").encode("utf-8", "surrogatepass").lower().split()] + [END]
 
 
-def shape_class(word: str) -> int:
-    """The class of a word outside the vocabulary: by length and whether it has only letters."""
-    return (0 if word.isalpha() else 4) + min(len(word) // 5, 3)
-
-
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
     for batch in batches:
@@ -50,31 +46,31 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def leading_words(counts: DataFrame, limit: int) -> list[tuple[str, int]]:
-    """The most frequent words, at most ``limit``, by falling count: all words above the lowest count level that fits. No task sorts
-    more than its share and the driver receives no more than ``limit`` words."""
-    level = F.floor(F.log2("n") * 64)
+def leading_level(counts: DataFrame, limit: int) -> tuple[Column, int | None]:
+    """A count level per word and the lowest one whose words, with all above, are at most ``limit``. No task sorts more than its share."""
+    level = F.floor(F.log2("n") * 64)  # some 64 levels a doubling
     lowest, total = None, 0
-    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect(), reverse=True):  # some 64 levels a doubling
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect(), reverse=True):
         total += r["words"]
         if total > limit:
             break
         lowest = r["level"]
-    if lowest is None:
-        return []
-    return sorted(((r["word"], r["n"]) for r in counts.where(level >= lowest).collect()), key=lambda w: (-w[1], w[0]))
+    return level, lowest
 
 
-def shape_column(word: Column) -> Column:
-    """``shape_class`` as an expression."""
-    return (F.when(word.rlike(r"^\p{L}+$"), 0).otherwise(4) + F.least(F.floor(F.char_length(word) / 5), F.lit(3))).cast("int")
+def first_counts(counts: DataFrame, states: int) -> list[Column]:
+    """Each word's count dealt out over the states by a fixed lognormal perturbation from its hash, which breaks the symmetry."""
+    def uniform(*salt: int) -> Column:
+        return (F.shiftrightunsigned(F.xxhash64("word", *map(F.lit, salt)), 11) + F.lit(1)) / F.lit(float(2**53 + 1))
+    parts = [F.exp(1.5 * F.sqrt(-2 * F.log(uniform(k, 0))) * F.cos(2 * math.pi * uniform(k, 1))) for k in range(states)]
+    return [(F.col("n") * part / sum(parts[1:], parts[0])).alias(f"c{k}") for k, part in enumerate(parts)]
 
 
-def _encode(known: dict[str, tuple[int, int, float, float]], offset: int):
-    """Symbols of each text, with what the broadcast words add to the sums; ``known`` gives a word's symbol, count and logarithms.
-    Words that are not broadcast leave as a list with their counts."""
+def _encode(known: dict[str, tuple[int, int, float]], offset: int):
+    """Symbols of each text, with what the broadcast words add to the sums; ``known`` gives a word's symbol, count and logarithm.
+    Words that are not broadcast leave as a list with their counts; the j-th of a text is its symbol ``offset + j``."""
     table = {w.encode("utf-8", "surrogatepass"): v for w, v in known.items()}
-    kinds = [("symbols", pa.list_(pa.int32())), ("own_known", pa.int64()), ("own_base", pa.float64()), ("own_share", pa.float64()), ("rare", pa.list_(pa.string())), ("rare_n", pa.list_(pa.int64()))]
+    kinds = [("symbols", pa.list_(pa.int32())), ("own_known", pa.int64()), ("own_base", pa.float64()), ("rare", pa.list_(pa.string())), ("rare_n", pa.list_(pa.int64()))]
     schema = pa.schema([("doc_id", pa.int64()), ("learn", pa.bool_()), *kinds])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,19 +79,17 @@ def _encode(known: dict[str, tuple[int, int, float, float]], offset: int):
             for text in batch.column(2).to_pylist():
                 words = (text or "").encode("utf-8", "surrogatepass").lower().split()
                 words.append(END.encode())
-                once = Counter(words)
-                symbol, met, base, share, rare = {}, 0, 0.0, 0.0, {}
-                for w, k in once.items():
+                symbol, met, base, rare = {}, 0, 0.0, {}
+                for w, k in Counter(words).items():
                     found = table.get(w)
                     if found is None:
-                        symbol[w] = offset + shape_class(w.decode("utf-8", "surrogatepass"))
+                        symbol[w] = offset + len(rare)
                         rare[w.decode("utf-8", "surrogatepass")] = k
                     else:
                         symbol[w] = found[0]
-                        met += k if found[1] else 0
+                        met += k
                         base += k * found[2]
-                        share += k * found[3]
-                for column, value in zip(out, (np.array([symbol[w] for w in words], np.int32), met, base, share, list(rare), list(rare.values()))):
+                for column, value in zip(out, (np.array([symbol[w] for w in words], np.int32), met, base, list(rare), list(rare.values()))):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, t) for v, (_, t) in zip(out, kinds))], schema=schema)
     return run
@@ -166,83 +160,150 @@ def expected_counts(sequences: list[np.ndarray], start: np.ndarray, move: np.nda
     return alpha[0].sum(axis=1), moves * move, emissions
 
 
-def _learn(start: np.ndarray, move: np.ndarray, emit: np.ndarray, span: int, budget: int):
-    """Emit this task's expected counts as one binary row per 1,024 symbols, so the sums are shuffled in small pieces."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = [np.zeros_like(start), np.zeros_like(move), np.zeros_like(emit)]
-        held: list[np.ndarray] = []
-        size = 0
+class Model(NamedTuple):
+    """What every task gets: ``share`` are the smoothing tokens of each state, ``below`` the denominators of its emissions."""
+
+    start: np.ndarray
+    move: np.ndarray
+    lead: np.ndarray  # emissions of the leading words, (states, words)
+    share: np.ndarray
+    below: np.ndarray
+
+    def emissions(self, counts: np.ndarray) -> np.ndarray:
+        """Emissions of words with these expected counts, (states, words); one pseudo-token a word, spread as the states' shares."""
+        return (counts + self.share[:, None]) / self.below[:, None]
+
+
+def make_model(starts: np.ndarray, moves: np.ndarray, lead: np.ndarray, totals: np.ndarray, words: int, smoothing: float = 0.1) -> Model:
+    """The model of expected counts; ``totals`` are the tokens of each state, ``words`` the distinct training words. One more word is
+    left for all unseen ones, so with a single state this is the unigram model with add-one smoothing."""
+    share = totals / totals.sum() if totals.sum() else np.full(len(totals), 1 / len(totals))
+    model = Model((starts + smoothing) / (starts + smoothing).sum(), (moves + smoothing) / (moves + smoothing).sum(axis=1, keepdims=True), lead, share, totals + share * (words + 1))
+    return model._replace(lead=np.ascontiguousarray(model.emissions(lead)))
+
+
+def _unfold(model: Model, symbols: pa.Array, items: pa.Array) -> tuple[list[np.ndarray], np.ndarray, pa.Array, np.ndarray]:
+    """Sequences of a batch whose rare words have columns of their own behind the leading words; the emissions of both; the rare words
+    met (``items``) and their columns. Columns that no item fills are unseen words."""
+    states, offset = model.lead.shape
+    sequences, first, end = [], [], offset
+    for s in symbols:
+        s = s.values.to_numpy(zero_copy_only=False)
+        first.append(end)
+        sequences.append(np.where(s >= offset, s + (end - offset), s).astype(np.int32))
+        end += max(int(s.max()) - offset + 1, 0)
+    emit = np.empty((states, end))
+    emit[:, :offset] = model.lead
+    emit[:, offset:] = model.emissions(np.zeros((states, 1)))
+    flat, sizes = items.flatten(), pc.fill_null(pc.list_value_length(items), 0).to_numpy(zero_copy_only=False)
+    column = np.repeat(np.array(first, np.int64), sizes) + pc.struct_field(flat, "j").to_numpy(zero_copy_only=False)
+    if len(column):
+        emit[:, column] = model.emissions(np.stack([pc.struct_field(flat, f"c{k}").to_numpy(zero_copy_only=False) for k in range(states)]).astype(float))
+    return sequences, emit, flat, column
+
+
+def _learn(model: Model, span: int, budget: int):
+    """Emit this task's expected counts, one row per key: ids of rare words from 0, and below 0 starts (-1), moves, state totals and the
+    leading words, as ``_key`` numbers them."""
+    states, offset = model.lead.shape
+    names = ["id", *(f"c{k}" for k in range(states))]
+
+    def rows(ids: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, pa.float64()) for c in counts)], names=names)
 
-        def fold() -> None:
-            held.sort(key=len)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fixed = np.zeros((states, states + 2))  # starts, moves from each state, totals
+        lead = np.zeros_like(model.lead)
+        for whole in batches:
             at = 0
-            while at < len(held):  # sequences of like length side by side
-                end = at + 1
-                while end < len(held) and len(held[end]) * (end - at + 1) <= budget:
+            lengths = pc.list_value_length(whole.column(0)).to_numpy(zero_copy_only=False)
+            while at < len(lengths):
+                size, end = 0, at
+                while end < len(lengths) and (end == at or size + lengths[end] <= 4 * budget):
+                    size += lengths[end]
                     end += 1
-                for total, part in zip(totals, expected_counts(held[at:end], start, move, emit)):
-                    total += part
-                at = end
-            held.clear()
-
-        for batch in batches:
-            for symbols in batch.column(0):
-                s = symbols.values.to_numpy(zero_copy_only=False)
-                for at in range(0, len(s), span):  # long texts are learned from in spans, all of them
-                    held.append(s[at : at + span].copy())
-                size += len(s)
-                if size >= 4 * budget:
-                    fold()
-                    size = 0
-        fold()
-        table = np.concatenate((totals[0][None, :], totals[1], totals[2].T))
-        pieces = [table[k : k + 1024].tobytes() for k in range(0, len(table), 1024)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.binary())], names=["piece", "counts"])
+                batch, at = whole.slice(at, end - at), end
+                sequences, emit, flat, column = _unfold(model, batch.column(0), batch.column(1))
+                held = sorted((s[k : k + span] for s in sequences for k in range(0, len(s), span)), key=len)  # long texts in spans, all of them
+                found, low = np.zeros_like(emit), 0
+                while low < len(held):  # sequences of like length side by side
+                    high = low + 1
+                    while high < len(held) and len(held[high]) * (high - low + 1) <= budget:
+                        high += 1
+                    starts, moves, emissions = expected_counts(held[low:high], model.start, model.move, emit)
+                    fixed[:, 0] += starts
+                    fixed[:, 1:-1] += moves.T
+                    found += emissions
+                    low = high
+                fixed[:, -1] += found.sum(axis=1)
+                lead += found[:, :offset]
+                ids, inverse = np.unique(pc.struct_field(flat, "id").to_numpy(zero_copy_only=False), return_inverse=True)
+                if len(ids):
+                    yield rows(ids, np.stack([np.bincount(inverse, f[column], minlength=len(ids)) for f in found]))
+        met = np.flatnonzero(lead.any(axis=0))
+        yield rows(np.concatenate((_key(np.arange(states + 2)), _key(states + 2 + met))), np.concatenate((fixed, lead[:, met]), axis=1))
     return run
 
 
-def _sum_pieces(frame: pd.DataFrame) -> pd.DataFrame:
-    total = np.frombuffer(frame["counts"].iloc[0]).copy()
-    for other in frame["counts"].iloc[1:]:
-        total += np.frombuffer(other)
-    return pd.DataFrame({"piece": frame["piece"].iloc[:1], "counts": [total.tobytes()]})
+def _key(number):
+    return -1 - number
 
 
-def train(sequences: DataFrame, weights: np.ndarray, states: int, rounds: int, smoothing: float = 0.1, span: int = 256, budget: int = 400_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch over all ``symbols`` of the table. Each round's counts are summed across partitions by Spark; the driver holds the
-    model alone (symbols x states). ``weights`` are the symbols' training counts, from which a fixed perturbation breaks the symmetry."""
-    symbols = len(weights)
-    rng = np.random.default_rng(11)
-    emit = (weights + smoothing) * rng.lognormal(0, 1.5, (states, symbols))
-    emit /= emit.sum(axis=1, keepdims=True)
-    move = np.full((states, states), 0.1) + 9.0 * np.eye(states)  # states last, so they settle on topics before word order
-    move /= move.sum(axis=1, keepdims=True)
-    start = np.full(states, 1 / states)
+def _drop_stage(spark: SparkSession, folder: str) -> None:
+    """Delete the sums of a round that the next has replaced, and let go of its shuffle files."""
+    STAGES.remove(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def _meet(texts: DataFrame, tail: DataFrame, sums: DataFrame, states: int) -> DataFrame:
+    """``texts`` with ``items``: the rare words of each, with their expected counts."""
+    counts = sums.where("id >= 0").select("id", *(F.col(f"c{k}").cast("float").alias(f"c{k}") for k in range(states)))
+    items = tail.join(counts, "id").groupBy("row").agg(F.collect_list(F.struct("j", "id", "n", *(f"c{k}" for k in range(states)))).alias("items"))  # bounded by one text
+    return texts.join(items, "row", "left")
+
+
+def train(encoded: DataFrame, tail: DataFrame, sums: DataFrame, model: Model, words: int, rounds: int, span: int = 256, budget: int = 400_000) -> tuple[Model, DataFrame]:
+    """Baum-Welch over all ``learn`` rows of ``encoded``. The expected counts of all words are a table (id, count in each state), summed
+    by key in each round and joined to the texts that hold the words; the driver and the tasks hold those of the leading words."""
+    spark, (states, offset) = encoded.sparkSession, model.lead.shape
+    names = [f"c{k}" for k in range(states)]
+    last = None
     for _ in range(rounds):
-        parts = sequences.select("symbols").mapInArrow(_learn(start, move, emit, span, budget), "piece int, counts binary")
-        # two levels of sums: many partitions' counts are never gathered at once
-        parts = parts.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(32))).groupBy("piece", "part").applyInPandas(_sum_pieces, "piece int, counts binary")
-        parts = parts.groupBy("piece").applyInPandas(_sum_pieces, "piece int, counts binary")
-        rows = sorted(parts.collect())
-        if not rows:
+        met = _meet(encoded.where("learn").select("row", "symbols"), tail.where("learn"), sums, states).select("symbols", "items")
+        parts = met.mapInArrow(_learn(model, span, budget), "id long, " + ", ".join(f"{c} double" for c in names))
+        sums = staged(parts.groupBy("id").agg(*(F.sum(c).alias(c) for c in names)))
+        fixed = sums.where("id < 0").toPandas()
+        if last:
+            _drop_stage(spark, last)
+        last = STAGES[-1]
+        if fixed.empty:
             break
-        table = np.concatenate([np.frombuffer(r["counts"]).reshape(-1, states) for r in rows])
-        start = (table[0] + smoothing) / (table[0] + smoothing).sum()
-        move = table[1 : states + 1] + smoothing
-        move = move / move.sum(axis=1, keepdims=True)
-        emit = table[states + 1 :].T + smoothing * weights / max(weights.sum(), 1) * states + 1e-6
-        emit = np.ascontiguousarray(emit / emit.sum(axis=1, keepdims=True))
-    return start, move, emit
+        table = np.zeros((states, states + 2 + offset))
+        table[:, _key(fixed["id"].to_numpy())] = fixed[names].to_numpy().T
+        model = make_model(table[:, 0], table[:, 1 : states + 1].T, table[:, states + 2 :], table[:, states + 1], words)
+    return model, sums
 
 
-def _score(start, move, emit):
-    schema = pa.schema([("row", pa.int64()), ("n_tokens", pa.int64()), ("log10_hmm", pa.float64())])
+def _score(model: Model, below: float):
+    schema = pa.schema([("doc_id", pa.int64()), ("learned", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seqs = [s.values.to_numpy(zero_copy_only=False) for s in batch.column(1)]
-            log = forward(seqs, start, move, emit) / math.log(10) if seqs else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in seqs], pa.int64()), pa.array(log, pa.float64())], schema=schema)
+            if not batch.num_rows:
+                continue
+            symbols, items, rare_n = batch.column("symbols"), batch.column("items"), batch.column("rare_n")
+            sequences, emit, flat, column = _unfold(model, symbols, items)
+            log = forward(sequences, model.start, model.move, emit) / math.log(10)
+            # the counts of rare words, those unseen in training at 0, in the order of their columns
+            k, n = rare_n.flatten().to_numpy(zero_copy_only=False), np.zeros(emit.shape[1] - model.lead.shape[1])
+            n[column - model.lead.shape[1]] = pc.struct_field(flat, "n").to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(rare_n).to_numpy(zero_copy_only=False))
+            known = batch.column("own_known").to_numpy() + np.bincount(row, k * (n > 0), minlength=batch.num_rows).astype(np.int64)
+            base = batch.column("own_base").to_numpy() + np.bincount(row, k * np.log10((n + 1) / below), minlength=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("learn"), pa.array([len(s) for s in sequences], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(log, pa.float64())], schema=schema)
     return run
 
 
@@ -250,44 +311,31 @@ def score_texts(docs: DataFrame, learn: Column, vocabulary: int = 16_384, broadc
     """One row per document: ``doc_id, learned, n_tokens, n_known, train_tokens, base_score, score``.
 
     Words (A-Z lower-cased) and one end token per text are counted over all rows where ``learn`` holds. ``base_score`` is the smoothed
-    unigram log10 likelihood with these counts. ``score`` is the log10 likelihood under a hidden Markov model: the ``vocabulary`` most
-    frequent words (a parameter of the model, so its size is bounded) are symbols of their own, every other word is the symbol of its
-    shape class times the word's smoothed share of that class. States are trained by Baum-Welch on all training texts; long
-    texts are learned from in spans but scored as one exact forward recursion. The ``broadcast_words`` most frequent words
-    travel with the tasks; all others meet their counts in a shuffle join, so no word is dropped.
+    unigram log10 likelihood with these counts. ``score`` is the log10 likelihood under a hidden Markov model in which every training
+    word has emissions of its own, trained by Baum-Welch on all training texts; one further symbol stands for all unseen words. Long
+    texts are learned from in spans but scored as one exact forward recursion. The counts of the most frequent words, as many as
+    the larger of ``vocabulary`` and ``broadcast_words``, travel with the tasks; all others meet their texts in a shuffle join. That
+    is a choice of plan and changes no score.
 
     NULL text is the empty text: one end token. With no training rows all counts are 0. Repeated rows and rows with a NULL id are kept
     and scored each on its own. An empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), "text")
-    counts = staged(count_words(docs.where("learn")))
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    head = leading_words(counts, broadcast_words)
-    own, below = head[:vocabulary], [n for _, n in head[:vocabulary]]
-    # words and tokens of each shape class outside the vocabulary
-    by_class = {r["c"]: (r["n"], r["v"]) for r in counts.groupBy(shape_column(F.col("word")).alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-    rest_n, rest_v = np.zeros(SHAPES), np.zeros(SHAPES)
-    for c, (n, v) in by_class.items():
-        rest_n[c], rest_v[c] = n, v
-    for w, n in own:
-        rest_n[shape_class(w)] -= n
-        rest_v[shape_class(w)] -= 1
-    below_all, pool = total + distinct + 1, rest_n + rest_v + 1
-    known = {w: (k, n, math.log10((n + 1) / below_all), 0.0) for k, (w, n) in enumerate(own)}
-    for w, n in head[vocabulary:]:
-        c = shape_class(w)
-        known[w] = (len(own) + c, n, math.log10((n + 1) / below_all), math.log10((n + 1) / pool[c]))
-    kinds = "doc_id long, learn boolean, symbols array<int>, own_known long, own_base double, own_share double, rare array<string>, rare_n array<long>"
-    encoded = staged(docs.mapInArrow(_encode(known, len(own)), kinds).withColumn("row", F.monotonically_increasing_id()))
-    start, move, emit = train(encoded.where("learn"), np.concatenate((np.array(below, float), rest_n)), states, rounds)
-
-    scored = encoded.select("row", "symbols").mapInArrow(_score(start, move, emit), "row long, n_tokens long, log10_hmm double")
-    tail = encoded.where(F.size("rare") > 0).select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.rare_n").alias("k"))
-    met = tail.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    pools = F.get(F.array(*(F.lit(float(p)) for p in pool)), shape_column(F.col("word")))
-    tails = met.groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("rare_known"), F.sum(F.col("k") * F.log10((F.col("n") + 1) / F.lit(float(below_all)))).alias("rare_base"),
-                                   F.sum(F.col("k") * F.log10((F.col("n") + 1) / pools)).alias("rare_share"))
-    out = encoded.select("row", "doc_id", "learn", "own_known", "own_base", "own_share").join(scored, "row").join(tails, "row", "left")
-    zero = F.lit(0.0)
-    return out.select("doc_id", F.col("learn").alias("learned"), "n_tokens", (F.col("own_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-                      (F.col("own_base") + F.coalesce("rare_base", zero)).alias("base_score"), (F.col("log10_hmm") + F.col("own_share") + F.coalesce("rare_share", zero)).alias("score"))
+    names = [f"c{k}" for k in range(states)]
+    counts = count_words(docs.where("learn"))
+    sums = staged(counts.select("word", "n", *first_counts(counts, states), F.monotonically_increasing_id().alias("id")))
+    total, distinct, *totals = sums.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), *(F.coalesce(F.sum(c), F.lit(0.0)) for c in names)).first()
+    level, lowest = leading_level(sums, max(vocabulary, broadcast_words))
+    leads = F.lit(False) if lowest is None else level >= lowest
+    head = sums.where(leads).toPandas().sort_values(["n", "word"], ascending=[False, True])
+    below = total + distinct + 1
+    known = {w: (k, n, math.log10((n + 1) / below)) for k, (w, n) in enumerate(zip(head["word"], head["n"].tolist()))}
+    kinds = "doc_id long, learn boolean, symbols array<int>, own_known long, own_base double, rare array<string>, rare_n array<long>"
+    encoded = staged(docs.mapInArrow(_encode(known, len(known)), kinds).withColumn("row", F.monotonically_increasing_id()))
+    tail = staged(encoded.select("row", "learn", F.posexplode("rare").alias("j", "word")).join(sums.where(~leads).select("word", "id", "n"), "word").select("row", "learn", "j", "id", "n"))
+    move = np.full((states, states), 0.1) + 9.0 * np.eye(states)  # states last, so they settle on topics before word order
+    model = make_model(np.ones(states), move, head[names].to_numpy().T.reshape(states, -1), np.array(totals, float), distinct, smoothing=0.0)
+    model, sums = train(encoded, tail, sums, model, distinct, rounds)
+    met = _meet(encoded.select("row", "doc_id", "learn", "symbols", "own_known", "own_base", "rare_n"), tail, sums, states)
+    scored = met.mapInArrow(_score(model, float(below)), "doc_id long, learned boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", "learned", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -200,6 +200,20 @@ def test_hmm_base_and_likelihood(spark, awkward):
     assert hmm.score_texts(awkward.limit(0), F.lit(True)).count() == 0 and all(r["n_known"] == 0 for r in hmm.score_texts(awkward, F.lit(False)).collect())
 
 
+def test_hmm_learns_emissions_of_every_word_whatever_is_broadcast(spark):
+    rng = np.random.default_rng(8)
+    topics = [[f"{t}{k}" for k in range(40)] for t in "ab"]
+    texts = [(i, " ".join(rng.choice(topics[i % 2], 30)), "") for i in range(60)]
+    df = docs(spark, texts)
+    kinds = [(1, 1), (7, 3), (1000, 1000)]
+    got = [{r["doc_id"]: (r["n_known"], r["base_score"], r["score"]) for r in hmm.score_texts(df, F.col("doc_id") < 50, vocabulary=v, broadcast_words=b, states=2).collect()} for v, b in kinds]
+    for other in got[1:]:
+        assert all(np.allclose(other[i], got[0][i], rtol=1e-4) for i in got[0])
+    single = hmm.score_texts(df, F.col("doc_id") < 50, vocabulary=1, broadcast_words=1, states=1).collect()
+    assert all(math.isclose(r["score"], r["base_score"], rel_tol=1e-6) for r in single)
+    assert sum(got[0][i][2] - got[0][i][1] for i in range(50, 60)) > 5  # no word is among the leading ones, yet the states know its topic
+
+
 def test_hmm_recursions_equal_all_paths():
     rng = np.random.default_rng(6)
     start, move, emit = rng.dirichlet([1] * 3), rng.dirichlet([1] * 3, 3), rng.dirichlet([1] * 5, 3)
