@@ -21,9 +21,12 @@ def boilerplate(docs: DataFrame, min_sites: int = 3, sketch_bits: int = 12) -> D
     """Lines seen on at least ``min_sites`` distinct sites: ``(h1, h2, first)``, ``first`` the smallest id of a document with the line.
 
     HyperLogLog sketches of the sites merge inside tasks before the shuffle. Where the estimate is within four standard
-    errors (one site at least) of the threshold, sites are counted exactly.
+    errors (one site at least) of the threshold, sites are counted exactly. For two sites the smallest and the largest
+    site tell without a sketch.
     """
     lines = _lines(docs)
+    if min_sites == 2:
+        return lines.groupBy(*KEY).agg(F.min("doc_id").alias("first"), F.min("site").alias("low"), F.max("site").alias("high")).where("low < high").select(*KEY, "first")
     sketches = lines.groupBy(*KEY).agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(sketch_bits))).alias("sites"), F.min("doc_id").alias("first"))
     margin = max(1.0, 4 * 1.04 / 2 ** (sketch_bits / 2) * min_sites)
     sketches = staged(sketches.where(F.col("sites") >= min_sites - margin))

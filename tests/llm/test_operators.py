@@ -89,6 +89,16 @@ def test_lines_keep_the_first_and_all_rows(spark, awkward):
     assert lines.dedup_lines(awkward).count() == 12
 
 
+def test_pipeline_takes_out_passages_of_two_sites(spark):
+    import corpus_pipeline
+    passage, inside = " ".join(WORDS * 3), " ".join(WORDS[::-1] * 3)
+    rows = [(1, f"own 1\n{passage}", "a"), (2, f"own 2\n{passage}", "b"), (3, f"own 3\n{inside}", "a"), (4, f"own 4\n{inside}", "a"), (5, passage, None), (None, passage, "c")]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_boilerplate_lines(spark, docs(spark, rows), FOLDER).collect()}
+    assert got == {1: f"own 1\n{passage}", 2: "own 2", 3: f"own 3\n{inside}", 4: f"own 4\n{inside}", 5: "", None: passage}
+    two, one = docs(spark, [(1, "x", ""), (2, "x", "a")]), docs(spark, [(1, "x", ""), (2, "x", None)])  # NULL and empty are one site
+    assert lines.boilerplate(two, 2).count() == 1 and lines.boilerplate(one, 2).count() == 0
+
+
 def test_sketches_agree_with_exact_counts_far_from_the_threshold(spark):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("line "), (F.col("id") % 3).cast("string")).alias("text"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("source"))
     assert lines.boilerplate(df, 1000).count() == 3 and lines.boilerplate(df, 1334).count() == 1 and lines.boilerplate(df, 1335).count() == 0
