@@ -143,6 +143,19 @@ def test_a_template_of_bad_urls_is_rejected(spark):
     assert got[300] == "block" and got[301] == "allow" and got[100] == "allow"
 
 
+def test_unlabelled_branches_get_evidence_from_like_and_upper_nodes(spark):
+    rules = (("block", "h.com", "/bad/"), ("allow", "h.com", "/good/"), ("block", "k.com", "/x/a"), ("allow", "k.com", "/y/"))
+    rows = [(k, f"http://h.com/{a}/{b}/{k}{'.html' * (k % 3 == 0)}") for a, b, n in (("bad", "p", 90), ("twin", "q", 90), ("good", "info", 90)) for k in range(n)]
+    rows = [(k, u) for k, (_, u) in enumerate(rows)]
+    rows = [(k, u.replace("/p/", f"/p{'ab'[k % 2]}/").replace("/q/", f"/q{'ab'[k % 2]}/")) for k, u in rows]  # alike only once the level below has merged
+    rows += [(1000 + k, f"http://k.com/x/a{'abcd'[k % 4]}/{k}") for k in range(200)] + [(2000, "http://k.com/x/other"), (2001, "http://k.com/y/other"), (2002, "http://k.com/z")]
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
+    assert all(got[k] == (None, "block") for k in range(90, 180)) and all(got[k][1] == "allow" for k in range(180, 270))
+    assert got[2000] == (None, "block") and got[2001][1] == "allow"
+    torn = [(k, f"http://h.com/{('bad', 'good', 'both')[k % 3]}/{k}") for k in range(180)]  # like a bad branch and a good one
+    assert {r["verdict"] for r in urls.judge_urls(spark.createDataFrame(torn, "page_id long, url string"), rules).where("page_id % 3 = 2").collect()} == {"allow"}
+
+
 def test_embeddings_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "BLOCK", 40)
     rng = np.random.default_rng(4)
