@@ -39,8 +39,9 @@ def water_fill(sources: DataFrame, max_epochs: int) -> DataFrame:
     return sources.withColumn("target", F.least(cap.cast("double"), F.lit(level) * F.col("weight")))
 
 
-def mix_sources(docs: DataFrame, weight: Column | None = None, max_epochs: int = 3) -> DataFrame:
-    """How often each document enters the mix: ``doc_id, source, size, source_size, target, copies, taken``.
+def mix_sources(docs: DataFrame, weight: Column | None = None, max_epochs: int = 3, carry: list[str] | None = None) -> DataFrame:
+    """How often each document enters the mix: ``doc_id, source, size, source_size, target, copies, taken``,
+    and the columns in ``carry`` as the struct ``_carried``.
 
     ``weight`` is an expression over ``rank``, by default 1, 2, 3, repeating. A source's target over its size is its rate:
     every document is repeated the whole number of times, and the rest is met by documents in the order of a hash of
@@ -52,7 +53,8 @@ def mix_sources(docs: DataFrame, weight: Column | None = None, max_epochs: int =
     """
     weight = F.col("rank") % 3 + 1 if weight is None else weight
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sized = staged(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+    carried = [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("_carried")] if carry else []
+    sized = staged(docs.select("doc_id", "source", *carried, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
                                F.substring(digest, 1, 2).alias("coarse"), F.substring(digest, 3, 3).alias("fine")))
     grid = staged(sized.groupBy("source", "coarse").agg(F.sum("size").alias("words")))  # at most 256 rows per source
     sources = staged(ranked_sources(grid.groupBy("source").agg(F.sum("words").alias("source_size"))).withColumn("weight", weight))
@@ -76,4 +78,4 @@ def mix_sources(docs: DataFrame, weight: Column | None = None, max_epochs: int =
     extra = (F.col("coarse") < F.col("edge")) | ((F.col("coarse") == F.col("edge")) & (F.col("fine") <= F.col("last_fine")))
     copies = F.col("whole") + F.when(F.col("rest") > 0, F.coalesce(extra, F.lit(False)).cast("long")).otherwise(0)
     copies = F.when(F.col("size") > 0, F.least(copies, F.lit(max_epochs))).otherwise(0)
-    return joined.withColumn("copies", copies.cast("long")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return joined.withColumn("copies", copies.cast("long")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(["_carried"] if carry else []))

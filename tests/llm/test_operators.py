@@ -293,3 +293,16 @@ def test_pipeline_stages_keep_the_columns(spark):
         assert 0 < frame.count() <= seen
         seen = frame.count()
     assert {"doc_id", "copies", "taken"} <= set(frame.columns)
+
+
+def test_pipeline_gives_texts_and_one_row_of_an_id(spark):
+    import corpus_pipeline
+    rows = [(5, "short text", "a"), (5, "the longer text of this id", "b"), (5, "the longer text of this ie", "a"), (6, " ".join(WORDS), "b"), (None, "no id", "a"), (None, "no id either", "a")]
+    for parts in (1, 7):
+        kept = corpus_pipeline.keep_one_of_near_duplicates(spark, docs(spark, rows).repartition(parts), FOLDER)
+        assert sorted(map(str, kept.select("doc_id", "text", "source").collect())) == sorted(str(r) for r in docs(spark, [rows[k] for k in (2, 3, 4, 5)]).select("doc_id", "text", "source").collect())
+    mixed = corpus_pipeline.mix(spark, kept, FOLDER)
+    want = {(r["doc_id"], r["source"], r["size"]): r["copies"] for r in mixing.mix_sources(kept).collect()}
+    got = [(r["doc_id"], r["text"], r["source"], len(r["text"].split()), r["lang"], r["copies"], r["taken"]) for r in mixed.collect()]
+    assert sorted(map(str, got)) == sorted(str((i, t, s, len(t.split()), "en", c, c * len(t.split()))) for i, t, s in (rows[k] for k in (2, 3, 4, 5)) if (c := want[i, s, len(t.split())]))
+    assert got and set(kept.columns) <= set(mixed.columns)
