@@ -1,4 +1,4 @@
-"""The ten operators as registered queries with production parameters, and DuckDB text where SQL can express them."""
+"""The operators as registered queries with production parameters, and DuckDB text where SQL can express them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gatewise.llm import decontaminate, embeddings, hmm, language, licenses, lines, mixing, ngram_join, toxicity, urls
+from gatewise.llm import bpe, decontaminate, embeddings, hmm, infill, language, lexical, licenses, lines, mixing, ngram_join, toxicity, urls
 from gatewise.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,37 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     held = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out")
     score = F.col(toxicity.SCORE_COLUMN)
     return scored.select("doc_id", held, score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op11_lexical_search", sql=r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+g AS (SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d WHERE len(terms) > 0),
+c AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY row, term),
+w AS (SELECT term, floor(1000 * ln((2::DOUBLE * n_docs + 2) / (2::DOUBLE * count(*) + 1)))::BIGINT AS weight FROM c, g GROUP BY term, n_docs),
+m AS (SELECT row, doc_id, 50 + (50 * len(terms)::BIGINT * n_docs) // n_terms AS m FROM d, g WHERE len(terms) > 0),
+s AS (
+  SELECT item_id, doc_id, row, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM c JOIN m USING (row) JOIN w USING (term) JOIN i USING (term) GROUP BY item_id, doc_id, row),
+r AS (SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST))::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 50
+""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op12_byte_bpe")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = bpe.decode_texts(bpe.encode_texts(table(spark, folder, "documents"), path, public_tokenizers.PATTERN), path)
+    names = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(names.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op13_fill_in_middle")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    filled = infill.fill_in_middle(infill.pack_texts(table(spark, folder, "documents")))
+    return filled.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
