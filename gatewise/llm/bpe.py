@@ -16,7 +16,8 @@ from collections.abc import Iterator
 from itertools import chain
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 MAX_STATES = 100_000  # states held at a time in a Python worker; beyond it they are made anew
 MAX_PIECES = 200_000  # encoded pieces held at a time
@@ -285,20 +286,34 @@ class TextStream:
         return rest
 
 
+_SHARED: dict[tuple[str, str], Broadcast] = {}
+
+
+def shared_vocabulary(spark: SparkSession, path: str) -> Broadcast:
+    """The vocabulary file, read by the driver and broadcast once per application: its size is fixed, whatever the input.
+
+    The broadcast value is a dict that Python workers keep from task to task, as long as they are given the same broadcast. What a worker
+    makes of the vocabulary (transducer, states, pieces, decoder) is put into it, so encoding and decoding share one.
+    """
+    key = spark.sparkContext.applicationId, path
+    if key not in _SHARED:
+        _SHARED[key] = spark.sparkContext.broadcast({"ranks": read_ranks(path)})
+    return _SHARED[key]
+
+
 def encode_texts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Token ids of every whole text: ``doc_id``, ``ids`` (array of int), one row per row of ``docs``.
 
     ``pattern`` splits a text into pieces, which are encoded one by one; what it does not match is left out. NULL counts as empty and
     gives no ids; bytes that are not UTF-8 are read as U+FFFD. Repeated rows and ids stay as they are; other columns are left out.
-    The vocabulary file is read by the driver and broadcast: its size is fixed, whatever the input. A Python worker keeps the
-    states and pieces it has met, up to ``MAX_STATES`` and ``MAX_PIECES``.
+    A Python worker keeps the states and pieces it has met, up to ``MAX_STATES`` and ``MAX_PIECES``.
     """
-    shared = docs.sparkSession.sparkContext.broadcast({"ranks": read_ranks(path)})
+    shared = shared_vocabulary(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        kept = shared.value  # stays in the worker between tasks, and the machine with it
+        kept = shared.value
         if "pieces" not in kept:
             kept["pieces"] = Pieces(Transducer(kept["ranks"]))
         pieces, split = kept["pieces"], regex.compile(pattern).findall
@@ -320,7 +335,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def decode_texts(encoded: DataFrame, path: str) -> DataFrame:
     """The text of every row's ``ids``, added as ``decoded``. No ids or NULL give empty text; an id outside the vocabulary is an error."""
-    shared = encoded.sparkSession.sparkContext.broadcast({"ranks": read_ranks(path)})
+    shared = shared_vocabulary(encoded.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = shared.value
