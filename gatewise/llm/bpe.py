@@ -11,6 +11,7 @@ and what all configurations agree on is emitted at once, so the delay is at most
 from __future__ import annotations
 
 import base64
+import hashlib
 import math
 from collections.abc import Iterator
 from itertools import chain
@@ -20,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 MAX_STATES = 100_000  # states held at a time in a Python worker; beyond it they are made anew
-MAX_PIECES = 200_000  # encoded pieces held at a time
+MAX_PIECES = 150_000  # encoded pieces held at a time
 REPEATED = 64  # longer pieces, in characters, are not held
 
 
@@ -114,14 +115,17 @@ class Transducer:
                             seen = lengths[node].setdefault(length, [end, 0])
                             seen[0], seen[1] = min(seen[0], end), seen[1] + 1
         # place: by length of a part that all tokens below have, the first end; a bar at or before it leaves no token
-        self.shut = [{length: end for length, (end, n) in seen.items() if n == all_} for seen, all_ in zip(lengths, below)]
+        same: dict[tuple, dict] = {}
+        alike = lambda d: same.setdefault(tuple(d.items()), d)  # noqa: E731  equal small dicts are kept once
+        self.shut = [alike({length: end for length, (end, n) in seen.items() if n == all_}) for seen, all_ in zip(lengths, below)]
+        self.last_use, self.kids = [alike(d) for d in self.last_use], [alike(d) if not d else d for d in self.kids]
         self.forget()
 
     def forget(self) -> None:
         """Drop all states but the first."""
         self.numbers: dict[frozenset, int] = {}
         self.states: list[frozenset] = []  # pairs (configuration, tokens that wait)
-        self.moves: dict[int, tuple[int, tuple]] = {}  # by 256 * state + byte: the next state and what is emitted
+        self.moves: list[dict] = []  # by state and byte: the next state's moves and what is emitted; at -1 the state's number
         self.ends: list[tuple | None] = []
         self.places: dict[tuple, int] = {}
         self.configurations: list[tuple] = []
@@ -139,6 +143,7 @@ class Transducer:
         if number is None:
             number = self.numbers[state] = len(self.states)
             self.states.append(state)
+            self.moves.append({-1: number})
             done = [waiting for c, waiting in state if self.configurations[c][0] == 0]
             self.ends.append(done[0] if len(done) == 1 else None)
         return number
@@ -170,7 +175,7 @@ class Transducer:
             found.append((self._configuration((node, now, tuple(sorted(longer)))), ()))
         return tuple(found)
 
-    def _advance(self, number: int, byte: int) -> tuple[int, tuple]:
+    def _advance(self, number: int, byte: int) -> tuple[dict, tuple]:
         found = []
         for configuration, waiting in self.states[number]:
             key = configuration << 8 | byte
@@ -183,7 +188,8 @@ class Transducer:
         shortest = min((waiting for _, waiting in found), key=len)
         while agreed < len(shortest) and all(waiting[agreed] == shortest[agreed] for _, waiting in found):
             agreed += 1
-        move = self.moves[number << 8 | byte] = self._number(frozenset((c, waiting[agreed:]) for c, waiting in found)), shortest[:agreed]
+        then = self._number(frozenset((c, waiting[agreed:]) for c, waiting in found))
+        move = self.moves[number][byte] = self.moves[then], shortest[:agreed]
         return move
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
@@ -193,21 +199,23 @@ class Transducer:
         if len(self.states) > MAX_STATES:
             self.forget()
         out: list[int] = []
-        moves, number = self.moves, 0
+        at = self.moves[0]
         for byte in piece:
-            move = moves.get(number << 8 | byte)
+            move = at.get(byte)
             if move is None:
+                number = at[-1]
                 if len(self.states) > 2 * MAX_STATES:  # within one very long piece: keep only the state that it is in
                     state = [(self.configurations[c], waiting) for c, waiting in self.states[number]]
                     self.forget()
-                    moves, number = self.moves, self._number(frozenset((self._configuration(c), waiting) for c, waiting in state))
+                    number = self._number(frozenset((self._configuration(c), waiting) for c, waiting in state))
                 move = self._advance(number, byte)
-            number, emitted = move
+            at, emitted = move
             if emitted:
                 out += emitted
-        if self.ends[number] is None:
+        rest = self.ends[at[-1]]
+        if rest is None:
             raise AssertionError("no single encoding")
-        return (*out, *self.ends[number])
+        return (*out, *rest)
 
 
 class Pieces(dict):
@@ -257,6 +265,14 @@ class TextStream:
 
     def feed(self, ids: list[int]) -> str:
         """Text that ``ids`` complete. Unknown ids raise KeyError."""
+        return "".join(self._feed(ids[at : at + 128]) for at in range(0, len(ids), 128))
+
+    def _feed(self, ids: list[int]) -> str:
+        if self.state == 0:
+            try:
+                return "".join(map(self.closed.__getitem__, ids))
+            except KeyError:  # a token that ends within a code point
+                pass
         out = []
         for i in ids:
             if self.state == 0 and i in self.closed:
@@ -301,54 +317,84 @@ def shared_vocabulary(spark: SparkSession, path: str) -> Broadcast:
     return _SHARED[key]
 
 
-def encode_texts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Token ids of every whole text: ``doc_id``, ``ids`` (array of int), one row per row of ``docs``.
+ROWS = 256  # rows that a task works on at a time
 
-    ``pattern`` splits a text into pieces, which are encoded one by one; what it does not match is left out. NULL counts as empty and
-    gives no ids; bytes that are not UTF-8 are read as U+FFFD. Repeated rows and ids stay as they are; other columns are left out.
-    A Python worker keeps the states and pieces it has met, up to ``MAX_STATES`` and ``MAX_PIECES``.
-    """
-    shared = shared_vocabulary(docs.sparkSession, path)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
+def _encode(batches: Iterator[pa.RecordBatch], kept: dict, pattern: str) -> Iterator[pa.RecordBatch]:
+    """``doc_id`` and ``ids`` of batches of ``doc_id`` and text bytes, in batches of ``ROWS`` rows."""
+    import regex
 
-        kept = shared.value
-        if "pieces" not in kept:
-            kept["pieces"] = Pieces(Transducer(kept["ranks"]))
-        pieces, split = kept["pieces"], regex.compile(pattern).findall
-        for batch in batches:
+    if "pieces" not in kept:
+        kept["pieces"] = Pieces(Transducer(kept["ranks"]))
+    pieces, split = kept["pieces"], regex.compile(pattern).findall
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            part = batch.slice(at, ROWS)
             blocks, flat, offsets, before = [], [], [0], 0
-            for text in batch.column(1).to_pylist():
+            for text in part.column(1):
+                text = text.as_py()
                 if text:
                     flat += chain.from_iterable(map(pieces.__getitem__, split(text.decode("utf-8", "replace"))))
                 offsets.append(before + len(flat))
-                if len(flat) > 1_000_000:  # boxed numbers take much room
+                if len(flat) > 1_000_000:
                     blocks.append(pa.array(flat, pa.int32()))
                     before, flat = offsets[-1], []
             ids = pa.concat_arrays([*blocks, pa.array(flat, pa.int32())])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), ids)], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), ids)], names=["doc_id", "ids"])
+
+
+def _decode(batches: Iterator[pa.RecordBatch], kept: dict) -> Iterator[pa.RecordBatch]:
+    """The batches with the text of their ``ids`` as ``decoded``."""
+    if "stream" not in kept:
+        kept["stream"] = TextStream({rank: token for token, rank in kept["ranks"].items()})
+    stream = kept["stream"]
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            part, texts = batch.slice(at, ROWS), []
+            for ids in part.column(part.schema.get_field_index("ids")):
+                ids, out = ids.values, []
+                for first in range(0, len(ids) if ids is not None else 0, 65_536):
+                    out.append(stream.feed(ids[first : first + 65_536].to_pylist()))
+                texts.append("".join(out) + stream.finish())
+            yield part.append_column("decoded", pa.array(texts, pa.string()))
+
+
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = [",".join(map(str, row)) for row in batch.column(1).to_pylist()]
+        texts = batch.column(2).to_pylist()
+        hashed = [pa.array([hashlib.sha256(t.encode()).hexdigest() for t in column], pa.string()) for column in (ids, texts)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).value_lengths().cast(pa.int64()), *hashed], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
+
+def _texts(docs: DataFrame) -> tuple[DataFrame, str]:
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")), docs.schema["doc_id"].dataType.simpleString()
+
+
+def encode_texts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """Token ids of every whole text: ``doc_id``, ``ids`` (array of int), one row per row of ``docs``.
+
+    ``pattern`` splits a text into pieces, which are encoded one by one; what it does not match is left out. NULL counts as empty and
+    gives no ids; bytes that are not UTF-8 are read as U+FFFD. Repeated rows and ids stay as they are; other columns are left out.
+    A Python worker keeps the states and pieces it has met, up to ``MAX_STATES`` and ``MAX_PIECES``.
+    """
+    shared, (texts, kind) = shared_vocabulary(docs.sparkSession, path), _texts(docs)
+    return texts.mapInArrow(lambda batches: _encode(batches, shared.value, pattern), f"doc_id {kind}, ids array<int>")
 
 
 def decode_texts(encoded: DataFrame, path: str) -> DataFrame:
     """The text of every row's ``ids``, added as ``decoded``. No ids or NULL give empty text; an id outside the vocabulary is an error."""
     shared = shared_vocabulary(encoded.sparkSession, path)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
+    return encoded.mapInArrow(lambda batches: _decode(batches, shared.value), f"{schema}, decoded string")
+
+
+def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """Both steps in one pass, in place of the ids and texts their number and hashes: ``doc_id``, ``n_tokens``, ``ids_sha256`` (of the decimal ids, joined
+    by commas) and ``decoded_sha256``. One worker at a time holds a machine, and only digests leave it. Awkward rows as in ``encode_texts``."""
+    shared, (texts, kind) = shared_vocabulary(docs.sparkSession, path), _texts(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = shared.value
-        if "stream" not in kept:
-            kept["stream"] = TextStream({rank: token for token, rank in kept["ranks"].items()})
-        stream = kept["stream"]
-        for batch in batches:
-            column, texts = batch.column(batch.schema.get_field_index("ids")), []
-            for row in range(len(column)):
-                ids = column[row].values
-                out = [stream.feed(ids[at : at + 65_536].to_pylist()) for at in range(0, len(ids), 65_536)] if ids is not None else []
-                texts.append("".join(out) + stream.finish())
-            yield batch.append_column("decoded", pa.array(texts, pa.string()))
+        return _digest(_decode(_encode(batches, shared.value, pattern), shared.value))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(run, f"{schema}, decoded string")
+    return texts.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -135,9 +135,7 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = bpe.decode_texts(bpe.encode_texts(table(spark, folder, "documents"), path, public_tokenizers.PATTERN), path)
-    names = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(names.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return bpe.round_trip_digests(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
 
 
 @query("op13_fill_in_middle")

@@ -86,6 +86,9 @@ def test_encoding_equals_the_library(spark, vocabulary):
     assert len(coded) == docs.count()
     want = Counter((r["doc_id"], tuple(plain.encode_ordinary(r["text"] or "")), r["text"] or "") for r in docs.collect())
     assert Counter((r["doc_id"], tuple(r["ids"]), r["decoded"]) for r in coded) == want
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    digests = bpe.round_trip_digests(docs, path, pattern)
+    assert Counter(map(tuple, digests.collect())) == Counter((d, len(ids), sha(",".join(map(str, ids))), sha(t)) for d, ids, t in want.elements())
     assert bpe.decode_texts(bpe.encode_texts(docs.limit(0), path, pattern), path).count() == 0
 
 
