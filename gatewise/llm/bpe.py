@@ -13,9 +13,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -320,51 +321,34 @@ def shared_vocabulary(spark: SparkSession, path: str) -> Broadcast:
 ROWS = 256  # rows that a task works on at a time
 
 
-def _encode(batches: Iterator[pa.RecordBatch], kept: dict, pattern: str) -> Iterator[pa.RecordBatch]:
-    """``doc_id`` and ``ids`` of batches of ``doc_id`` and text bytes, in batches of ``ROWS`` rows."""
+def _encoded(texts: Iterable[bytes | None], kept: dict, pattern: str) -> Iterator[list[int]]:
+    """Token ids of each text."""
     import regex
 
     if "pieces" not in kept:
         kept["pieces"] = Pieces(Transducer(kept["ranks"]))
     pieces, split = kept["pieces"], regex.compile(pattern).findall
-    for batch in batches:
-        for at in range(0, batch.num_rows, ROWS):
-            part = batch.slice(at, ROWS)
-            blocks, flat, offsets, before = [], [], [0], 0
-            for text in part.column(1):
-                text = text.as_py()
-                if text:
-                    flat += chain.from_iterable(map(pieces.__getitem__, split(text.decode("utf-8", "replace"))))
-                offsets.append(before + len(flat))
-                if len(flat) > 1_000_000:
-                    blocks.append(pa.array(flat, pa.int32()))
-                    before, flat = offsets[-1], []
-            ids = pa.concat_arrays([*blocks, pa.array(flat, pa.int32())])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), ids)], names=["doc_id", "ids"])
-
-
-def _decode(batches: Iterator[pa.RecordBatch], kept: dict) -> Iterator[pa.RecordBatch]:
-    """The batches with the text of their ``ids`` as ``decoded``."""
+    for text in texts:
+        yield list(chain.from_iterable(map(pieces.__getitem__, split(text.decode("utf-8", "replace"))))) if text else []
+
+
+def _decoded(rows: Iterable[list[int] | None], kept: dict) -> Iterator[str]:
+    """The text of each row of ids."""
     if "stream" not in kept:
         kept["stream"] = TextStream({rank: token for token, rank in kept["ranks"].items()})
     stream = kept["stream"]
+    for ids in rows:
+        yield stream.feed(ids or []) + stream.finish()
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS):
-            part, texts = batch.slice(at, ROWS), []
-            for ids in part.column(part.schema.get_field_index("ids")):
-                ids, out = ids.values, []
-                for first in range(0, len(ids) if ids is not None else 0, 65_536):
-                    out.append(stream.feed(ids[first : first + 65_536].to_pylist()))
-                texts.append("".join(out) + stream.finish())
-            yield part.append_column("decoded", pa.array(texts, pa.string()))
+            yield batch.slice(at, ROWS)
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = [",".join(map(str, row)) for row in batch.column(1).to_pylist()]
-        texts = batch.column(2).to_pylist()
-        hashed = [pa.array([hashlib.sha256(t.encode()).hexdigest() for t in column], pa.string()) for column in (ids, texts)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).value_lengths().cast(pa.int64()), *hashed], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+def _bytes(column: pa.Array) -> Iterator[bytes | None]:
+    return (text.as_py() for text in column)
 
 
 def _texts(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -379,14 +363,27 @@ def encode_texts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     A Python worker keeps the states and pieces it has met, up to ``MAX_STATES`` and ``MAX_PIECES``.
     """
     shared, (texts, kind) = shared_vocabulary(docs.sparkSession, path), _texts(docs)
-    return texts.mapInArrow(lambda batches: _encode(batches, shared.value, pattern), f"doc_id {kind}, ids array<int>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            rows = [pa.array(ids, pa.int32()) for ids in _encoded(_bytes(part.column(1)), shared.value, pattern)]
+            offsets = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.concat_arrays(rows))], names=["doc_id", "ids"])
+
+    return texts.mapInArrow(run, f"doc_id {kind}, ids array<int>")
 
 
 def decode_texts(encoded: DataFrame, path: str) -> DataFrame:
     """The text of every row's ``ids``, added as ``decoded``. No ids or NULL give empty text; an id outside the vocabulary is an error."""
     shared = shared_vocabulary(encoded.sparkSession, path)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(lambda batches: _decode(batches, shared.value), f"{schema}, decoded string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            rows = (ids.as_py() for ids in part.column(part.schema.get_field_index("ids")))
+            yield part.append_column("decoded", pa.array(list(_decoded(rows, shared.value)), pa.string()))
+
+    return encoded.mapInArrow(run, f"{schema}, decoded string")
 
 
 def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -394,7 +391,16 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     by commas) and ``decoded_sha256``. One worker at a time holds a machine, and only digests leave it. Awkward rows as in ``encode_texts``."""
     shared, (texts, kind) = shared_vocabulary(docs.sparkSession, path), _texts(docs)
 
+    def sha256(data: bytes) -> str:
+        return hashlib.sha256(data).hexdigest()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _digest(_decode(_encode(batches, shared.value, pattern), shared.value))
+        for part in _parts(batches):
+            sizes, names, decoded = [], [], []
+            for ids in _encoded(_bytes(part.column(1)), shared.value, pattern):
+                sizes.append(len(ids))
+                names.append(sha256(str(ids)[1:-1].replace(" ", "").encode()))
+                decoded += [sha256(text.encode()) for text in _decoded([ids], shared.value)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return texts.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
