@@ -5,10 +5,17 @@ Every function maps a DataFrame to a DataFrame with column expressions and looku
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Callable
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gatewise.functions.scalars import (COMMON_EMAIL_HOSTS, UNDEFINED, age_in_months, clip, email_host, first_set_flag, flag, has_digit, keep_or_other,
                                         keyword_flag, payload_list, payload_value, postcode_area)
+from gatewise.operators import encoders as E, evaluate as V
+from gatewise.operators.models import scorecard_contributions, top_reason
+from gatewise.session import staged
+from gatewise.sources.files import load_tables, save_tables
 from gatewise.sources.tables import require_columns
 
 # The raw payload contract.
@@ -52,34 +59,127 @@ def _country_lookup(countries: list[tuple[str, str]]) -> Column:
     return F.create_map(*(F.lit(x) for item in pairs.items() for x in item))
 
 
+# Which payload inputs come in envelopes, with a list or one value inside.
+LIST_ENVELOPES = ["INDIVIDUAL_CHECKS_C_NOT_PASSED", "APPLICANT_NATIONALITY__RawData", "COMPANY_SIC_CODES__RawData"]
+VALUE_ENVELOPES = ["APPLICANT_ID_COUNTRY_ISSUE__RawData", "COMPANY_INDUSTRY_CLASSIFICATION__RawData", "APPLICANT_POSTCODE__RawData", "COMPANY_POSTCODE__RawData",
+                   "APPLICANT_email_domain__RawData"]
+
+
+def open_envelopes(payload: DataFrame, keep: list[str]) -> DataFrame:
+    """The payload with the content in place of its envelopes. A generator gives it out, so each envelope is parsed once, however often it is used."""
+    require_columns(payload, PAYLOAD_INPUTS)
+    content = [payload_list(n).alias(n) for n in LIST_ENVELOPES] + [payload_value(n).alias(n) for n in VALUE_ENVELOPES]
+    plain = [F.col(f"`{n}`") for n in PAYLOAD_INPUTS if n not in LIST_ENVELOPES + VALUE_ENVELOPES]
+    return payload.select(*keep, *plain, F.inline(F.array(F.struct(*content))))
+
+
 def payload_features(payload: DataFrame, countries: list[tuple[str, str]], keep: list[str]) -> DataFrame:
     """Categorical and numeric inputs of the model from a payload; missing or invalid values become ``Undefined`` or NULL."""
-    require_columns(payload, PAYLOAD_INPUTS)
     c, known = F.col, _country_lookup(countries)
 
     def country(code: Column) -> Column:
         return F.coalesce(F.element_at(known, code), F.lit(UNDEFINED))
-    nationality = F.transform(payload_list("APPLICANT_NATIONALITY__RawData"), country)
-    codes = F.filter(F.transform(payload_list("COMPANY_SIC_CODES__RawData"), lambda x: F.trim(x)), lambda x: x != "")
+    nationality = F.transform("APPLICANT_NATIONALITY__RawData", country)
+    codes = F.filter(F.transform("COMPANY_SIC_CODES__RawData", lambda x: F.trim(x)), lambda x: x != "")
     undefined = F.array(F.lit(UNDEFINED))
     host = email_host(F.lower("APPLICANT_email_domain"))
     features = {
-        "individual_identity_address": flag(F.array_contains(payload_list("INDIVIDUAL_CHECKS_C_NOT_PASSED"), "INDIVIDUAL_IDENTITY_ADDRESS")),
-        "applicant_idcountry_issue": country(payload_value("APPLICANT_ID_COUNTRY_ISSUE__RawData")),
+        "individual_identity_address": flag(F.array_contains("INDIVIDUAL_CHECKS_C_NOT_PASSED", "INDIVIDUAL_IDENTITY_ADDRESS")),
+        "applicant_idcountry_issue": country(c("APPLICANT_ID_COUNTRY_ISSUE__RawData")),
         "applicant_nationality": F.when(F.size(nationality) > 0, nationality).otherwise(undefined),
         "company_sic": F.when(F.size(codes) > 0, codes).otherwise(undefined),
-        "company_icc": F.coalesce(payload_value("COMPANY_INDUSTRY_CLASSIFICATION__RawData"), F.lit(UNDEFINED)),
-        "applicant_postcode": postcode_area(payload_value("APPLICANT_POSTCODE__RawData")),
-        "company_postcode": postcode_area(payload_value("COMPANY_POSTCODE__RawData")),
+        "company_icc": F.coalesce("COMPANY_INDUSTRY_CLASSIFICATION__RawData", F.lit(UNDEFINED)),
+        "applicant_postcode": postcode_area("APPLICANT_POSTCODE__RawData"),
+        "company_postcode": postcode_area("COMPANY_POSTCODE__RawData"),
         "applicant_email_domain": keep_or_other(host, COMMON_EMAIL_HOSTS),
-        "applicant_email_numeric": has_digit(payload_value("APPLICANT_email_domain__RawData")),
+        "applicant_email_numeric": has_digit("APPLICANT_email_domain__RawData"),
         "applicant_years_to_id_expiry": c("APPLICANT_YEARS_TO_ID_EXPIRY").cast("double"),
         "age_at_completion": c("AGE_AT_COMPLETION").cast("double"),
         "company_age_at_completion": c("COMPANY_AGE_AT_COMPLETION").cast("double"),
         "is_restricted_keyword_present": F.greatest("COMPANY_KEYWORDS_Prohibited", "COMPANY_KEYWORDS_High"),
         "applicant_id_type": first_set_flag(ID_TYPE_FLAGS), "company_structurelevelwise": first_set_flag(STRUCTURE_FLAGS),
     }
-    return payload.select(*keep, *(v.alias(n) for n, v in features.items()))
+    return open_envelopes(payload, keep).select(*keep, *(v.alias(n) for n, v in features.items()))
+
+
+# ---- encode, bin, score ------------------------------------------------------------------------------------------
+
+# How the model takes each payload feature.
+ENCODED = ["applicant_idcountry_issue", "company_icc", "applicant_postcode", "company_postcode", "applicant_email_domain", "applicant_id_type", "company_structurelevelwise"]
+ENCODED_LISTS = ["applicant_nationality", "company_sic"]
+NUMERIC = ["age_at_completion", "company_age_at_completion", "applicant_years_to_id_expiry"]
+FLAGS = ["individual_identity_address", "applicant_email_numeric", "is_restricted_keyword_present"]
+BUSINESS = "company_nob_encoded"  # the larger one of industry and codes
+WOE_INPUTS = [*(f"{f}_encoded" for f in ENCODED if f != "company_icc"), "applicant_nationality_encoded", BUSINESS, *NUMERIC]
+
+
+class Chain(NamedTuple):
+    """Fitted steps from features to a score: category encodings (feature, category, value), bins (feature, bin, upper, woe) and the
+    linear model (feature, coefficient, mean), its intercept under the empty name."""
+
+    encodings: DataFrame
+    bins: DataFrame
+    model: DataFrame
+
+
+def encode_features(features: DataFrame, encodings: DataFrame) -> DataFrame:
+    """Encoded columns of all categories; a list counts by its largest entry. No join and no shuffle: it works on streams."""
+    known = {f: E.lookup_constant(encodings, f) for f in ENCODED + ENCODED_LISTS}
+    out = features.withColumns({f"{f}_encoded": E.looked_up(known[f], F.col(f)) for f in ENCODED} | {f"{f}_encoded": E.looked_up_largest(known[f], f) for f in ENCODED_LISTS})
+    return out.withColumn(BUSINESS, F.greatest("company_icc_encoded", "company_sic_encoded"))
+
+
+def model_inputs(encoded: DataFrame, bins: DataFrame) -> DataFrame:
+    """Weights of evidence in place of encodings and numbers (``*_woe``); flags stay."""
+    fits = E.woe_fits(bins)
+    return encoded.withColumns({f"{f}_woe": E.woe_column(fits[f]) for f in WOE_INPUTS})
+
+
+def fit_encodings(features: DataFrame, label: str, fit: Callable[[DataFrame], DataFrame] = E.fit_mixed_encoding) -> DataFrame:
+    """Encodings of all categories from labelled features. Lists are fitted on their first entry."""
+    counts = E.category_counts(features, ENCODED, label)
+    for f in ENCODED_LISTS:
+        counts = counts.unionByName(E.list_category_counts(features, f, label))
+    return fit(counts).select("feature", "category", "value")
+
+
+def fit_chain(features: DataFrame, label: str, cuts: dict[str, list[float]], coefficients: dict[str, float], intercept: float,
+              fit: Callable[[DataFrame], DataFrame] = E.fit_mixed_encoding) -> Chain:
+    """All three tables from labelled features, for a linear model whose coefficients are given; means are those of the fit."""
+    spark = features.sparkSession
+    encodings = staged(fit_encodings(features, label, fit))
+    encoded = staged(encode_features(features, encodings))
+    bins = E.woe_bin_table(spark, E.fit_many_woe_bins(encoded, {f: cuts[f] for f in WOE_INPUTS}, label))
+    means = model_inputs(encoded, bins).agg(*(F.avg(f).alias(f) for f in coefficients)).first()
+    rows = [("", float(intercept), 0.0)] + [(f, float(c), float(means[f] or 0.0)) for f, c in coefficients.items()]
+    return Chain(encodings, bins, spark.createDataFrame(rows, "feature string, coefficient double, mean double"))
+
+
+def save_chain(chain: Chain, folder: str) -> None:
+    save_tables(chain._asdict(), folder)
+
+
+def load_chain(spark: SparkSession, folder: str) -> Chain:
+    """The chain from its files alone."""
+    return Chain(**load_tables(spark, folder, list(Chain._fields)))
+
+
+def score_features(features: DataFrame, chain: Chain, keep: list[str], score: str = "score") -> tuple[DataFrame, Column]:
+    """Whole scores 0..1000 of features, and the reason column of ``decide``: the feature that adds most."""
+    model = {r["feature"]: (r["coefficient"], r["mean"]) for r in chain.model.collect()}  # a row per feature
+    intercept = model.pop("")[0]
+    inputs = model_inputs(encode_features(features, chain.encodings), chain.bins).select(*keep, *model)
+    contributions = scorecard_contributions({f: c for f, (c, _) in model.items()}, {f: m for f, (_, m) in model.items()})
+    logit = sum(contributions.values(), F.lit(intercept))
+    named = {f.removesuffix("_woe").removesuffix("_encoded"): c for f, c in contributions.items()}
+    scored = inputs.withColumns({"_p": 1 / (1 + F.exp(-logit)), "_reason": top_reason(named)})
+    return scored.select(*keep, V.to_score("_p").alias(score), "_reason"), F.col("_reason")
+
+
+def decide_payloads(payload: DataFrame, countries: list[tuple[str, str]], chain: Chain, high: float, medium: float, keep: list[str]) -> DataFrame:
+    """From raw payloads to decisions: parse, clean, encode, bin, score, standardise, decide. One narrow function for tables and streams."""
+    scored, reason = score_features(payload_features(payload, countries, keep), chain, keep)
+    return decide(scored, "score", high, medium, reason).select(*keep, "raw_rating", "rating", "category", "decision", "reason")
 
 
 def standardise_score(score: str | Column, high: float, medium: float) -> Column:

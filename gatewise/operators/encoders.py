@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from itertools import combinations
 
@@ -113,10 +114,56 @@ def apply_encoding(df: DataFrame, table: DataFrame, features: list[str], suffix:
     return out
 
 
+# Fitted categories of one feature that are held as a constant of the plan; larger tables are joined.
+LOOKUP_LIMIT = 20_000
+LOOKUP_SLOTS = 256
+
+
+def _lookup_key(value: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit(""))  # map keys cannot be NULL
+
+
+def _lookup_slot(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(LOOKUP_SLOTS)).cast("int")
+
+
+def lookup_constant(table: DataFrame, feature: str) -> Column:
+    """The categories and values of one feature as a constant of the plan: an array of small maps, addressed by hash.
+
+    Rows are encoded without a join, inside lists too, on tables and on streams. The table is counted first: more than
+    ``LOOKUP_LIMIT`` categories raise an error. The constant travels as JSON, which the optimizer folds once per query.
+    """
+    rows = table.filter(F.col("feature") == feature)
+    if (n := rows.count()) > LOOKUP_LIMIT:
+        raise ValueError(f"{n} categories of {feature}: join them instead")
+    key = _lookup_key(F.col("category"))
+    slots: list[dict[str, float]] = [{} for _ in range(LOOKUP_SLOTS)]
+    for r in rows.select(key.alias("k"), _lookup_slot(key).alias("slot"), "value").collect():
+        slots[r["slot"]][r["k"]] = r["value"]
+    return F.from_json(F.lit(json.dumps(slots)), "array<map<string, double>>")
+
+
+def looked_up(constant: Column, value: Column, default: float = 0.0) -> Column:
+    """Value of one category; ``default`` if it was not fitted. NULL matches a fitted NULL."""
+    key = _lookup_key(value)
+    return F.coalesce(F.element_at(F.element_at(constant, _lookup_slot(key) + 1), key), F.lit(default))
+
+
+def looked_up_largest(constant: Column, values: str | Column, default: float = 0.0) -> Column:
+    """Largest value over all entries of a list; NULL for an empty list."""
+    return F.array_max(F.transform(values, lambda x: looked_up(constant, x, default)))
+
+
 def apply_list_encoding(df: DataFrame, key: str, table: DataFrame, feature: str, suffix: str = "_encoded", default: float = 0.0) -> DataFrame:
-    """Largest encoding over all entries of a list feature (unseen entries count as ``default``); NULL for an empty list."""
-    side = broadcast_if_small(table.filter(F.col("feature") == feature).select(F.col("category").alias("_c"), F.col("value").alias("_v")))
-    entries = df.select(key, F.explode(feature).alias("_e")).join(side, F.col("_e") == F.col("_c"), "left")
+    """Largest encoding over all entries of a list feature (unseen entries count as ``default``); NULL for an empty list.
+
+    Up to ``LOOKUP_LIMIT`` categories no row moves; beyond it the entries meet the table in a join and return by ``key``.
+    """
+    table = cut_lineage(table.filter(F.col("feature") == feature))
+    if table.count() <= LOOKUP_LIMIT:
+        return df.withColumn(feature + suffix, looked_up_largest(lookup_constant(table, feature), feature, default))
+    side = table.select(F.col("category").alias("_c"), F.col("value").alias("_v"))
+    entries = df.select(key, F.explode(feature).alias("_e")).join(side, F.col("_e").eqNullSafe(F.col("_c")), "left")
     best = entries.groupBy(key).agg(F.max(F.coalesce("_v", F.lit(default))).alias(feature + suffix))
     return df.join(best, key, "left")
 
@@ -240,8 +287,21 @@ def fit_woe_bins(df: DataFrame, value: str, label: str, pre_bins: int = 20, max_
     else:
         inner = list(cuts)
     rows = {r["bin"]: (r["events"], r["non_events"]) for r in bin_counts(df, value, label, [-math.inf, *inner, math.inf]).collect()}
+    ends = merge_bins([rows.get(i, (0.0, 0.0)) for i in range(len(inner) + 1)], max_bins) if cuts is None else list(range(1, len(inner) + 2))
+    return _woe_fit(value, inner, rows, ends)
+
+
+def fit_many_woe_bins(df: DataFrame, cuts: dict[str, list[float]], label: str) -> list[dict]:
+    """``fit_woe_bins`` with given cuts for many numerics at once: one scan, one small aggregate."""
+    marks = F.array(*(F.struct(F.lit(f).alias("feature"), F.coalesce(edge_bin(f, [-math.inf, *inner, math.inf]), F.lit(-1)).alias("bin")) for f, inner in cuts.items()))
+    counted = df.select(label, F.explode(marks).alias("m")).groupBy("m.feature", "m.bin").agg(F.sum(label).cast("double").alias("events"), F.count("*").alias("n")).collect()
+    found = {(r["feature"], r["bin"]): (r["events"], r["n"] - r["events"]) for r in counted}
+    return [_woe_fit(f, list(inner), {b: c for (g, b), c in found.items() if g == f}, [*range(1, len(inner) + 2)]) for f, inner in cuts.items()]
+
+
+def _woe_fit(value: str, inner: list[float], rows: dict[int, tuple[float, float]], ends: list[int]) -> dict:
+    """Merge counted pre-bins at ``ends`` and give each its weight of evidence."""
     counted = [rows.get(i, (0.0, 0.0)) for i in range(len(inner) + 1)]
-    ends = merge_bins(counted, max_bins) if cuts is None else list(range(1, len(counted) + 1))
     events, others = sum(r[0] for r in rows.values()), sum(r[1] for r in rows.values())
 
     def woe(e: float, o: float) -> float:
@@ -254,6 +314,25 @@ def fit_woe_bins(df: DataFrame, value: str, label: str, pre_bins: int = 20, max_
             "missing": woe(*rows[-1]) if -1 in rows else 0.0, "counts": merged, "missing_counts": rows.get(-1, (0.0, 0.0))}
 
 
+def woe_bin_table(spark, fits: list[dict]) -> DataFrame:
+    """Fitted bins as a table ``(feature, bin, upper, woe)``: the last bin has no upper bound, the missing bin is -1."""
+    rows = [(f["feature"], i, None if i == len(f["edges"]) else float(f["edges"][i]), float(w)) for f in fits for i, w in enumerate(f["woe"])]
+    return spark.createDataFrame(rows + [(f["feature"], -1, None, float(f["missing"])) for f in fits], "feature string, bin int, upper double, woe double")
+
+
+def woe_fits(table: DataFrame) -> dict[str, dict]:
+    """``woe_column``'s input from such a table; it has one row per feature and bin."""
+    fits: dict[str, dict] = {}
+    for r in sorted(table.collect(), key=lambda r: (r["feature"], r["bin"])):
+        fit = fits.setdefault(r["feature"], {"feature": r["feature"], "edges": [], "woe": [], "missing": 0.0})
+        if r["bin"] == -1:
+            fit["missing"] = r["woe"]
+        else:
+            fit["woe"].append(r["woe"])
+            fit["edges"] += [] if r["upper"] is None else [r["upper"]]
+    return fits
+
+
 def woe_column(fit: dict, value: str | None = None) -> Column:
     """WOE of a value as a chain of comparisons (right-closed bins)."""
     c = F.col(value or fit["feature"])

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gatewise.session import cut_lineage, staged
@@ -103,9 +105,102 @@ def quantile_rows(df: DataFrame, by: list[str], value: str, probs: list[float],
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: list[float], buckets: int = 1) -> list[float]:
-    """Linear-interpolation quantiles of a column; only the results reach the driver."""
-    found = {r["place"]: r["quantile"] for r in quantile_rows(df, [], value, probs, buckets).collect()}
-    return [found.get(i, float("nan")) for i in range(len(probs))]
+    """Linear-interpolation quantiles of a column, by selection (``Brackets``): only values around the wanted ranks are put in order.
+
+    NaN is above all numbers. ``buckets`` is not needed any more.
+    """
+    cells = Brackets(df.select(F.col(value).cast("double").alias("v"), F.lit(1).alias("w")).where("v IS NOT NULL"))
+    places = [(cells.total - 1) * float(p) for p in probs]
+    if not cells.total:
+        return [float("nan")] * len(probs)
+    ranks = sorted({f(h) for h in places for f in (math.floor, math.ceil)})
+    near = cells.around([r + 0.5 for r in ranks], probs)
+    covered = F.filter(F.array(*map(F.lit, ranks)), lambda r: (r >= F.col("cum_w") - F.col("w")) & (r < F.col("cum_w")))
+    at = {r["r"]: r["v"] for r in near.select("v", F.explode(covered).alias("r")).collect()}  # a row per wanted rank
+    return [_between(at[math.floor(h)], at[math.ceil(h)], h - math.floor(h)) for h in places]
+
+
+def _between(low: float, high: float, part: float) -> float:
+    return low if low == high or not part else low + (high - low) * part
+
+
+# Rows between two neighbouring cuts that one task puts in order.
+BRACKET_ROWS = 200_000
+SKETCH_ACCURACY = 10_000
+
+
+class Brackets:
+    """Selection of values by running mass, without putting all values in order.
+
+    A quantile sketch gives cuts on both sides of each wanted place, and around each of its points a cell for this one value, so
+    that ties cannot fill a cell. One scan counts rows and mass per cell, which tells for sure in which cell each place lies, however
+    good the sketch was. Wanted cells with more than ``BRACKET_ROWS`` rows and more than one value are cut again in the same way.
+    """
+
+    def __init__(self, rows: DataFrame):
+        """``rows``: value ``v`` (double, not NULL) and mass ``w``."""
+        self.rows = staged(rows.withColumn("v", F.col("v") + F.lit(0.0)))  # one zero only
+        self.cuts: list[float] = []
+        self._count()
+
+    def _count(self) -> None:
+        found = {r["cell"]: (r["n"], r["w"]) for r in self._marked().groupBy("cell").agg(F.count("*").alias("n"), F.sum("w").alias("w")).collect()}
+        self.counts = [found.get(i, (0, 0)) for i in range(len(self.cuts) + 2)]  # the last cell is that of NaN
+        self.total = sum(w for _, w in self.counts)
+
+    def _marked(self) -> DataFrame:
+        if not self.cuts:
+            return self.rows.withColumn("cell", F.when(F.isnan("v"), F.lit(1)).otherwise(F.lit(0)))
+        cutter = Bucketizer(splits=[-math.inf, *self.cuts, math.inf], inputCol="v", outputCol="_cell", handleInvalid="keep")
+        return cutter.transform(self.rows).select("v", "w", F.col("_cell").cast("int").alias("cell"))
+
+    def _cut_at(self, points: list[float]) -> bool:
+        fresh = {x for p in points if p is not None and math.isfinite(p) for x in (p, math.nextafter(p, math.inf))} - set(self.cuts)
+        fresh = {x + 0.0 for x in fresh if math.isfinite(x)}
+        self.cuts = sorted(fresh | set(self.cuts))
+        return bool(fresh)
+
+    def _wanted(self, masses: list[float], beside: int) -> set[int]:
+        """Cells where the running mass reaches one of ``masses``, with the nearest ``beside`` cells on each side that hold rows."""
+        filled = [i for i, (n, _) in enumerate(self.counts) if n]
+        ends, run = [], 0
+        for i in filled:
+            run += self.counts[i][1]
+            ends.append(run)
+        wanted = set()
+        for m in masses:
+            at = min(bisect.bisect_left(ends, m), len(filled) - 1)
+            wanted.update(filled[max(at - beside, 0) : at + beside + 1])
+        return wanted
+
+    def _wide(self, cell: int) -> bool:
+        n = self.counts[cell][0]
+        single = cell == len(self.cuts) + 1 or 0 < cell < len(self.cuts) and self.cuts[cell] == math.nextafter(self.cuts[cell - 1], math.inf)
+        return n > BRACKET_ROWS and not single
+
+    def around(self, masses: list[float], probs: list[float], beside: int = 0) -> DataFrame:
+        """Distinct values near the running ``masses``: ``v``, their mass ``w`` and the running mass ``cum_w`` up to and with them.
+
+        ``probs`` says about where they lie; it only steers the first cuts. With ``beside=1`` the nearest values below and above every place
+        are among the rows.
+        """
+        if sum(n for n, _ in self.counts) > BRACKET_ROWS:
+            shift = 2 / SKETCH_ACCURACY
+            points = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-shift, 0.0, shift)})
+            if self._cut_at(self.rows.agg(F.percentile_approx("v", points, SKETCH_ACCURACY)).first()[0] or []):
+                self._count()
+        while wide := [i for i in self._wanted(masses, beside) if self._wide(i)]:
+            inner = F.percentile_approx("v", [i / 16 for i in range(17)], SKETCH_ACCURACY)
+            cut = self._marked().where(F.col("cell").isin(wide)).groupBy("cell").agg(inner.alias("points")).collect()  # a row per cell
+            if not self._cut_at([x for r in cut for x in r["points"]]):
+                break
+            self._count()
+        wanted = sorted(self._wanted(masses, beside))
+        before = [sum(w for _, w in self.counts[:i]) for i in wanted]
+        offset = F.element_at(F.create_map(*(F.lit(x) for pair in zip(wanted, before) for x in pair)), F.col("cell"))
+        values = self._marked().where(F.col("cell").isin(wanted)).groupBy("cell", "v").agg(F.sum("w").alias("w"))
+        running = W.partitionBy("cell").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
+        return values.select("v", "w", (F.sum("w").over(running) + offset).alias("cum_w"))
 
 
 def grouped_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float], buckets: int = 1) -> DataFrame:
@@ -118,16 +213,19 @@ def weighted_quantiles(df: DataFrame, value: str, weight: str, probs: list[float
     """Quantiles by interpolation on ``(cumulative weight - weight/2) / total``; de-duplicated and sorted.
 
     Rows with equal values are merged first, so the result does not depend on the order of ties. ``old_style`` stretches
-    the positions to 0..1.
+    the positions to 0..1. Only values around the wanted places are put in order (``Brackets``).
     """
     if any(not 0 <= p <= 1 for p in probs):
         raise ValueError("quantiles must lie in [0, 1]")
-    run = cumulative_by_value(df, value, {"w": F.sum(weight)}, buckets=buckets)
-    run = cut_lineage(run.select(F.col(value).cast("double").alias("v"), "cum_w", (F.col("cum_w") - F.col("w") / 2).alias("mid"), "total_w"))
-    ends = run.agg(F.min("mid"), F.max("mid"), F.max("total_w")).first()
-    if ends[0] is None:
+    cells = Brackets(df.select(F.col(value).cast("double").alias("v"), F.col(weight).cast("double").alias("w")).where("v IS NOT NULL"))
+    if not any(n for n, _ in cells.counts):
         return []
-    low, span = (ends[0], ends[1] - ends[0]) if old_style else (0.0, ends[2])
+    low, span = 0.0, float(cells.total)
+    if old_style:
+        ends = cells.rows.agg(F.min("v").alias("first"), F.max("v").alias("last")).first()
+        outer = cells.rows.agg(*(F.coalesce(F.sum(F.when(F.col("v") == F.lit(ends[e]), F.col("w"))), F.lit(0.0)).alias(e) for e in ("first", "last"))).first()
+        low, span = outer["first"] / 2, cells.total - outer["last"] / 2 - outer["first"] / 2
+    run = cut_lineage(cells.around([low + p * span for p in probs], probs, beside=1).withColumn("mid", F.col("cum_w") - F.col("w") / 2))
     place = ((F.col("mid") - F.lit(low)) / F.lit(span)) if span else F.lit(0.0)
     marked = run.withColumn("p", place)
     row = marked.agg(*(f for i, p in enumerate(probs) for f in (

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gatewise.operators import decide as D
-from gatewise.plans.decisions import HIGH, MEDIUM
+from gatewise.plans.decisions import _CHAIN, HIGH, MEDIUM, PAIRS, payloads, saved_chain
 from gatewise.plans.registry import query
+from gatewise.sources.files import write_stage
 from gatewise.sources.standins import load
 from gatewise.streaming import decisions as S
 
@@ -15,25 +16,21 @@ def events(spark, d):
     return S.event_stream(spark, d, "events", "ts")
 
 
-def _decide(df):
-    scored = df.withColumn("score", (F.col("event_id") * 37 + F.floor("value").cast("bigint")) % 1001)
-    return D.decide(scored, "score", HIGH, MEDIUM).select("event_id", "user_id", "raw_rating", "rating", "category", "decision")
-
-
-_STD = f"CAST(round_even(CASE WHEN score >= {HIGH} THEN (score - {HIGH}) / (1000 - {HIGH}) * 397 + 602 WHEN score >= {MEDIUM} THEN (score - {MEDIUM}) / ({HIGH} - 1 - {MEDIUM}) * 201 + 400 ELSE score / {MEDIUM} * 198 + 201 END, 0) AS INTEGER)"
-
-
-@query("stream_decisions", (), f"""
-s AS (SELECT event_id, user_id, (event_id * 37 + CAST(floor(value) AS BIGINT)) % 1001 AS score FROM events), r AS (SELECT *, {_STD} AS rating FROM s)
-SELECT event_id, user_id, score AS raw_rating, rating, CASE WHEN rating <= 399 THEN 'LOW' WHEN rating <= 601 THEN 'MEDIUM' ELSE 'HIGH' END AS category, CASE WHEN rating <= 601 THEN 'BAU' ELSE 'EDD' END AS decision FROM r""")
+@query("stream_decisions", ("members",), _CHAIN + " SELECT company_id, raw_rating, rating, category, decision, reason FROM decided")
 def stream_decisions(spark, d):
-    return S.available_rows(S.decide_stream(events(spark, d), _decide), "decide", "append")
+    """Payloads on arrival, by the function that ``decide_payloads`` uses on tables and the same files."""
+    folder = saved_chain(spark, d)
+    write_stage(payloads(spark, d), f"{folder}/arrived", None)
+    arrived = spark.readStream.schema(spark.read.parquet(f"{folder}/arrived").schema).parquet(f"{folder}/arrived")
+    chain = D.load_chain(spark, folder)
+    decided = S.decide_stream(arrived, lambda p: D.decide_payloads(p, PAIRS, chain, HIGH, MEDIUM, ["company_id"]))
+    return S.available_rows(decided, "decide", "append")
 
 
 @query("stream_rates", (), """
 SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, CAST(COUNT(*) AS BIGINT) AS n, ROUND(AVG(value), 6) AS mean_value FROM events GROUP BY 1, 2""")
 def stream_rates(spark, d):
-    out = S.available_rows(S.window_rates(events(spark, d), "ts", "event_type", "value", "1 day", "1 day"), "rates", "complete")
+    out = S.closed_rows(events(spark, d), "ts", "1 day", "rates", lambda e: S.window_rates(e, "ts", "event_type", "value", "1 day"))
     return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("mean_value", 6).alias("mean_value"))
 
 
@@ -41,7 +38,7 @@ def stream_rates(spark, d):
 w AS (SELECT ts, event_type, value, unnest([0, 1]) AS back FROM events)
 SELECT strftime(date_trunc('day', ts) - back * INTERVAL 1 DAY, '%Y-%m-%d') AS day, event_type, CAST(COUNT(*) AS BIGINT) AS n, ROUND(AVG(value), 6) AS mean_value FROM w GROUP BY 1, 2""")
 def stream_sliding_rates(spark, d):
-    out = S.available_rows(S.window_rates(events(spark, d), "ts", "event_type", "value", "2 days", "1 day", "1 day"), "sliding", "complete")
+    out = S.closed_rows(events(spark, d), "ts", "1 day", "sliding", lambda e: S.window_rates(e, "ts", "event_type", "value", "2 days", slide="1 day"))
     return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("mean_value", 6).alias("mean_value"))
 
 
@@ -50,7 +47,7 @@ g AS (SELECT user_id, ts, CASE WHEN ts - LAG(ts) OVER (PARTITION BY user_id ORDE
 s AS (SELECT user_id, ts, SUM(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT user_id, strftime(MIN(ts), '%Y-%m-%d %H:%M:%S') AS session_start, CAST(COUNT(*) AS BIGINT) AS n FROM s GROUP BY user_id, k""")
 def stream_sessions(spark, d):
-    out = S.available_rows(S.sessions(events(spark, d), "ts", "user_id", "6 hours", "1 day"), "sessions", "complete")
+    out = S.closed_rows(events(spark, d), "ts", "1 day", "sessions", lambda e: S.sessions(e, "ts", "user_id", "6 hours"))
     return out.select("user_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "n")
 
 
@@ -67,33 +64,29 @@ _LATEST = "SELECT user_id AS \"key\", event_id, payload FROM (SELECT user_id, ev
 
 @query("stream_latest_batches", (), _LATEST)
 def stream_latest_batches(spark, d):
-    target = S.new_state_folder(spark, "latest-out")
-    S.latest_by_batch(events(spark, d), "user_id", "ts", "event_id", "props", target, S.new_state_folder(spark, "latest"))
-    return S.read_latest(spark, target, "key long, at timestamp, event_id long, payload string").select("key", "event_id", "payload")
+    updates = S.available_rows(S.latest_rows(events(spark, d), "user_id", "ts", "event_id", "props"), "latest", "update")
+    return S.newest_update(updates)
 
 
 @query("stream_latest_state", (), _LATEST)
 def stream_latest_state(spark, d):
-    previous = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        out = S.available_rows(S.latest_state(events(spark, d), "user_id", "ts", "event_id", "props"), "state", "update")
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", previous)
-    newest = out.groupBy("key").agg(F.max_by(F.struct("event_id", "payload"), F.struct("at", "event_id")).alias("r"))
-    return newest.select("key", "r.event_id", "r.payload")
+    updates = S.available_rows(S.latest_state(events(S.state_session(spark), d), "user_id", "ts", "event_id", "props"), "state", "update")
+    return S.newest_update(updates)
+
+
+def label_stream(spark, d):
+    """Purchases stand for decisions, errors for fraud reports."""
+    return S.label_events(events(spark, d), "user_id", "ts", "event_id", "value", F.col("event_type") == "purchase", F.col("event_type") == "error")
 
 
 @query("stream_label_maturation", (), """
-SELECT a.event_id, CAST(b.event_id AS BIGINT) AS report_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 3 DAY
-WHERE a.event_type = 'purchase' AND b.event_type = 'error'""")
+SELECT a.event_id, arg_min(b.event_id, (b.ts, b.event_id)) AS report_id, strftime(MIN(b.ts), '%Y-%m-%d %H:%M:%S') AS reported_at, ROUND(arg_min(b.value, (b.ts, b.event_id)), 6) AS amount
+FROM events a LEFT JOIN events b ON a.user_id = b.user_id AND b.event_type = 'error' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 3 DAY
+WHERE a.event_type = 'purchase' AND a.user_id IS NOT NULL GROUP BY a.event_id""")
 def stream_label_maturation(spark, d):
-    """Matched pairs; unmatched decisions are emitted only after the watermark has passed them."""
-    e = events(spark, d)
-    decided = e.filter("event_type = 'purchase'").select("event_id", "user_id", F.col("ts").alias("decided_at"))
-    reports = events(spark, d).filter("event_type = 'error'").select("user_id", F.col("ts").alias("reported_at"), F.col("event_id").alias("report_id"))
-    out = S.available_rows(S.mature_labels(decided, reports, "user_id", "decided_at", "reported_at", "report_id", 3, "1 day"), "labels", "append")
-    return out.filter("report_id IS NOT NULL").select("event_id", "report_id")
+    """Every decision once: its first report within three days, or NULLs."""
+    out = S.closed_rows(label_stream(S.state_session(spark), d), "at", "1 day", "labels", lambda e: S.mature_labels(e, 3))
+    return out.select(F.col("decision_id").alias("event_id"), "report_id", F.date_format("reported_at", "yyyy-MM-dd HH:mm:ss").alias("reported_at"), F.round("amount", 6).alias("amount"))
 
 
 @query("late_label_reports", (), """

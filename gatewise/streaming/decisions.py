@@ -5,13 +5,24 @@ Watermarks need TIMESTAMP, while parquet written without a zone loads as TIMESTA
 
 from __future__ import annotations
 
+import datetime
+import sys
+import uuid
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructField, StructType
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from gatewise.session import checkpoint_folder, staged
+from gatewise.session import checkpoint_folder
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the library
+
+# No event is later: the time of the row that closes a bounded stream.
+END = datetime.datetime(9999, 1, 1, tzinfo=datetime.timezone.utc)
 
 
 def event_stream(spark: SparkSession, folder: str, name: str, time: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -24,7 +35,14 @@ def event_stream(spark: SparkSession, folder: str, name: str, time: str, files_p
     return reader.parquet(f"{folder}/{name}.parque[t]").withColumn(time, F.col(time).cast("timestamp"))
 
 
-def run_available(stream: DataFrame, mode: str, state_folder: str, output: str) -> None:
+class Ran(NamedTuple):
+    """What a run says at its end: rows that came after the watermark and were left out, and rows that are still kept as state."""
+
+    late: int
+    state_rows: int
+
+
+def run_available(stream: DataFrame, mode: str, state_folder: str, output: str) -> Ran:
     """Process everything available into parquet on shared storage, then stop.
 
     Append mode uses the file sink. The other modes write each micro-batch to its own generation ``batch=<id>``, which is replaced
@@ -35,39 +53,76 @@ def run_available(stream: DataFrame, mode: str, state_folder: str, output: str)
         started = writer.format("parquet").option("path", output).start()
     else:
         started = writer.foreachBatch(lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")).start()
-    started.awaitTermination()
+    seen: dict[tuple, dict] = {}
+    done = False
+    while not done:  # only so many progress reports are kept
+        done = started.awaitTermination(2)
+        seen |= {(p["batchId"], p["timestamp"]): p for p in started.recentProgress}
+    states = [p["stateOperators"] for _, p in sorted(seen.items()) if p["stateOperators"]]
+    return Ran(sum(o["numRowsDroppedByWatermark"] for s in states for o in s), sum(o["numRowsTotal"] for o in states[-1]) if states else 0)
 
 
 def new_state_folder(spark: SparkSession, name: str) -> str:
-    import uuid
     return f"{checkpoint_folder(spark)}/stream-{name}-{uuid.uuid4().hex}"
 
 
 def available_rows(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Run a bounded stream to its end into parquet and read it back: all rows (append), all updates, or the last complete result."""
+    """Run a bounded stream to its end into parquet and read it back: all rows (append) or all updates."""
     spark = stream.sparkSession
     state = new_state_folder(spark, name)
     output = f"{state}-out"
     run_available(stream, mode, state, output)
     if mode == "append":
         return spark.read.schema(stream.schema).parquet(output)
-    written = spark.read.schema(stream.schema.add("batch", "long")).parquet(output)
-    if mode == "complete":
-        last = written.agg(F.max("batch")).first()[0]
-        written = written.where(F.col("batch") == F.lit(last))
-    return written.drop("batch")
+    return spark.read.schema(stream.schema.add("batch", "long")).parquet(output).drop("batch")
+
 
+def closed_rows(stream: DataFrame, time: str, watermark: str, name: str, operator: Callable[[DataFrame], DataFrame], said: list[Ran] | None = None) -> DataFrame:
+    """All rows that ``operator`` gives in append mode for a bounded stream, those of windows still open at its end included.
 
-def window_rates(events: DataFrame, time: str, category: str, value: str, window: str, watermark: str, slide: str | None = None) -> DataFrame:
-    """Counts and mean value per tumbling (or sliding) window and category."""
+    ``operator`` gets the stream with its watermark. A first run takes what there is and emits what the watermark has passed. A second
+    one, from the same checkpoint, finds a single row at ``END`` in a source of its own: it moves the watermark past
+    everything, so the rest is emitted and its state goes. ``operator`` never sees that row. ``said`` collects what both runs say.
+    """
+    spark = stream.sparkSession
+    state = new_state_folder(spark, name)
+    output, closing = f"{state}-out", f"{state}-end"
+    schema = StructType([StructField(f.name, f.dataType, True) for f in stream.schema])
+    spark.createDataFrame([], schema).write.parquet(closing)
+    both = stream.unionByName(spark.readStream.schema(schema).parquet(closing)).withWatermark(time, watermark)
+    both = both.observe(name, F.count(F.lit(1)).alias("rows"))  # no filter of the operator moves below it, where it would hide the closing row
+    result = operator(both.where(F.col(time) < F.lit(END)))
+    ran = [run_available(result, "append", state, output)]
+    spark.createDataFrame([tuple(END if c == time else None for c in stream.columns)], schema).write.mode("append").parquet(closing)
+    ran.append(run_available(result, "append", state, output))
+    if said is not None:
+        said += ran
+    return spark.read.schema(result.schema).parquet(output)
+
+
+def state_session(spark: SparkSession) -> SparkSession:
+    """A session of the same application for streams with keyed state: it alone uses the state store that these need."""
+    session = spark.newSession()
+    for key in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions", "spark.checkpoint.dir"):
+        value = spark.conf.get(key, None)
+        if value is not None and not (key == "spark.checkpoint.dir" and spark.sparkContext.getConf().contains(key)):
+            session.conf.set(key, value)
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return session
+
+
+def window_rates(events: DataFrame, time: str, category: str, value: str, window: str, watermark: str | None = None, slide: str | None = None) -> DataFrame:
+    """Counts and mean value per tumbling (or sliding) window and category. Without ``watermark`` the events have theirs already."""
     span = F.window(time, window, slide) if slide else F.window(time, window)
-    return (events.withWatermark(time, watermark).groupBy(span.alias("w"), category).agg(F.count("*").alias("n"), F.avg(value).alias("mean_value"))
+    events = events.withWatermark(time, watermark) if watermark else events
+    return (events.groupBy(span.alias("w"), category).agg(F.count("*").alias("n"), F.avg(value).alias("mean_value"))
             .select(F.col("w.start").alias("window_start"), category, "n", "mean_value"))
 
 
-def sessions(events: DataFrame, time: str, key: str, gap: str, watermark: str) -> DataFrame:
-    """Session windows per key: start, end and number of events."""
-    return (events.withWatermark(time, watermark).groupBy(F.session_window(time, gap).alias("w"), key).agg(F.count("*").alias("n"))
+def sessions(events: DataFrame, time: str, key: str, gap: str, watermark: str | None = None) -> DataFrame:
+    """Session windows per key: start, end and number of events. Without ``watermark`` the events have theirs already."""
+    events = events.withWatermark(time, watermark) if watermark else events
+    return (events.groupBy(F.session_window(time, gap).alias("w"), key).agg(F.count("*").alias("n"))
             .select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n"))
 
 
@@ -105,64 +160,109 @@ def latest_state(events: DataFrame, key: str, time: str, event_id: str, payload:
                                                             outputMode="Update", timeMode="None")
 
 
-def latest_by_batch(events: DataFrame, key: str, time: str, event_id: str, payload: str, target: str, state_folder: str, parts: int = 64) -> None:
-    """Newest payload per key as parquet in ``parts`` parts by key hash: a micro-batch rewrites only the parts it has news for.
+def latest_rows(events: DataFrame, key: str, time: str, event_id: str, payload: str) -> DataFrame:
+    """The same as an update stream of Spark's own aggregate: combined before the shuffle, one state row per key."""
+    row = F.struct(F.col(time).alias("at"), F.col(event_id).alias("event_id"), F.col(payload).alias("payload"))
+    return events.groupBy(F.col(key).alias("key")).agg(F.max_by(row, F.struct(F.col(time), F.col(event_id))).alias("r")).select("key", "r.*")
+
+
+def newest_update(updates: DataFrame) -> DataFrame:
+    """The last of all updates per key."""
+    return updates.groupBy("key").agg(F.max_by(F.struct("event_id", "payload"), F.struct("at", "event_id")).alias("r")).select("key", "r.*")
+
+
+# ---- label maturation --------------------------------------------------------------------------------------------
+
+def label_events(events: DataFrame, key: str, time: str, event_id: str, amount: str, decided: Column, reported: Column) -> DataFrame:
+    """Decisions and reports of one stream in the layout of ``mature_labels``. A row that is neither is left out, one that is both counts twice."""
+    kinds = F.array_compact(F.array(F.when(decided, F.lit(True)), F.when(reported, F.lit(False))))
+    return events.select(F.col(key).cast("bigint").alias("key"), F.explode(kinds).alias("decision"), F.col(event_id).cast("bigint").alias("id"), F.col(time).alias("at"), F.col(amount).cast("double").alias("amount"))
+
 
-    A part's state lies in ``batch=<id>/part=<p>``; the highest batch of a part counts (``read_latest``). A retried batch replaces its own
-    folders and reads older ones alone. The state before the previous one of a rewritten part is deleted.
+class _Maturing(StatefulProcessor):
+    """Decisions whose interval is not over, each with its first report so far, and reports that a later row's decision may still want.
+
+    Times are microseconds. A decision's timer is the end of its interval; a report's is its own time, as every decision before it
+    is known by then. When the timers have fired nothing is kept.
     """
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.select(F.col(key).alias("key"), F.col(time).alias("at"), F.col(event_id).alias("event_id"), F.col(payload).alias("payload"))
-        fresh = fresh.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
-        newest = F.max_by(F.struct("at", "event_id", "payload"), F.struct("at", "event_id")).alias("r")
-        fresh = staged(fresh.groupBy("part", "key").agg(newest).select("part", "key", "r.*"))
-        touched = [r["part"] for r in fresh.select("part").distinct().collect()]  # at most ``parts``
-        if not touched:
-            return
-        states = {p: [g for g in sorted(written) if g < batch_id] for p, written in _part_batches(spark, target).items() if p in touched}
-        older = [f"{target}/batch={g[-1]}/part={p}" for p, g in states.items() if g]
-        if older:
-            kept = spark.read.schema(fresh.drop("part").schema).parquet(*older)
-            fresh = fresh.unionByName(kept.select(F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("part"), *kept.columns))
-        best = fresh.groupBy("part", "key").agg(newest).select("part", "key", "r.*")
-        best.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{target}/batch={batch_id}")
-        for p, g in states.items():
-            for old in g[:-1]:
-                _delete(spark, f"{target}/batch={old}/part={p}")
-    (events.writeStream.foreachBatch(merge).option("checkpointLocation", state_folder).trigger(availableNow=True).start().awaitTermination())
-
-
-def read_latest(spark: SparkSession, target: str, schema: str) -> DataFrame:
-    """The table that ``latest_by_batch`` keeps: every part from its highest batch."""
-    paths = [f"{target}/batch={max(written)}/part={p}" for p, written in _part_batches(spark, target).items()]
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
-
-
-def _part_batches(spark: SparkSession, target: str) -> dict[int, list[int]]:
-    """Batches that hold each part: a listing of folder names, not of rows."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/batch=*/part=*")
-    found: dict[int, list[int]] = {}
-    for status in path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []:
-        batch, part = str(status.getPath()).rsplit("/", 2)[1:]
-        found.setdefault(int(part.removeprefix("part=")), []).append(int(batch.removeprefix("batch=")))
-    return found
-
-
-def _delete(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def mature_labels(decisions: DataFrame, reports: DataFrame, key: str, decided_at: str, reported_at: str, report_id: str, days: int = 180, lateness: str = "7 days") -> DataFrame:
-    """Decisions with fraud reports of the same key within ``days``. Both sides are watermarked; keep only key, time and band on the left.
-
-    A decision without a report is emitted with NULL once the interval has passed.
+
+    def __init__(self, span: int):
+        self._span = span
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._open = handle.getMapState("open", "id bigint", "decided_at bigint, report_id bigint, reported_at bigint, amount double")
+        self._reports = handle.getMapState("reports", "id bigint", "reported_at bigint, amount double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        decisions, reports = [], []
+        for batch in rows:
+            for decision, row_id, at, amount in zip(batch["decision"], batch["id"], batch["micros"], batch["amount"]):
+                (decisions if decision else reports).append((int(at), int(row_id), None if pd.isna(amount) else float(amount)))
+        waiting = {k[0]: v for k, v in self._open.iterator()} if reports else {}
+        if decisions:
+            known = [(v[0], k[0], v[1]) for k, v in self._reports.iterator()]
+            for at, row_id, _ in decisions:
+                waiting[row_id] = self._with_first((at, None, None, None), [*known, *reports])
+                self._handle.registerTimer(self._timer(at + self._span))
+        changed = {row_id for _, row_id, _ in decisions}
+        for row_id, state in waiting.items():
+            better = state if row_id in changed else self._with_first(state, reports)
+            if row_id in changed or better != state:
+                self._open.updateValue((row_id,), better)
+        for at, row_id, amount in reports:
+            self._reports.updateValue((row_id,), (at, amount))
+            self._handle.registerTimer(self._timer(at))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        over = [(k[0], v) for k, v in self._open.iterator() if self._timer(v[0] + self._span) <= now]
+        for row_id, _ in over:
+            self._open.removeKey((row_id,))
+        for row_id in [k[0] for k, v in self._reports.iterator() if self._timer(v[0]) <= now]:
+            self._reports.removeKey((row_id,))
+        if over:
+            columns = {"key": [key[0]] * len(over), "decision_id": [i for i, _ in over], "decided_at": [v[0] for _, v in over],
+                       "report_id": pd.array([v[1] for _, v in over], "Int64"), "reported_at": pd.array([v[2] for _, v in over], "Int64"), "amount": pd.array([v[3] for _, v in over], "Float64")}
+            yield pd.DataFrame(columns)
+
+    def close(self) -> None:
+        pass
+
+    def _timer(self, micros: int) -> int:
+        return -(-micros // 1000)
+
+    def _with_first(self, state: tuple, reports: list[tuple]) -> tuple:
+        at, report_id, reported_at, amount = state
+        first = (reported_at, report_id) if report_id is not None else None
+        for when, row_id, value in reports:
+            if at <= when <= at + self._span and (first is None or (when, row_id) < first):
+                first, amount = (when, row_id), value
+        return (at, first[1], first[0], amount) if first else state
+
+
+def mature_labels(labelled: DataFrame, days: int = 180) -> DataFrame:
+    """One row per decision once its ``days`` are over: the first report of its key from then on, with time and amount, or NULLs.
+
+    ``labelled`` is a stream in the layout of ``label_events`` with a watermark on ``at``. State: a row for each decision not yet mature and for
+    each report the watermark has not passed. Reports that come too late for their decision are behind the watermark: Spark leaves
+    them out and counts them (``Ran.late``). Rows without id, key or time are left out. Start it in a ``state_session``.
     """
-    left = decisions.withWatermark(decided_at, lateness)
-    right = reports.select(F.col(key).alias("_key"), reported_at, report_id).withWatermark(reported_at, lateness)
-    near = (F.col(key) == F.col("_key")) & (F.col(reported_at) >= F.col(decided_at)) & (F.col(reported_at) <= F.col(decided_at) + F.expr(f"INTERVAL {int(days)} DAYS"))
-    return left.join(right, near, "leftOuter").drop("_key")
+    whole = labelled.where("key IS NOT NULL AND id IS NOT NULL AND at IS NOT NULL").withColumn("micros", F.unix_micros("at"))
+    out = whole.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=_Maturing(days * 86_400_000_000), outputMode="Append", timeMode="EventTime",
+        outputStructType="key bigint, decision_id bigint, decided_at bigint, report_id bigint, reported_at bigint, amount double")
+    return out.withColumns({c: F.timestamp_micros(c) for c in ("decided_at", "reported_at")})
+
+
+def first_reports(labelled: DataFrame, days: int = 180) -> DataFrame:
+    """The same for tables: one row per decision with its first report within ``days``, or NULLs."""
+    decided = labelled.where("decision").selectExpr("key", "id AS decision_id", "at AS decided_at")
+    reports = labelled.where("NOT decision").selectExpr("key AS _key", "id AS report_id", "at AS reported_at", "amount")
+    near = F.expr(f"key = _key AND reported_at >= decided_at AND reported_at <= decided_at + INTERVAL {int(days)} DAYS")
+    first = F.min_by(F.struct("report_id", "reported_at", "amount"), F.struct("reported_at", "report_id")).alias("r")
+    return decided.join(reports, near, "left").groupBy("key", "decision_id", "decided_at").agg(first).select("key", "decision_id", "decided_at", "r.*")
 
 
 def count_late(reports: DataFrame, decisions: DataFrame, key: str, decided_at: str, reported_at: str, days: int = 180) -> DataFrame:

@@ -34,19 +34,30 @@ def test_decisions(spark, folder):
     assert sorted(got.collect()) == sorted(decide(batch(spark, folder)).collect())
 
 
-def test_windows_closed_by_the_watermark(spark, folder):
-    rates = S.window_rates(stream(spark, folder), "ts", "kind", "value", "1 day", "1 day")
-    whole = {(r["window_start"], r["kind"]): r["n"] for r in S.available_rows(rates, "t_rates", "complete").collect()}
+def test_windows_are_closed_and_their_state_goes(spark, folder):
     want = {(r["window_start"], r["kind"]): r["n"] for r in S.window_rates(batch(spark, folder), "ts", "kind", "value", "1 day", "1 day").collect()}
-    assert whole == want
+    for files in (None, many_files(spark, folder)):
+        said = []
+        out = S.closed_rows(stream(spark, folder) if files is None else one_by_one(spark, files), "ts", "1 day", "t_rates", lambda e: S.window_rates(e, "ts", "kind", "value", "1 day"), said)
+        assert {(r["window_start"], r["kind"]): r["n"] for r in out.collect()} == want and out.count() == len(want)
+        assert said[0].state_rows > 0 and said[1] == S.Ran(0, 0)  # windows wait until the closing pass
+    rates = S.window_rates(stream(spark, folder), "ts", "kind", "value", "1 day", "1 day")
     closed = {(r["window_start"], r["kind"]): r["n"] for r in S.available_rows(rates, "t_closed", "append").collect()}
-    assert closed and closed.items() <= want.items()
+    assert closed and len(closed) < len(want) and closed.items() <= want.items()
+
+
+def test_sliding_windows_are_closed(spark, folder):
+    out = S.closed_rows(stream(spark, folder), "ts", "1 day", "t_sliding", lambda e: S.window_rates(e, "ts", "kind", "value", "2 days", slide="1 day"))
+    want = S.window_rates(batch(spark, folder), "ts", "kind", "value", "2 days", "1 day", "1 day")
+    assert sorted(out.collect()) == sorted(want.collect())
 
 
 def test_sessions(spark, folder):
-    got = S.available_rows(S.sessions(stream(spark, folder), "ts", "user_id", "21 hours", "1 day"), "t_sessions", "complete")
+    said = []
+    got = S.closed_rows(stream(spark, folder), "ts", "1 day", "t_sessions", lambda e: S.sessions(e, "ts", "user_id", "21 hours"), said)
     want = S.sessions(batch(spark, folder), "ts", "user_id", "21 hours", "1 day")
     assert sorted(got.collect()) == sorted(want.collect())
+    assert said[1].state_rows == 0
 
 
 def test_resent_events_are_dropped(spark, folder):
@@ -54,21 +65,58 @@ def test_resent_events_are_dropped(spark, folder):
     assert S.available_rows(S.drop_resent(twice, "ts", ["event_id"], "1 hour").select("event_id"), "t_once", "append").count() == 60
 
 
-def test_latest_by_batches_over_several_files(spark, folder, tmp_path):
-    many = str(tmp_path / "many")
-    batch(spark, folder).repartition(4).write.parquet(many)
-    events = spark.readStream.schema(spark.read.parquet(many).schema).option("maxFilesPerTrigger", 1).parquet(many)
-    target = str(tmp_path / "latest")
-    S.latest_by_batch(events, "user_id", "ts", "event_id", "props", target, str(tmp_path / "state"))
-    got = {r["key"]: r["payload"] for r in S.read_latest(spark, target, "key long, at timestamp, event_id long, payload string").collect()}
-    assert got == {0: "p56", 1: "p57", 2: "p58", 3: "p59"}
-
-
-def test_label_maturation(spark, folder):
-    e = stream(spark, folder)
-    left = e.filter("kind = 'a'").select("event_id", "user_id", F.col("ts").alias("decided_at"))
-    right = stream(spark, folder).filter("kind = 'a'").select("user_id", F.col("ts").alias("reported_at"), F.col("event_id").alias("report_id"))
-    out = S.available_rows(S.mature_labels(left, right, "user_id", "decided_at", "reported_at", "report_id", 2, "1 day"), "t_labels", "append")
-    got = {(r["event_id"], r["report_id"]) for r in out.filter("report_id IS NOT NULL").collect()}
-    want = {(i, j) for i in range(0, 60, 2) for j in range(i, 60, 4) if 5 * (j - i) <= 48}
-    assert got == want
+def many_files(spark, folder):
+    many = f"{folder}/many"
+    rows = spark.read.parquet(f"{folder}/events.parquet").collect()
+    for k in range(0, len(rows), 20):  # in order of time
+        spark.createDataFrame(rows[k : k + 20], "event_id bigint, ts timestamp_ntz, user_id bigint, kind string, value double, props string").coalesce(1).write.mode("append").parquet(many)
+    return many
+
+
+def one_by_one(spark, files):
+    return spark.readStream.schema(spark.read.parquet(files).schema).option("maxFilesPerTrigger", 1).parquet(files).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def test_latest_over_several_files(spark, folder):
+    files = many_files(spark, folder)
+    by_aggregate = S.available_rows(S.latest_rows(one_by_one(spark, files), "user_id", "ts", "event_id", "props"), "t_rows", "update")
+    by_state = S.available_rows(S.latest_state(one_by_one(S.state_session(spark), files), "user_id", "ts", "event_id", "props"), "t_state", "update")
+    for updates in (by_aggregate, by_state):
+        assert {r["key"]: r["payload"] for r in S.newest_update(updates).collect()} == {0: "p56", 1: "p57", 2: "p58", 3: "p59"}
+    assert by_aggregate.count() > 4  # an update per file
+
+
+def labelled(stream):
+    return S.label_events(stream, "user_id", "ts", "event_id", "value", F.col("event_id") % 3 == 0, F.col("event_id") % 5 == 0)
+
+
+def test_labels_mature_once_each(spark, folder):
+    """Equal to a plain loop, for one file and for several, with decisions that have no report; nothing is kept at the end."""
+    hours = {i: 5 * i for i in range(60)}
+    want = {}
+    for i in range(0, 60, 3):
+        reports = [j for j in range(0, 60, 5) if j % 4 == i % 4 and 0 <= hours[j] - hours[i] <= 48]
+        want[i] = (reports[0], float(reports[0])) if reports else (None, None)
+    assert None in {r for r, _ in want.values()}
+    session = S.state_session(spark)
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") != session.conf.get("spark.sql.streaming.stateStore.providerClass")
+    for source in (stream(session, folder), one_by_one(session, many_files(spark, folder))):
+        said = []
+        out = S.closed_rows(labelled(source), "at", "1 day", "t_labels", lambda e: S.mature_labels(e, 2), said).collect()
+        assert len(out) == len(want) and {r["decision_id"]: (r["report_id"], r["amount"]) for r in out} == want
+        assert said[0].state_rows > 0 and said[1] == S.Ran(0, 0)
+    table = S.first_reports(labelled(batch(spark, folder)), 2)
+    assert {r["decision_id"]: (r["report_id"], r["amount"]) for r in table.collect()} == want
+
+
+def test_late_reports_are_counted(spark, tmp_path):
+    at = lambda day: datetime.datetime(2024, 1, day, tzinfo=datetime.timezone.utc)
+    schema = "key bigint, decision boolean, id bigint, at timestamp, amount double"
+    files = str(tmp_path / "late")
+    for rows in ([(1, True, 1, at(1), None), (2, True, 2, at(20), None)], [(3, False, 9, at(20), 1.0)], [(1, False, 3, at(2), 5.0), (2, False, 4, at(21), 6.0), (2, False, 5, at(21), 7.0)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(files)
+    session, said = S.state_session(spark), []
+    source = session.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(files)
+    out = S.closed_rows(source, "at", "1 day", "t_late", lambda e: S.mature_labels(e, 3), said).collect()
+    assert {r["decision_id"]: (r["report_id"], r["amount"]) for r in out} == {1: (None, None), 2: (4, 6.0)}
+    assert sum(r.late for r in said) == 1  # the report of day 2 came after the watermark had closed decision 1

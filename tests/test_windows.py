@@ -131,3 +131,46 @@ def test_grouped_quantiles_equal_pandas(spark, split_ordered_work):
     for g, part in pdf.groupby("g"):
         assert out.loc[g, "q1"] == pytest.approx(np.quantile(part["v"], 0.1))
         assert out.loc[g, "q2"] == pytest.approx(np.quantile(part["v"], 0.75))
+
+
+@pytest.mark.parametrize("rows_in_order", [5, 200_000])
+def test_quantiles_by_brackets(spark, monkeypatch, rows_in_order):
+    """Ties that fill half of the rows, infinities and NaN, with brackets that must be cut again and without."""
+    monkeypatch.setattr(N, "BRACKET_ROWS", rows_in_order)
+    monkeypatch.setattr(N, "SKETCH_ACCURACY", 20)  # a coarse sketch: its cuts are far from the wanted ranks
+    rng = np.random.default_rng(8)
+    values = np.concatenate([rng.normal(size=700), np.full(600, 0.25), [np.inf, -np.inf, 1e300, -1e300], rng.integers(0, 3, 200)])
+    probs = [0.0, 0.001, 0.1, 0.25, 0.5, 0.61, 0.9, 0.999, 1.0]
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)] * 9, "v double").repartition(6)
+    want = [float("-inf"), *np.quantile(np.sort(values)[1:-1], [(p * (len(values) - 1) - 1) / (len(values) - 3) for p in probs[1:-1]]), float("inf")]
+    assert N.exact_quantiles(df, "v", probs) == pytest.approx(want)
+    with_nan = df.unionByName(spark.createDataFrame([(float("nan"),)] * 3000, "v double"))
+    got = N.exact_quantiles(with_nan, "v", [0.0, 0.2, 0.5, 1.0])
+    assert got[1] == pytest.approx(np.sort(values)[int(0.2 * (len(values) + 2999))], abs=0.02) and np.isnan(got[2]) and np.isnan(got[3])
+    assert np.isnan(N.exact_quantiles(df.where("v IS NULL"), "v", [0.5])[0])
+
+
+def test_weighted_quantiles_by_brackets(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    values, weights = np.round(rng.normal(size=900), 2), rng.random(900)
+    df = spark.createDataFrame([(float(v), float(w)) for v, w in zip(values, weights)], "v double, w double").repartition(5)
+    probs = [0.0, 0.05, 0.3, 0.5, 0.77, 0.99, 1.0]
+    distinct = np.unique(values)
+    mass = np.array([weights[values == v].sum() for v in distinct])
+    mid = np.cumsum(mass) - mass / 2
+    for old_style in (False, True):
+        place = (mid - mid[0]) / (mid[-1] - mid[0]) if old_style else mid / mass.sum()
+        want = sorted(set(np.interp(probs, place, distinct)))
+        whole = N.weighted_quantiles(df, "v", "w", probs, old_style)
+        monkeypatch.setattr(N, "BRACKET_ROWS", 4)
+        monkeypatch.setattr(N, "SKETCH_ACCURACY", 10)
+        assert N.weighted_quantiles(df, "v", "w", probs, old_style) == pytest.approx(want) and whole == pytest.approx(want)
+        monkeypatch.undo()
+
+
+def test_selection_sorts_only_brackets(spark, monkeypatch):
+    monkeypatch.setattr(N, "BRACKET_ROWS", 1000)
+    df = spark.range(50_000).select((F.col("id") * 7919 % 50_000).cast("double").alias("v"))
+    cells = N.Brackets(df.withColumn("w", F.lit(1)))
+    near = cells.around([25_000.5], [0.5])
+    assert near.count() <= 1000 and N.exact_quantiles(df, "v", [0.5]) == [24_999.5]
