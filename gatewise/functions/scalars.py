@@ -232,13 +232,26 @@ def make_envelope(inputs: dict[str, Column], value: Column, error: Column) -> Co
                      {"ignoreNullFields": "false"})
 
 
+def payload_content(value: str | Column, kind: str) -> Column:
+    """What is in ``{"value": ..}``, as ``kind``."""
+    return F.from_json(as_column(value), f"value {kind}").getField("value")
+
+
+def known_text(text: Column) -> Column:
+    """The text, or NULL when missing or null-like."""
+    return F.when(~is_missing(text), text)
+
+
+def known_entries(items: Column) -> Column:
+    """The entries without null-like ones; an empty array when there is none."""
+    return F.filter(F.coalesce(items, F.expr("CAST(array() AS array<string>)")), lambda x: ~is_missing(x))
+
+
 def payload_value(value: str | Column) -> Column:
     """``{"value": x}`` with a scalar: the text, or NULL when missing or null-like."""
-    text = F.from_json(as_column(value), "value string").getField("value")
-    return F.when(~is_missing(text), text)
+    return known_text(payload_content(value, "string"))
 
 
 def payload_list(value: str | Column) -> Column:
     """``{"value": [..]}``: the entries without null-like ones; an empty array when there is none."""
-    items = F.from_json(as_column(value), "value array<string>").getField("value")
-    return F.filter(F.coalesce(items, F.expr("CAST(array() AS array<string>)")), lambda x: ~is_missing(x))
+    return known_entries(payload_content(value, "array<string>"))

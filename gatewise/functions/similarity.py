@@ -1,35 +1,24 @@
-"""Name similarity as an Arrow UDF, applied only to pairs that survive blocking and native pre-filters."""
+"""Name similarity: shared tokens and a counting bound are decided in the JVM, the rest by bit-parallel vector steps on Arrow batches."""
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the library
 
-def _common_subsequence(a: str, b: str) -> int:
-    row = [0] * (len(b) + 1)
-    for x in a:
-        diagonal = 0
-        for j, y in enumerate(b, 1):
-            above = row[j]
-            row[j] = diagonal + 1 if x == y else max(above, row[j - 1])
-            diagonal = above
-    return row[-1]
+PAIRS = 4096  # pairs that advance together
 
 
 def partial_similarity(a: str, b: str) -> float:
     """Best similarity (0 to 100) of the shorter text with any equally long or cut-off window of the longer one."""
-    short, long = sorted((a, b), key=len)
-    if not short:
-        return 0.0
-    width, best = len(short), 0.0
-    for start in range(1 - width, len(long)):
-        window = long[max(0, start): start + width]
-        best = max(best, 200.0 * _common_subsequence(short, window) / (width + len(window)))
-        if best == 100.0:
-            break
-    return best
+    return float(partial_similarities([a], [b])[0])
 
 
 def token_similarity(a: str | None, b: str | None) -> float:
@@ -42,13 +31,116 @@ def token_similarity(a: str | None, b: str | None) -> float:
     return partial_similarity(" ".join(sorted(left)), " ".join(sorted(right)))
 
 
+def partial_similarities(left: list[str], right: list[str]) -> np.ndarray:
+    """``partial_similarity`` of many pairs."""
+    out = np.zeros(len(left))
+    pairs = [sorted((a, b), key=len) for a, b in zip(left, right)]
+    narrow = [k for k, (short, _) in enumerate(pairs) if 0 < len(short) <= 64]
+    narrow.sort(key=lambda k: (len(pairs[k][1]), len(pairs[k][0])))  # pairs of like length together
+    for at in range(0, len(narrow), PAIRS):
+        some = narrow[at : at + PAIRS]
+        out[some] = _narrow([pairs[k][0] for k in some], [pairs[k][1] for k in some])
+    for k, (short, long) in enumerate(pairs):
+        if len(short) > 64:
+            out[k] = _wide(short, long)
+    return out
+
+
+def _codes(texts: list[str], fill: int) -> np.ndarray:
+    out = np.full((len(texts), max(map(len, texts))), fill, np.int64)
+    for row, text in zip(out, texts):
+        row[: len(text)] = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    return out
+
+
+def _narrow(short: list[str], long: list[str]) -> np.ndarray:
+    """Windows of all pairs at once: a bit per place of the shorter text, a vector step per place of the window.
+
+    The recurrence keeps, in the zero bits of ``state``, where the common subsequence grows; their number is its length.
+    """
+    width, length = np.array([len(s) for s in short]), np.array([len(t) for t in long])
+    s, t = _codes(short, -1), _codes(long, -2)
+    hits = np.zeros(t.shape, np.uint64)  # places of the shorter text that equal this character of the longer one
+    for i in range(s.shape[1]):
+        hits |= (s[:, i : i + 1] == t).astype(np.uint64) << np.uint64(i)
+    starts = np.arange(1 - width.max(), length.max())[None, :]
+    used = (starts > -width[:, None]) & (starts < length[:, None])
+    inside = np.where(width == 64, np.uint64(2**64 - 1), (np.uint64(1) << (width % 64).astype(np.uint64)) - np.uint64(1))[:, None]
+    state = np.repeat(inside, starts.shape[1], axis=1)
+    rows = np.arange(len(short))[:, None]
+    for k in range(width.max()):
+        at = starts + k
+        read = used & (k < width[:, None]) & (at >= 0) & (at < length[:, None])
+        step = state & hits[rows, np.clip(at, 0, t.shape[1] - 1)]
+        state = np.where(read, (state + step) | (state - step), state)
+    common = width[:, None] - np.bitwise_count(state & inside)
+    sizes = np.minimum(starts + width[:, None], length[:, None]) - np.maximum(starts, 0)
+    scores = np.where(used, 200.0 * common / np.maximum(width[:, None] + sizes, 1), 0.0)
+    return scores.max(axis=1)
+
+
+def _wide(short: str, long: str) -> float:
+    """The same for a shorter text of more than 64 characters, on whole numbers of any size."""
+    width, best = len(short), 0.0
+    places: dict[str, int] = {}
+    for i, x in enumerate(short):
+        places[x] = places.get(x, 0) | 1 << i
+    inside = (1 << width) - 1
+    for start in range(1 - width, len(long)):
+        window, state = long[max(0, start) : start + width], inside
+        for y in window:
+            step = state & places.get(y, 0)
+            state = (state + step) | (state - step)
+        best = max(best, 200.0 * (width - (state & inside).bit_count()) / (width + len(window)))
+    return best
+
+
 @F.pandas_udf(DoubleType())
-def _token_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([token_similarity(x, y) for x, y in zip(a, b)], dtype="float64")
+def _partial(a: pd.Series, b: pd.Series) -> pd.Series:
+    out = np.zeros(len(a))
+    here = (a.notna() & b.notna()).to_numpy()
+    out[here] = partial_similarities(a[here].tolist(), b[here].tolist())
+    return pd.Series(out)
+
+
+def tokens(name: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.filter(F.split(F.coalesce(name, F.lit("")), r"\s+"), lambda x: x != "")))
+
+
+def shares_token(a: Column, b: Column) -> Column:
+    return F.arrays_overlap(tokens(a), tokens(b))
+
+
+def _once(body: Callable[[Column], Column], **values: Column) -> Column:
+    """An expression over values that are worked out once, however often it uses them."""
+    return F.transform(F.array(F.struct(*(v.alias(n) for n, v in values.items()))), body)[0]
+
+
+def most_possible(a: Column, b: Column) -> Column:
+    """An upper bound of the partial similarity from character counts alone.
+
+    A common subsequence is at most ``c`` long, the number of characters both texts have (with repeats). No window does better than one
+    that consists of just these: ``200 * c / (width + c)``, ``width`` the length of the shorter text.
+    """
+    def times(text: Column, x: Column) -> Column:
+        return F.length(text) - F.length(F.replace(text, x, F.lit("")))
+
+    def bound(p: Column) -> Column:
+        shared = F.aggregate(F.array_distinct(F.regexp_extract_all(p["s"], F.lit("(?s)."), F.lit(0))), F.lit(0), lambda n, x: n + F.least(times(p["s"], x), times(p["t"], x)))
+        return F.when(F.length(p["s"]) == 0, F.lit(0.0)).otherwise(_once(lambda q: 200.0 * q["c"] / (q["w"] + q["c"]), c=shared, w=F.length(p["s"])))
+    ordered = _once(lambda p: F.when(F.length(p["a"]) <= F.length(p["b"]), F.struct(p["a"].alias("s"), p["b"].alias("t"))).otherwise(F.struct(p["b"].alias("s"), p["a"].alias("t"))), a=a, b=b)
+    return F.transform(F.array(ordered), bound)[0]
 
 
-def name_similarity(a: Column, b: Column) -> Column:
-    """Similarity score of two lower-cased names. Pairs that share a token are decided in the JVM."""
-    shared = F.arrays_overlap(F.filter(F.split(a, r"\s+"), lambda x: x != ""), F.filter(F.split(b, r"\s+"), lambda x: x != ""))
-    undecided = ~F.coalesce(shared, F.lit(False))
-    return F.when(undecided, _token_similarity(F.when(undecided, a), F.when(undecided, b))).otherwise(F.lit(100.0))
+def add_similarity(df: DataFrame, a: Column, b: Column, name: str, least: float = 0.0) -> DataFrame:
+    """Similarity score of two lower-cased names as column ``name``. Pairs that share a token are decided in the JVM, and so are those that
+    cannot reach ``least``: they get 0. Only the rest reach Python."""
+    def decided(p: Column) -> Column:
+        one, other = F.array_join(p["l"], " "), F.array_join(p["r"], " ")
+        score = F.when(F.arrays_overlap(p["l"], p["r"]), F.lit(100.0)).when((F.size(p["l"]) == 0) | (F.size(p["r"]) == 0), F.lit(0.0))
+        if least > 0:
+            score = score.when(most_possible(one, other) < least - 1e-9, F.lit(0.0))
+        return F.struct(score.alias("score"), F.when(score.isNull(), one).alias("one"), F.when(score.isNull(), other).alias("other"))
+    # a generator keeps the decision from being repeated in every place that uses it
+    out = df.select("*", F.inline(F.array(_once(decided, l=tokens(a), r=tokens(b)))).alias("_score", "_one", "_other"))
+    return out.withColumn(name, F.coalesce("_score", _partial(F.col("_one"), F.col("_other")))).drop("_score", "_one", "_other")

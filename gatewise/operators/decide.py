@@ -11,7 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gatewise.functions.scalars import (COMMON_EMAIL_HOSTS, UNDEFINED, age_in_months, clip, email_host, first_set_flag, flag, has_digit, keep_or_other,
-                                        keyword_flag, payload_list, payload_value, postcode_area)
+                                        keyword_flag, known_entries, known_text, payload_content, postcode_area)
 from gatewise.operators import encoders as E, evaluate as V
 from gatewise.operators.models import scorecard_contributions, top_reason
 from gatewise.session import staged
@@ -68,9 +68,10 @@ VALUE_ENVELOPES = ["APPLICANT_ID_COUNTRY_ISSUE__RawData", "COMPANY_INDUSTRY_CLAS
 def open_envelopes(payload: DataFrame, keep: list[str]) -> DataFrame:
     """The payload with the content in place of its envelopes. A generator gives it out, so each envelope is parsed once, however often it is used."""
     require_columns(payload, PAYLOAD_INPUTS)
-    content = [payload_list(n).alias(n) for n in LIST_ENVELOPES] + [payload_value(n).alias(n) for n in VALUE_ENVELOPES]
+    content = [payload_content(n, "array<string>").alias(n) for n in LIST_ENVELOPES] + [payload_content(n, "string").alias(n) for n in VALUE_ENVELOPES]
     plain = [F.col(f"`{n}`") for n in PAYLOAD_INPUTS if n not in LIST_ENVELOPES + VALUE_ENVELOPES]
-    return payload.select(*keep, *plain, F.inline(F.array(F.struct(*content))))
+    opened = payload.select(*keep, *plain, F.inline(F.array(F.struct(*content))))
+    return opened.withColumns({n: known_entries(F.col(n)) for n in LIST_ENVELOPES} | {n: known_text(F.col(n)) for n in VALUE_ENVELOPES})
 
 
 def payload_features(payload: DataFrame, countries: list[tuple[str, str]], keep: list[str]) -> DataFrame:

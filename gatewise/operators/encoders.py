@@ -127,7 +127,7 @@ def _lookup_slot(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(LOOKUP_SLOTS)).cast("int")
 
 
-def lookup_constant(table: DataFrame, feature: str) -> Column:
+def lookup_constant(table: DataFrame, feature: str, kind: str = "double") -> Column:
     """The categories and values of one feature as a constant of the plan: an array of small maps, addressed by hash.
 
     Rows are encoded without a join, inside lists too, on tables and on streams. The table is counted first: more than
@@ -137,13 +137,13 @@ def lookup_constant(table: DataFrame, feature: str) -> Column:
     if (n := rows.count()) > LOOKUP_LIMIT:
         raise ValueError(f"{n} categories of {feature}: join them instead")
     key = _lookup_key(F.col("category"))
-    slots: list[dict[str, float]] = [{} for _ in range(LOOKUP_SLOTS)]
+    slots: list[dict] = [{} for _ in range(LOOKUP_SLOTS)]
     for r in rows.select(key.alias("k"), _lookup_slot(key).alias("slot"), "value").collect():
         slots[r["slot"]][r["k"]] = r["value"]
-    return F.from_json(F.lit(json.dumps(slots)), "array<map<string, double>>")
+    return F.from_json(F.lit(json.dumps(slots)), f"array<map<string, {kind}>>")
 
 
-def looked_up(constant: Column, value: Column, default: float = 0.0) -> Column:
+def looked_up(constant: Column, value: Column, default: float | str = 0.0) -> Column:
     """Value of one category; ``default`` if it was not fitted. NULL matches a fitted NULL."""
     key = _lookup_key(value)
     return F.coalesce(F.element_at(F.element_at(constant, _lookup_slot(key) + 1), key), F.lit(default))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from gatewise.functions.scalars import DAYS_PER_YEAR, count_level
-from gatewise.functions.similarity import name_similarity
+from gatewise.functions.scalars import DAYS_PER_YEAR, UNDEFINED, count_level, is_missing, worst_in
+from gatewise.functions.similarity import add_similarity
+from gatewise.operators import encoders as E
+from gatewise.session import broadcast_if_small, staged
 
 
 def asof_join(spine: DataFrame, features: DataFrame, key: str, spine_ts: str, feature_ts: str, columns: list[str],
@@ -78,6 +80,47 @@ def with_membership(df: DataFrame, table: DataFrame, keys: list[str], name: str)
             .withColumn(name, F.coalesce("_hit", F.lit(0))).drop("_hit"))
 
 
+def word_runs(text: Column, most: int) -> Column:
+    """Distinct pieces of a text that run from the start of a word to the end of one, of 1 to ``most`` words, with what stands between them."""
+    parts = F.regexp_extract_all(text, F.lit(r"(?s)\w+|\W+"), F.lit(0))
+    size = F.size(parts)
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: (i <= size) & F.try_element_at(parts, i).rlike(r"^\w"))
+    spans = F.transform(starts, lambda i: F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.when(i + 2 * k <= size, F.array_join(F.slice(parts, i, 2 * k + 1), ""))))
+    return F.array_distinct(F.array_compact(F.flatten(spans)))
+
+
+def keyword_levels(df: DataFrame, key: str, text: str, phrases: DataFrame, hits: str = "keywords", level: str = "keyword_level") -> DataFrame:
+    """Phrases of a table ``(phrase, level)`` that stand in a text as whole words, sorted, and the worst of their levels (``Undefined`` if none).
+
+    Case and blanks at the ends do not count; what stands between the words of a phrase does. The runs of words of a text, as
+    long as the table's longest phrase, are looked up from the first to the last word character of each phrase; phrases with other
+    characters at their ends are then looked for as they are. The table is counted: up to ``encoders.LOOKUP_LIMIT`` phrases it is a constant
+    of the plan and no row moves; beyond it the runs meet it in a join and return by ``key``, which must be unique.
+    """
+    clean = F.lower(F.trim("phrase"))
+    core = F.regexp_extract(clean, r"(?s)\w(.*\w)?", 0)
+    table = staged(phrases.select(clean.alias("phrase"), core.alias("core"), "level").where("core <> ''").distinct())
+    size = table.agg(F.count("*").alias("n"), F.max(F.size(F.regexp_extract_all("core", F.lit(r"\w+"), F.lit(0)))).alias("words")).first()
+    clean_text = F.lower(F.trim(F.coalesce(F.col(text), F.lit(""))))
+    runs = word_runs(clean_text, size["words"] or 1)
+
+    def stands(phrase: Column, run: Column) -> Column:
+        return (phrase == run) | F.regexp_like(clean_text, F.concat(F.lit(r"(?<!\w)\Q"), phrase, F.lit(r"\E(?!\w)")))
+    if size["n"] <= E.LOOKUP_LIMIT:
+        listed = table.groupBy("core").agg(F.collect_list(F.array("phrase", "level")).alias("value"))
+        known = E.lookup_constant(listed.select(F.lit("k").alias("feature"), F.col("core").alias("category"), "value"), "k", "array<array<string>>")
+        none = F.expr("CAST(array() AS array<array<string>>)")
+        found = F.flatten(F.transform(runs, lambda g: F.filter(E.looked_up(known, g, none), lambda h: stands(h[0], g))))
+        marked = df.withColumn("_found", found)
+        return marked.withColumns({hits: F.array_sort(F.array_distinct(F.transform("_found", lambda h: h[0]))), level: worst_in(F.transform("_found", lambda h: h[1]))}).drop("_found")
+    met = df.select(key, clean_text.alias("_t"), F.explode(runs).alias("core")).join(broadcast_if_small(table), "core")
+    met = met.where((F.col("phrase") == F.col("core")) | F.regexp_like("_t", F.concat(F.lit(r"(?<!\w)\Q"), F.col("phrase"), F.lit(r"\E(?!\w)"))))
+    rows = met.groupBy(key).agg(F.array_sort(F.collect_set("phrase")).alias(hits), F.collect_set("level").alias("_levels"))
+    empty = F.expr("CAST(array() AS array<string>)")
+    out = df.join(rows, key, "left")
+    return out.withColumns({hits: F.coalesce(hits, empty), level: worst_in(F.coalesce("_levels", empty))}).drop("_levels")
+
+
 def flatten_directors(docs: DataFrame, key: str, column: str) -> DataFrame:
     """JSON director list to one row per officer; the last entry of a repeated officer id wins, in the place of its first."""
     shape = "array<struct<officerId: string, person: struct<firstName: string, lastName: string, dateOfBirth: string, nationalities: array<string>>>>"
@@ -94,15 +137,15 @@ def flatten_directors(docs: DataFrame, key: str, column: str) -> DataFrame:
 def match_directors(applicants: DataFrame, directors: DataFrame, key: str, threshold: float = 90.0) -> DataFrame:
     """Applicants joined to the directors of their own company with the same birth month and year and similar names.
 
-    Blocking on (key, month, year) is an equi-join; only surviving pairs reach the Arrow similarity function, and only those whose
-    first names are similar get there a second time.
+    Blocking on (key, month, year) is an equi-join; pairs that share a token or cannot reach the threshold by their characters are decided in the
+    JVM. The rest reach the Arrow similarity function, and only those whose first names are similar get there a second time.
     """
     left = applicants.withColumns({"_m": F.month("date_of_birth"), "_y": F.year("date_of_birth")})
     right = directors.withColumns({"_m": F.month("director_dob"), "_y": F.year("director_dob")})
     pairs = left.join(right, [key, "_m", "_y"]).drop("_m", "_y")
-    scored = pairs.withColumn("first_similarity", name_similarity(F.lower(F.coalesce("first_name", F.lit(""))), F.col("director_first")))
+    scored = add_similarity(pairs, F.lower(F.coalesce("first_name", F.lit(""))), F.col("director_first"), "first_similarity", threshold)
     last = F.when(F.col("first_similarity") >= threshold, F.lower(F.coalesce("last_name", F.lit(""))))
-    scored = scored.withColumn("last_similarity", name_similarity(last, F.col("director_last")))
+    scored = add_similarity(scored, last, F.col("director_last"), "last_similarity", threshold)
     return scored.filter((F.col("first_similarity") >= threshold) & (F.col("last_similarity") >= threshold))
 
 
@@ -113,6 +156,23 @@ def first_director(applicants: DataFrame, directors: DataFrame, key: str, thresh
     return applicants.join(found, key, "left")
 
 
+def nationality_risk(df: DataFrame, lists: list[str], countries: DataFrame, key: str, name: str = "nationality_risk") -> DataFrame:
+    """The union of several nationality lists, sorted, and its worst risk; unknown countries and empty unions are ``Undefined``.
+
+    ``countries`` (code, risk) is counted; up to ``encoders.LOOKUP_LIMIT`` codes it is a constant of the plan, so no row moves.
+    Null-like entries do not count.
+    """
+    entries = F.concat(*(F.coalesce(F.col(c), F.expr("CAST(array() AS array<string>)")) for c in lists))
+    union = F.array_sort(F.array_distinct(F.filter(entries, lambda x: ~is_missing(x) & (x != ""))))
+    out = df.withColumn("nationalities_all", union)
+    if countries.count() <= E.LOOKUP_LIMIT:
+        ranked = countries.select(F.lit("risk").alias("feature"), F.col("code").alias("category"), F.col("risk").alias("value"))
+        known = E.lookup_constant(ranked, "risk", "string")
+        return out.withColumn(name, worst_in(F.transform("nationalities_all", lambda x: E.looked_up(known, x, UNDEFINED))))
+    levels = out.select(key, F.explode("nationalities_all").alias("code")).join(countries, "code").groupBy(key).agg(F.collect_set("risk").alias("_risks"))
+    return out.join(levels, key, "left").withColumn(name, worst_in(F.coalesce("_risks", F.expr("CAST(array() AS array<string>)")))).drop("_risks")
+
+
 def director_features(applicants: DataFrame, directors: DataFrame, key: str) -> DataFrame:
     """Average whole age of all directors on the company's date and their number as a level; without directors the applicant's own age.
 

@@ -9,35 +9,57 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gatewise.operators.aggregates import long_features
 from gatewise.operators.weights import moments
-from gatewise.operators.windows import cumulative_by_value, edge_bin, exact_quantiles, quantile_edges
+from gatewise.operators.windows import cumulative_by_value, cumulative_in_groups, edge_bin, quantiles_of_groups
+from gatewise.session import BROADCAST_ROW_LIMIT, staged
 
 
-def _iv_bins(df: DataFrame, feature: str, max_values: int, bins: int, buckets: int) -> DataFrame:
-    """Median-imputed feature with ``bin``: its own values when few, else quantile bins."""
-    x = F.col(feature).cast("double")
-    few = df.select(x.alias("v")).distinct().limit(max_values + 2).filter(F.col("v").isNotNull()).count() <= max_values
-    nulls = df.filter(x.isNull()).limit(1).count() > 0
-    filled = df.withColumn("_x", F.coalesce(x, F.lit(exact_quantiles(df.withColumn("_x", x), "_x", [0.5], buckets)[0])) if nulls else x)
-    return filled.withColumn("bin", F.col("_x") if few else edge_bin("_x", quantile_edges(filled, "_x", bins, buckets)).cast("double"))
+def _long_values(df: DataFrame, features: list[str], measure: Column) -> DataFrame:
+    """One row per feature and distinct value (NULL included): rows ``n`` and summed measure ``y``. All features in one scan."""
+    named = F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features))
+    rows = df.select(measure.cast("double").alias("_y"), F.explode(named).alias("_f")).select("_f.feature", "_f.v", "_y")
+    return staged(rows.groupBy("feature", "v").agg(F.count("*").alias("n"), F.sum("_y").alias("y")))
 
 
-def information_value(df: DataFrame, feature: str, label: str, max_values: int = 10, bins: int = 5, buckets: int = 1) -> DataFrame:
-    """Information value of a feature against a binary label; bins with an empty side add nothing; a single bin gives 0."""
-    binned = _iv_bins(df, feature, max_values, bins, buckets)
-    g = binned.groupBy("bin").agg(F.sum(label).cast("double").alias("y"), (F.count("*") - F.sum(label)).cast("double").alias("n"))
-    whole = W.partitionBy()
-    shares = g.select((F.col("n") / F.sum("n").over(whole)).alias("pn"), (F.col("y") / F.sum("y").over(whole)).alias("py"))
+def information_values(df: DataFrame, features: list[str], measure: str, continuous: bool = False, max_values: int = 10, bins: int = 5) -> DataFrame:
+    """Information value of every feature at once, in a fixed number of jobs: ``feature``, ``iv``.
+
+    A feature with few values is binned by them, others at quantiles; NULL counts as the median. Against a binary label the shares of negatives
+    and positives per bin are compared, against a continuous response those of rows and of the response. Bins with an empty side
+    add nothing; a single bin gives 0.
+    """
+    long = _long_values(df, features, F.col(measure))
+    said = {r["feature"]: r for r in long.groupBy("feature").agg(F.count("v").alias("values"), F.count_if(F.col("v").isNull()).alias("nulls")).collect()}
+    filled = long
+    if any(r["nulls"] for r in said.values()):
+        medians = quantiles_of_groups(cumulative_in_groups(long, "feature", "v", ["n"]), "feature", "v", [0.5])
+        value = F.coalesce("v", _by_feature({f: m[0] for f, m in medians.items()})) if medians else F.col("v")
+        filled = staged(long.select("feature", value.alias("v"), "n", "y").groupBy("feature", "v").agg(F.sum("n").alias("n"), F.sum("y").alias("y")))
+    wide = [f for f in features if f in said and said[f]["values"] > max_values]
+    bin_of = F.col("v")
+    if wide:
+        edges = quantiles_of_groups(cumulative_in_groups(filled.where(F.col("feature").isin(wide)), "feature", "v", ["n"]), "feature", "v", [i / bins for i in range(bins + 1)])
+        for f in wide:
+            bin_of = F.when(F.col("feature") == f, edge_bin("v", sorted(set(edges[f]))).cast("double")).otherwise(bin_of)
+    g = filled.groupBy("feature", bin_of.alias("bin")).agg(F.sum("n").cast("double").alias("rows"), F.sum("y").alias("y"))
+    g = g.withColumn("n", F.col("rows") if continuous else F.col("rows") - F.col("y"))
+    whole = W.partitionBy("feature")  # a row per bin
+    shares = g.select("feature", (F.col("n") / F.sum("n").over(whole)).alias("pn"), (F.col("y") / F.sum("y").over(whole)).alias("py"))
     term = F.when((F.col("pn") > 0) & (F.col("py") > 0), (F.col("pn") - F.col("py")) * F.log(F.col("pn") / F.col("py"))).otherwise(0.0)
-    return shares.agg(F.coalesce(F.round(F.sum(term), 3), F.lit(0.0)).alias("iv")).select(F.lit(feature).alias("feature"), "iv")
+    return shares.groupBy("feature").agg(F.coalesce(F.round(F.sum(term), 3), F.lit(0.0)).alias("iv"))
+
+
+def _by_feature(values: dict[str, float]) -> Column:
+    return F.element_at(F.create_map(*(F.lit(x) for pair in values.items() for x in pair)), F.col("feature"))
+
+
+def information_value(df: DataFrame, feature: str, label: str, max_values: int = 10, bins: int = 5, buckets: int = 1) -> DataFrame:
+    """Information value of one feature against a binary label."""
+    return information_values(df, [feature], label, False, max_values, bins)
 
 
 def information_value_continuous(df: DataFrame, feature: str, response: str, max_values: int = 10, bins: int = 5, buckets: int = 1) -> DataFrame:
-    """The same for a continuous response: share of rows against share of the response per bin."""
-    g = _iv_bins(df, feature, max_values, bins, buckets).groupBy("bin").agg(F.count("*").cast("double").alias("n"), F.sum(response).cast("double").alias("y"))
-    whole = W.partitionBy()
-    shares = g.select((F.col("n") / F.sum("n").over(whole)).alias("pn"), (F.col("y") / F.sum("y").over(whole)).alias("py"))
-    term = F.when((F.col("pn") > 0) & (F.col("py") > 0), (F.col("pn") - F.col("py")) * F.log(F.col("pn") / F.col("py"))).otherwise(0.0)
-    return shares.agg(F.coalesce(F.round(F.sum(term), 3), F.lit(0.0)).alias("iv")).select(F.lit(feature).alias("feature"), "iv")
+    """The same for a continuous response."""
+    return information_values(df, [feature], response, True, max_values, bins)
 
 
 def iv_strength(iv: str) -> Column:
@@ -52,13 +74,25 @@ def average_ranks(df: DataFrame, column: str, name: str, buckets: int = 1) -> Da
 
 
 def spearman(df: DataFrame, columns: list[str], buckets: int = 1) -> DataFrame:
-    """Rank correlation of every column pair, over rows where all are known. Ranks are joined per distinct value."""
-    rows = df.select(*columns).dropna()
-    ranked = rows
-    for i, c in enumerate(columns):
-        ranked = ranked.join(average_ranks(rows, c, f"_r{i}", buckets), c)
+    """Rank correlation of every column pair, over rows where all are known.
+
+    The ranks of all columns come from one long table. A counted-small one is broadcast, so rows stay where they are; beyond
+    ``BROADCAST_ROW_LIMIT`` values the rows' values meet it in one join and return by row.
+    """
+    rows = staged(df.select(*(F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(columns))).dropna())
+    names = rows.columns
+    run = cumulative_in_groups(_long_values(rows, names, F.lit(0)), "feature", "v", ["n"])
+    ranks = staged(run.select("feature", "v", (F.col("cum_n") - (F.col("n") - 1) / 2.0).alias("r")))
+    if ranks.count() <= BROADCAST_ROW_LIMIT:
+        ranked = rows
+        for c in names:
+            ranked = ranked.join(F.broadcast(ranks.where(F.col("feature") == c).select(F.col("v").alias(c), F.col("r").alias(f"r{c}"))), c)
+    else:
+        values = F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("v")) for c in names))
+        long = rows.withColumn("row", F.monotonically_increasing_id()).select("row", F.explode(values).alias("_f")).select("row", "_f.*")
+        ranked = long.join(ranks, ["feature", "v"]).groupBy("row").agg(*(F.max(F.when(F.col("feature") == c, F.col("r"))).alias(f"r{c}") for c in names))
     pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
-    wide = ranked.agg(*(F.corr(f"_r{i}", f"_r{j}").alias(f"p{i}_{j}") for i, j in pairs))
+    wide = ranked.agg(*(F.corr(f"r{names[i]}", f"r{names[j]}").alias(f"p{i}_{j}") for i, j in pairs))
     items = F.array(*(F.struct(F.lit(columns[i]).alias("first"), F.lit(columns[j]).alias("second"), F.col(f"p{i}_{j}").alias("correlation")) for i, j in pairs))
     return wide.select(F.explode(items).alias("_p")).select("_p.*")
 
@@ -80,24 +114,32 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> np.ndarray:
 
 
 def variance_inflation(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Variance inflation per feature by the pseudo-inverse of the other features' correlations; a perfect fit counts as r2 = 0.999."""
+    """Variance inflation per feature: the diagonal of the inverse of the features' correlations.
+
+    A feature that the others explain whole has no inverse; each such one counts with 0.1 % left unexplained (1,000).
+    """
     corr = correlation_matrix(df, columns)
-    rows = []
-    for i, c in enumerate(columns):
-        others = [j for j in range(len(columns)) if j != i]
-        r2 = float(corr[i, others] @ np.linalg.pinv(corr[np.ix_(others, others)]) @ corr[others, i])
-        rows.append((c, round(1 / (1 - (0.999 if r2 >= 1 - 1e-12 else r2)), 2)))
-    return df.sparkSession.createDataFrame(rows, "feature string, vif double")
+    live = [i for i in range(len(columns)) if corr[i, i] > 0]
+    vif = {columns[i]: 1.0 for i in range(len(columns))}  # a constant column shares nothing
+    values, vectors = np.linalg.eigh(corr[np.ix_(live, live)]) if live else (np.empty(0), np.empty((0, 0)))
+    flat = values < 1e-10
+    bound = (vectors[:, flat] ** 2).sum(axis=1) > 1e-8  # takes part in an exact relation
+    inverse = (vectors[:, ~flat] ** 2 / values[~flat]).sum(axis=1)
+    for k, i in enumerate(live):
+        vif[columns[i]] = round(1000.0 if bound[k] else float(inverse[k]), 2)
+    return df.sparkSession.createDataFrame(list(vif.items()), "feature string, vif double")
 
 
 def explained_variance(df: DataFrame, columns: list[str], selected: list[str]) -> DataFrame:
-    """Share of the total variance of ``columns`` that the selected ones explain; constant columns are left out."""
+    """Share of the total variance of ``columns`` that the selected ones explain in a least-squares sense; constant columns are left out."""
     names = list(dict.fromkeys([*columns, *selected]))
     corr = correlation_matrix(df, names)
     keep = [i for i in range(len(names)) if corr[i, i] > 0]
     chosen = [i for i in keep if names[i] in selected]
-    cross = corr[np.ix_(keep, chosen)]
-    explained = float(np.trace(cross @ np.linalg.pinv(corr[np.ix_(chosen, chosen)]) @ cross.T))
+    explained = 0.0
+    if chosen:
+        weights, *_ = np.linalg.lstsq(corr[np.ix_(chosen, chosen)], corr[np.ix_(chosen, keep)], rcond=1e-10)
+        explained = float(np.einsum("ij,ij->", weights, corr[np.ix_(chosen, keep)]))
     row = (round(explained, 3), float(len(keep)), round(explained / len(keep), 3), [n for i, n in enumerate(names) if i not in keep])
     return df.sparkSession.createDataFrame([row], "explained double, total double, ratio double, dropped array<string>")
 

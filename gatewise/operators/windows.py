@@ -60,6 +60,13 @@ def cumulative_by_value(df: DataFrame, value: str, sums: dict[str, Column], by:
     number = F.col(value).cast("double")
     edges = sorted({e for e in per_value.select(number.alias("_v")).approxQuantile("_v", probs, 0.5 / pieces) if math.isfinite(e)}) if probs else []
     marked = per_value.withColumn("_bucket", F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= number)) if edges else F.lit(0))
+    return _running(marked, value, list(sums), by, descending)
+
+
+def _running(marked: DataFrame, value: str, sums: list[str], by: list[str], descending: bool = False) -> DataFrame:
+    """Running totals over rows that are marked with the ordered ``_bucket`` they lie in: each bucket is scanned by a task, offsets come from bucket totals."""
+    total = W.partitionBy(*by)
+    order = F.col(value).desc() if descending else F.col(value).asc()
     earlier = W.partitionBy(*by).orderBy(F.col("_bucket").desc() if descending else F.col("_bucket").asc()).rowsBetween(W.unboundedPreceding, -1)
     offsets = (marked.groupBy(*by, "_bucket").agg(*(F.sum(n).alias(n) for n in sums))
                .select(*by, "_bucket", *(F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_before_{n}") for n in sums),
@@ -70,6 +77,41 @@ def cumulative_by_value(df: DataFrame, value: str, sums: dict[str, Column], by:
                       *(f"total_{n}" for n in sums))
 
 
+def cumulative_in_groups(per_value: DataFrame, by: str, value: str, sums: list[str]) -> DataFrame:
+    """``cumulative_by_value`` for a few groups at once, such as the columns of a long table ``(by, value, sums ...)`` with one row per value.
+
+    Each group's order is cut at its own approximate quantiles into buckets of about ``BUCKET_ROWS`` values; the number of jobs does not depend
+    on the number of groups. NULL values are left out.
+    """
+    per_value = per_value.filter(F.col(value).isNotNull())
+    counts = {r[by]: r["n"] for r in per_value.groupBy(by).agg(F.count("*").alias("n")).collect()}
+    pieces = max(counts.values(), default=0) // BUCKET_ROWS + 1
+    bucket = F.lit(0)
+    if pieces > 1:
+        probs = [i / pieces for i in range(1, pieces)]
+        found = per_value.groupBy(by).agg(F.percentile_approx(F.col(value).cast("double"), probs, max(10_000, 4 * pieces)).alias("cuts")).collect()
+        cuts = {r[by]: sorted({c for c in r["cuts"] or [] if math.isfinite(c)}) for r in found}
+        table = F.create_map(*(x for g, c in cuts.items() for x in (F.lit(g), F.array(*map(F.lit, c)).cast("array<double>"))))
+        bucket = F.size(F.filter(F.element_at(table, F.col(by)), lambda e: e <= F.col(value).cast("double")))
+    return _running(per_value.withColumn("_bucket", bucket), value, sums, [by])
+
+
+def quantiles_of_groups(run: DataFrame, by: str, value: str, probs: list[float], weight: str = "n") -> dict[str, list[float]]:
+    """Linear-interpolation quantiles of every group from its running counts; only the results reach the driver."""
+    wanted = F.array(*(F.struct(F.lit(i).alias("place"), (F.lit(float(p)) * (F.col(f"total_{weight}") - 1)).alias("h")) for i, p in enumerate(probs)))
+    first, last = F.col(f"cum_{weight}") - F.col(weight), F.col(f"cum_{weight}") - 1
+    covers = F.filter(wanted, lambda x: F.floor(x["h"]).between(first, last) | F.ceil(x["h"]).between(first, last))
+    hits = run.select(by, F.col(value).cast("double").alias("_v"), first.alias("_f"), last.alias("_l"), F.explode(covers).alias("_q"))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when(rank.between(F.col("_f"), F.col("_l")), F.col("_v")))
+    ends = hits.groupBy(by, "_q.place").agg(at(F.floor("_q.h")).alias("lo"), at(F.ceil("_q.h")).alias("hi"), F.max(F.col("_q.h") - F.floor("_q.h")).alias("part")).collect()
+    out: dict[str, list[float]] = {}
+    for r in ends:
+        out.setdefault(r[by], [float("nan")] * len(probs))[r["place"]] = _between(r["lo"], r["hi"], r["part"])
+    return out
+
+
 def running_percent(df: DataFrame, value: str, measures: list[str], buckets: int = 1) -> DataFrame:
     """Per distinct value: the running share, in percent, of each measure."""
     run = cumulative_by_value(df, value, {m: F.sum(m) for m in measures}, buckets=buckets)

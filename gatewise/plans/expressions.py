@@ -270,10 +270,11 @@ def name_mismatch(spark, d):
 
 @query("name_similarity", ())
 def name_similarity(spark, d):
-    from gatewise.functions.similarity import name_similarity as similarity
+    from gatewise.functions.similarity import add_similarity
     p = load(spark, d, "part")
     following = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("other"))
-    return p.join(following, "p_partkey").select("p_partkey", F.round(similarity(F.col("p_name"), F.col("other")), 4).alias("similarity"))
+    scored = add_similarity(p.join(following, "p_partkey"), F.col("p_name"), F.col("other"), "similarity")
+    return scored.select("p_partkey", F.round("similarity", 4).alias("similarity"))
 
 
 @query("declared_against_scanned_names", ())

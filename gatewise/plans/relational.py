@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gatewise.functions.scalars import flag
 from gatewise.operators import aggregates as A, joins as J, windows as N
+from gatewise.functions.similarity import shares_token
 from gatewise.plans.registry import query
 from gatewise.session import literal_table
 from gatewise.sources.standins import load
@@ -142,6 +143,48 @@ def first_director_match(spark, d):
     return J.first_director(applicants, directors, "company_id").select("company_id", "officer_id", "nationalities")
 
 
+@query("keyword_levels", (), """
+t AS (SELECT l_orderkey, string_agg(p_name, ' ' ORDER BY l_linenumber, l_partkey) AS text FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
+k AS (SELECT DISTINCT p_name AS phrase, CASE WHEN p_type LIKE 'E%' THEN 'High' WHEN p_type LIKE 'S%' THEN 'Medium' ELSE 'Low' END AS level FROM part
+  UNION SELECT DISTINCT string_split(p_name, ' ')[1], 'Low' FROM part WHERE p_size > 25),
+h AS (SELECT l_orderkey, phrase, level FROM t JOIN k ON contains(' ' || lower(text) || ' ', ' ' || lower(phrase) || ' '))
+SELECT t.l_orderkey, COALESCE(array_to_string(list_sort(list_distinct(list(phrase) FILTER (phrase IS NOT NULL))), ','), '') AS keywords,
+  CASE WHEN bool_or(level = 'High') THEN 'High' WHEN bool_or(level = 'Medium') THEN 'Medium' WHEN bool_or(level = 'Low') THEN 'Low' ELSE 'Undefined' END AS keyword_level
+FROM t LEFT JOIN h ON t.l_orderkey = h.l_orderkey GROUP BY 1""")
+def keyword_levels(spark, d):
+    """Item names of each order against a keyword table that is made of the parts."""
+    part = load(spark, d, "part")
+    items = load(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "p_name"))).alias("i"))
+    texts = items.select("l_orderkey", F.array_join(F.transform("i", lambda x: x["p_name"]), " ").alias("text"))
+    level = F.when(F.col("p_type").like("E%"), "High").when(F.col("p_type").like("S%"), "Medium").otherwise("Low")
+    first = part.where("p_size > 25").select(F.split("p_name", " ")[0].alias("phrase"), F.lit("Low").alias("level"))
+    found = J.keyword_levels(texts, "l_orderkey", "text", part.select(F.col("p_name").alias("phrase"), level.alias("level")).union(first))
+    return found.select("l_orderkey", F.array_join("keywords", ",").alias("keywords"), "keyword_level")
+
+
+@query("director_exact_match", (*_DIRECTOR_TABLES, "members"), _DOCS + """,
+born AS (SELECT member_id, MIN(date_of_birth) FILTER (created_at = DATE '2023-01-02') AS dob FROM users GROUP BY 1),
+person AS (SELECT b.company_id, string_split(lower(COALESCE(m.first_name, '')), ' ') AS f, string_split(lower(COALESCE(m.last_name, '')), ' ') AS l, u.dob FROM base b JOIN born u ON b.member_id = u.member_id JOIN members m ON b.company_id = m.company_id)
+SELECT p.company_id, o.officer_id, o.nationalities FROM person p JOIN officer o ON p.company_id = o.company_id AND month(p.dob) = month(o.dob) AND year(p.dob) = year(o.dob)
+WHERE list_has_any(list_filter(p.f, lambda x: x <> ''), string_split(o.director_first, ' ')) AND list_has_any(list_filter(p.l, lambda x: x <> ''), string_split(o.director_last, ' '))""")
+def director_exact_match(spark, d):
+    """The matches whose names share a whole token."""
+    applicants, directors = _applicants_and_directors(spark, d)
+    exact = shares_token(F.lower("first_name"), F.col("director_first")) & shares_token(F.lower("last_name"), F.col("director_last"))
+    return J.match_directors(applicants, directors, "company_id").where(exact).select("company_id", "officer_id", F.array_join("nationalities", ",").alias("nationalities"))
+
+
+@query("director_nationality_risk", ())
+def director_nationality_risk(spark, d):
+    """Declared nationalities and those of the matching officer, united, with the worst risk."""
+    applicants, directors = _applicants_and_directors(spark, d)
+    found = J.first_director(applicants, directors, "company_id").select("company_id", "officer_id", "nationalities")
+    declared = load(spark, d, "members").select("company_id", F.split("nationality_raw", " ").alias("declared"))
+    countries = literal_table(spark, [(c, r) for a, b, r in COUNTRIES for c in (a, b)], "code string, risk string")
+    both = J.nationality_risk(found.join(declared, "company_id"), ["declared", "nationalities"], countries, "company_id")
+    return both.select("company_id", "officer_id", F.array_join("nationalities_all", ",").alias("nationalities"), "nationality_risk")
+
+
 @query("directors_to_rows", _DIRECTOR_TABLES, _DOCS + " SELECT company_id, officer_id, director_first, director_last, CAST(dob AS VARCHAR) AS director_dob, nationalities FROM officer")
 def directors_to_rows(spark, d):
     flat = J.flatten_directors(_registry(spark, d).filter("directors IS NOT NULL"), "company_id", "directors")

@@ -35,14 +35,12 @@ _KM = "km AS (SELECT * FROM members WHERE is_approved = 1) "
 
 @query("iv", ("members",), _KM + " UNION ALL ".join(_iv_sql(f) for f in IV_FEATURES))
 def iv(spark, d):
-    k = staged(km(spark, d).select("is_app_fraud", *IV_FEATURES))
-    return reduce(lambda a, b: a.unionByName(b), [Z.information_value(k, f, "is_app_fraud", buckets=8) for f in IV_FEATURES])
+    return Z.information_values(km(spark, d), IV_FEATURES, "is_app_fraud")
 
 
 @query("iv_continuous", ("members",), _KM + " UNION ALL ".join(_iv_sql(f, "app_fraud_amount") for f in ["failed_rules", "balance"]))
 def iv_continuous(spark, d):
-    k = staged(km(spark, d).select("app_fraud_amount", "failed_rules", "balance"))
-    return reduce(lambda a, b: a.unionByName(b), [Z.information_value_continuous(k, f, "app_fraud_amount", buckets=8) for f in ["failed_rules", "balance"]])
+    return Z.information_values(km(spark, d), ["failed_rules", "balance"], "app_fraud_amount", continuous=True)
 
 
 @query("iv_strength", ("applications",), "SELECT company_id, CASE WHEN score / 1000 >= 0.5 THEN 'suspicious' WHEN score / 1000 >= 0.3 THEN 'strong' WHEN score / 1000 >= 0.1 THEN 'medium' WHEN score / 1000 >= 0.02 THEN 'weak' ELSE 'useless' END AS strength FROM applications")
@@ -56,7 +54,7 @@ _PAIRS = [(a, b) for i, a in enumerate(NUMERIC) for b in NUMERIC[i + 1:]]
 @query("spearman", ("members",), _KM + ", r AS (SELECT " + ", ".join(f"RANK() OVER (ORDER BY {c}) + (COUNT(*) OVER (PARTITION BY {c}) - 1) / 2 AS r{i}" for i, c in enumerate(NUMERIC)) + " FROM km) "
        + " UNION ALL ".join(f"SELECT '{a}' AS first, '{b}' AS second, ROUND(corr(r{NUMERIC.index(a)}, r{NUMERIC.index(b)}), 6) AS correlation FROM r" for a, b in _PAIRS))
 def spearman(spark, d):
-    return _r(Z.spearman(staged(km(spark, d).select(*NUMERIC)), NUMERIC, buckets=8))
+    return _r(Z.spearman(km(spark, d), NUMERIC))
 
 
 @query("trigger_correlation", ("members",), _KM + " UNION ALL ".join(f"SELECT '{a}' AS first, '{b}' AS second, ROUND(corr({a}, {b}), 6) AS correlation FROM km"

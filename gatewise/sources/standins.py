@@ -166,7 +166,7 @@ FROM {{lineitem}} l JOIN {{orders}} o ON l.l_orderkey = o.o_orderkey"""
 
 
 def _users(d: Dialect) -> str:
-    born = d.add_days("DATE '1950-01-01'", "(c_custkey * 37) % 18000")
+    born = f"CASE WHEN c_custkey % 3 = 0 THEN {d.add_days("DATE '1980-02-01'", 'c_custkey % 29')} ELSE {d.add_days("DATE '1950-01-01'", '(c_custkey * 37) % 18000')} END"  # a third in the birth month of an officer
     later = d.add_days("DATE '1960-01-01'", "(c_custkey * 31) % 9000")
     return f"""
 SELECT c_custkey AS member_id, c_custkey + 100000 AS user_id, {born} AS date_of_birth, DATE '2023-01-02' AS created_at FROM {{customer}}
@@ -264,7 +264,8 @@ def _registry_payload(key: str, company: str, created: str) -> str:
   ',"directorsTree":[{{{{"officerId":"o' || CAST({key} AS STRING) || '","person":{{{{"firstName":"' || {pick(key, ['Ann', 'Bobby', 'Cy', 'Zed'])} ||
   '","lastName":"' || {pick(key, ['Lee', 'Ray', 'Fox'])} || '","dateOfBirth":"19' || CAST(60 + {key} % 40 AS STRING) || '-0' || CAST(1 + {key} % 9 AS STRING) ||
   '-11","nationalities":["' || {pick(key, ['GB', 'RO', 'none', 'IN'])} || '","PT"]}}}}}}}},{{{{"officerId":"p' || CAST({key} AS STRING) ||
-  '","person":{{{{"firstName":"Eva","lastName":"Kim","dateOfBirth":"1980-02-03","nationalities":[]}}}}}}}}],"structureLevelWise":{{{{"1":' ||
+  '","person":{{{{"firstName":"' || {pick(key + ' * 3', ['Eva', 'Evan', 'Bob', 'Anna', 'Deeva'])} || '","lastName":"' || {pick(key + ' * 7', ['Kim', 'Kimber', 'Lee', 'Raye'])} ||
+  '","dateOfBirth":"1980-02-03","nationalities":' || {pick(key, ['[]', '["RO"]', '["IND","none"]'])} || '}}}}}}}}],"structureLevelWise":{{{{"1":' ||
   CAST(1 + {key} % 4 AS STRING) || '}}}}}}}},"metadata":{{{{"created_at":"' || CAST({created} AS STRING) || '"}}}}}}}}'"""
 
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -179,3 +180,64 @@ def test_balancing_moves_the_sample_towards_the_population(spark):
     assert out["weight"].mean() == pytest.approx(1.0, abs=1e-6)
     with pytest.raises(ValueError):
         X.balance_weights(sample.limit(3), fit)
+
+
+def _jobs(spark, name, work):
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        out = work()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def _mixed_columns(n=400):
+    rng = np.random.default_rng(12)
+    columns = {"few": rng.integers(0, 4, n).astype(float), "wide": np.round(rng.normal(size=n), 2), "gaps": np.where(rng.random(n) < 0.2, np.nan, np.round(rng.exponential(size=n), 1)), "flat": np.ones(n)}
+    y = (rng.random(n) < 0.2 + 0.3 * (columns["wide"] > 0.3)).astype(int)
+    return columns, y
+
+
+@pytest.mark.parametrize("rows_in_order", [3, 200_000])
+def test_information_values_of_all_features_at_once(spark, monkeypatch, rows_in_order):
+    from gatewise.operators import windows
+    monkeypatch.setattr(windows, "BUCKET_ROWS", rows_in_order)
+    columns, y = _mixed_columns()
+    names = list(columns)
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r[:-1]) + (int(r[-1]),) for r in zip(*columns.values(), y)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names) + ", y int").repartition(4)
+    got, jobs = _jobs(spark, f"iv{rows_in_order}", lambda: {r["feature"]: r["iv"] for r in Z.information_values(df, names, "y").collect()})
+    want = {}
+    for c, v in columns.items():
+        filled = np.where(np.isnan(v), np.nanmedian(v), v)
+        values = np.unique(v[~np.isnan(v)])
+        edges = np.unique(np.quantile(filled, np.linspace(0, 1, 6)))
+        place = filled if len(values) <= 10 else np.maximum(np.searchsorted(edges, filled, "left"), 1)
+        iv = 0.0
+        for b in np.unique(place):
+            pn, py = ((place == b) & (y == 0)).sum() / (y == 0).sum(), ((place == b) & (y == 1)).sum() / (y == 1).sum()
+            iv += (pn - py) * np.log(pn / py) if pn > 0 and py > 0 else 0.0
+        want[c] = round(iv, 3)
+    assert got == pytest.approx(want, abs=0.0011)
+    _, alone = _jobs(spark, f"iv-one{rows_in_order}", lambda: Z.information_values(df, ["gaps"], "y").collect())
+    assert jobs < 1.5 * alone  # adaptive execution starts a job per stage; their number does not grow with the features
+
+
+def test_spearman_by_broadcast_and_by_join(spark, monkeypatch):
+    columns, _ = _mixed_columns()
+    names = list(columns)
+    frame = pd.DataFrame(columns).dropna()
+    df = spark.createDataFrame([tuple(float(v) for v in r) for r in frame.itertuples(index=False)] + [(None, 1.0, 1.0, 1.0)], ", ".join(f"{c} double" for c in names))
+    want = frame.rank().corr()
+    for limit in (100_000, 1):
+        monkeypatch.setattr(Z, "BROADCAST_ROW_LIMIT", limit)
+        for r in Z.spearman(df.select(names[:3]), names[:3]).collect():
+            assert r["correlation"] == pytest.approx(want.loc[r["first"], r["second"]])
+
+
+def test_variance_inflation_of_exact_relations(spark):
+    rng = np.random.default_rng(2)
+    a, b = rng.normal(size=300), rng.normal(size=300)
+    df = spark.createDataFrame([(float(x), float(y), float(x + y), float(z), 1.0) for x, y, z in zip(a, b, rng.normal(size=300))], "a double, b double, s double, free double, flat double")
+    got = {r["feature"]: r["vif"] for r in Z.variance_inflation(df, ["a", "b", "s", "free", "flat"]).collect()}
+    assert got["a"] == got["b"] == got["s"] == 1000.0 and got["free"] == pytest.approx(1.0, abs=0.05) and got["flat"] == 1.0

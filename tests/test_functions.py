@@ -1,11 +1,12 @@
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from gatewise.functions import scalars as S
-from gatewise.functions.similarity import name_similarity, partial_similarity, token_similarity
-from gatewise.operators import joins as J, labels as L, rules as R
+from gatewise.functions.similarity import add_similarity, most_possible, partial_similarities, partial_similarity, token_similarity
+from gatewise.operators import encoders as E, joins as J, labels as L, rules as R
 from gatewise.sources import files, tables
 
 
@@ -40,7 +41,7 @@ def test_similarity():
 
 def test_similarity_column_equals_function(spark):
     rows = [("ann lee", "lee ray"), ("smith", "smyth"), ("", "x"), ("jo", "joanna")]
-    df = spark.createDataFrame(rows, "a string, b string").select("a", "b", name_similarity(F.col("a"), F.col("b")).alias("s"))
+    df = add_similarity(spark.createDataFrame(rows, "a string, b string"), F.col("a"), F.col("b"), "s")
     assert {(r["a"], r["b"]): pytest.approx(r["s"]) for r in df.collect()} == {(a, b): token_similarity(a, b) for a, b in rows}
 
 
@@ -152,3 +153,61 @@ def test_literal_table_keeps_pairs_together(spark):
     from gatewise.session import literal_table
     got = {r["a"]: r["b"] for r in literal_table(spark, list(MAIN_CATEGORY.items()), "a string, b string").collect()}
     assert got == MAIN_CATEGORY
+
+
+def _plain_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            row[j], before = (before + 1 if x == y else max(row[j], row[j - 1])), row[j]
+    return row[-1]
+
+
+def _plain_partial(a, b):
+    short, long = sorted((a, b), key=len)
+    windows = [long[max(0, s) : s + len(short)] for s in range(1 - len(short), len(long))] if short else []
+    return max((200.0 * _plain_common(short, w) / (len(short) + len(w)) for w in windows), default=0.0)
+
+
+def _random_names(n, seed=4):
+    rng = random.Random(seed)
+    letters = ["ab", "abcde", "aeiourst", "äöü日本🙂x"]
+    return [("".join(rng.choice(rng.choice(letters) + " ") for _ in range(rng.choice([0, 1, 5, 12, 40, 64, 65, 90]))).strip() for _ in range(2)) for _ in range(n)]
+
+
+def test_bit_parallel_similarity_equals_the_plain_recurrence():
+    pairs = [tuple(p) for p in _random_names(150)]
+    assert list(partial_similarities([a for a, _ in pairs], [b for _, b in pairs])) == pytest.approx([_plain_partial(a, b) for a, b in pairs])
+
+
+def test_counting_bound_never_loses_a_pair(spark):
+    pairs = [tuple(p) for p in _random_names(120, 5)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    scored = add_similarity(add_similarity(df, F.col("a"), F.col("b"), "s"), F.col("a"), F.col("b"), "t", 70.0)
+    rows = scored.select("i", most_possible(F.col("a"), F.col("b")).alias("bound"), "s", "t").collect()
+    for r in rows:
+        a, b = pairs[r["i"]]
+        assert r["bound"] >= _plain_partial(a, b) - 1e-9
+        assert r["s"] == pytest.approx(token_similarity(a, b)) and (r["t"] == pytest.approx(r["s"]) if r["s"] >= 70 else r["t"] <= r["s"])
+    assert sum(r["t"] == 0.0 < r["s"] for r in rows) > 3  # the bound does discard
+
+
+def test_nationality_union_takes_the_worst_risk(spark, monkeypatch):
+    countries = spark.createDataFrame([("GB", "Low"), ("RO", "High"), ("PT", "Medium")], "code string, risk string")
+    df = spark.createDataFrame([(1, ["GB"], ["PT", "GB"]), (2, ["none", "XX"], None), (3, None, None), (4, ["RO"], [None, "PT"])], "k int, a array<string>, b array<string>")
+    want = {1: (["GB", "PT"], "Medium"), 2: (["XX"], "Undefined"), 3: ([], "Undefined"), 4: (["PT", "RO"], "High")}
+    for limit in (20_000, 1):
+        monkeypatch.setattr(E, "LOOKUP_LIMIT", limit)
+        assert {r["k"]: (r["nationalities_all"], r["nationality_risk"]) for r in J.nationality_risk(df, ["a", "b"], countries, "k").collect()} == want
+
+
+def test_keyword_table_of_any_size(spark, monkeypatch):
+    phrases = spark.createDataFrame([("Second Hand", "Low"), ("hand", "Medium"), ("c.i.c", "High"), ("c++", "Medium"), ("(x", "Low"), ("gold", "Low"), ("gold", "High"), ("...", "High"), (None, "High")], "phrase string, level string")
+    df = spark.createDataFrame([(1, " Gold second hand "), (2, "c.i.c trust, hand"), (3, "c.i. c second  hand"), (4, "we write c++ (x y"), (5, "c++x golden"), (6, None), (7, ""), (8, "second hand" * 2)], "k int, text string")
+    want = {1: (["gold", "hand", "second hand"], "High"), 2: (["c.i.c", "hand"], "High"), 3: (["hand"], "Medium"), 4: (["(x", "c++"], "Medium"), 5: ([], "Undefined"), 6: ([], "Undefined"), 7: ([], "Undefined"), 8: (["hand"], "Medium")}
+    for limit in (20_000, 2):
+        monkeypatch.setattr(E, "LOOKUP_LIMIT", limit)
+        found = J.keyword_levels(df, "k", "text", phrases)
+        assert {r["k"]: (r["keywords"], r["keyword_level"]) for r in found.collect()} == want
+        assert ("Join" in found._jdf.queryExecution().executedPlan().toString()) == (limit == 2)
