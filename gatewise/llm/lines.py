@@ -35,8 +35,8 @@ def boilerplate(docs: DataFrame, min_sites: int = 3, sketch_bits: int = 12) -> D
     return sketches.where(F.col("sites") > min_sites + margin).select(*KEY, "first").unionAll(exact.where(F.col("sites") >= min_sites).select(*KEY, "first"))
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = 3) -> DataFrame:
-    """``docs`` with boilerplate lines taken out of ``text``, and ``n_lines`` and ``n_removed`` as ``_n_lines`` and ``_n_removed``.
+def dedup_lines(docs: DataFrame, min_sites: int = 3, counts: tuple[str, str] = ("_n_lines", "_n_removed")) -> DataFrame:
+    """``docs`` with boilerplate lines taken out of ``text``, and the numbers of its lines and of those removed as ``counts``, which must not be among its columns.
 
     A site is a source (NULL and the empty source are one site). A boilerplate line stays in the document with the smallest id
     that holds it and leaves all others, so nothing is lost altogether; rows repeated with that id all keep it. Lines are
@@ -52,4 +52,4 @@ def dedup_lines(docs: DataFrame, min_sites: int = 3) -> DataFrame:
     left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), size - 1), gone["_gone"]), lambda p: F.get(lines, p)), "\n")
     text = F.when(gone["_gone"].isNull(), docs["text"]).otherwise(left).alias("text")
     kept = [text if c == "text" else docs[c] for c in docs.columns]
-    return joined.select(*kept, F.when(docs["text"].isNull(), 0).otherwise(size).cast("long").alias("_n_lines"), F.coalesce(F.when(gone["_gone"].isNotNull(), F.size(gone["_gone"])), F.lit(0)).cast("long").alias("_n_removed"))
+    return joined.select(*kept, F.when(docs["text"].isNull(), 0).otherwise(size).cast("long").alias(counts[0]), F.coalesce(F.when(gone["_gone"].isNotNull(), F.size(gone["_gone"])), F.lit(0)).cast("long").alias(counts[1]))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gatewise.session import staged
 
@@ -61,17 +61,19 @@ def odds(toxic: float, clean: float, all_toxic: int, all_clean: int) -> float:
     return math.log((toxic + 0.5) / (all_toxic + 1)) - math.log((clean + 0.5) / (all_clean + 1))
 
 
-def learn_lexicon(labelled: DataFrame, size: int, support: int = 4, least: float = 1.2, z: float = 2.5) -> tuple[dict[str, tuple[int, int]], int, int]:
+def learn_lexicon(labelled: DataFrame, support: int = 4, share: float = 0.0005, least: float = 1.2, z: float = 2.5) -> tuple[dict[str, tuple[int, int]], int, int]:
     """Words whose document frequency is clearly higher among toxic texts: ``word -> (toxic, clean)``, and the numbers of texts.
 
-    Counts cover all labelled rows and are summed by Spark; the lexicon's ``size`` is a parameter.
+    Counts cover all labelled rows and are summed by Spark; every word that meets the limits is kept. A word must stand in
+    ``support`` toxic texts and in the ``share`` of them, so the lexicon has at most (distinct words of a mean toxic text) / ``share`` words,
+    however many texts there are.
     """
     totals = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
-    words = labelled.select("text", "label").mapInArrow(_word_labels, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where((F.col("toxic") >= support) & (F.col("word") != ""))
+    words = labelled.select("text", "label").mapInArrow(_word_labels, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where((F.col("toxic") >= max(support, share * n1)) & (F.col("word") != ""))
     weight = F.log((F.col("toxic") + 0.5) / (n1 + 1)) - F.log((F.col("clean") + 0.5) / (n0 + 1))
     sure = weight / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    top = words.where((weight >= least) & (sure >= z)).orderBy(sure.desc(), "word").limit(size).collect()
+    top = words.where((weight >= least) & (sure >= z)).collect()
     return {r["word"]: (r["toxic"], r["clean"]) for r in top}, n1, n0
 
 
@@ -110,56 +112,82 @@ def text_features(text: str | None, lexicon: dict[str, tuple[int, int]], n1: int
             (size - len(data.translate(None, DIGITS))) / size, math.log1p(words)]
 
 
-def _with_features(lexicon: dict, n1: int, n0: int, at: int, label_at: int | None = None):
+def _with_features(lexicon: dict, n1: int, n0: int, at: int, label_at: int | None = None, name: str = "f"):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at).to_pylist()
             labels = batch.column(label_at).to_pylist() if label_at is not None else [None] * len(texts)
             rows = [text_features(t, lexicon, n1, n0, y) for t, y in zip(texts, labels)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.float64()))], names=[*batch.schema.names, FEATURE_COLUMN])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.float64()))], names=[*batch.schema.names, name])
     return run
 
 
-FEATURE_COLUMN, SCORE_COLUMN = "_toxicity_features", "_toxicity_score"
+SCORE_COLUMN = "_toxicity_score"
+FOLDS = 3
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, fit_rows: int = 20_000, lexicon_size: int = 5_000, trees: int = 20) -> DataFrame:
-    """``docs`` with a ``_toxicity_score`` between 0 and 1; all columns and rows stay.
+def _classifier(trees: int, prefix: str = "") -> GBTClassifier:
+    columns = dict(featuresCol=f"{prefix}features", predictionCol=f"{prefix}class", rawPredictionCol=f"{prefix}raw", probabilityCol=f"{prefix}p")
+    return GBTClassifier(labelCol="label", weightCol="weight", maxIter=trees, maxDepth=3, stepSize=0.3, seed=3, maxBins=32, **columns)
+
+
+def _calibration(sample: DataFrame, trees: int) -> tuple[list[float], list[float]]:
+    """Isotonic steps from the scores that each third of the sample gets from trees fitted on the other two."""
+    scored = None
+    for fold in range(FOLDS):
+        model = _classifier(trees, "t_").fit(sample.where(F.col("fold") != fold))
+        part = model.transform(sample.where(F.col("fold") == fold)).select("label", "weight", vector_to_array("t_p").getItem(1).alias("raw"))
+        scored = part if scored is None else scored.unionAll(part)
+    steps = IsotonicRegression(featuresCol="raw", labelCol="label", weightCol="weight").fit(scored)
+    return [float(x) for x in steps.boundaries.toArray()], [float(y) for y in steps.predictions.toArray()]
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, fit_rows: int = 20_000, trees: int = 20) -> DataFrame:
+    """``docs`` with a ``_toxicity_score`` between 0 and 1; all columns and rows stay (an input column of that name gives way).
 
     The lexicon comes from word counts over all rows of ``docs`` where ``learn`` holds and ``labels`` (doc_id, toxic) has 0 or 1.
-    Boosted trees are fitted on a sample of these rows of about ``fit_rows`` rows, drawn by a hash of the id (a fifth of it, kept from the
-    trees, fits the isotonic calibration). The score is the calibrated probability; a fiftieth part of it is the raw one, which orders rows
-    on the calibration's steps. Labels, language, source and id are no features. Rows are scored where they lie, without a shuffle.
+    Boosted trees are fitted on a sample of these rows of about ``fit_rows`` rows at most, half from each label or all of a rarer one, drawn by a
+    hash of the id and weighted back. The isotonic calibration is cross-fitted on the same sample: ranks of the label's rows by hash deal them
+    into thirds, so every third has both labels, and each is scored by trees of the other two. The score is the calibrated probability; a
+    fiftieth part of it is the raw one, which orders rows on the calibration's steps. Labels, language, source and id are no
+    features. Rows are scored where they lie, without a shuffle.
 
     NULL, empty and wordless texts have all features 0 and are scored like any row. Without labelled rows every score is 0;
-    with one class alone it is that class's smoothed share. An id labelled more than once counts with its highest label. Repeated
-    rows are kept and learned from as they stand. An empty table gives no rows.
+    with one class alone, or fewer than ``FOLDS`` rows of one, it is the smoothed share. An id labelled more than once counts with its highest
+    label. Repeated rows are kept and learned from as they stand. An empty table gives no rows.
     """
+    docs = docs.select(*[f"`{c}`" for c in docs.columns if c != SCORE_COLUMN])
     marked = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     marked = staged(marked.select(F.col("doc_id").cast("long").alias("doc_id"), "label"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(learn, F.lit(False)).alias("learn")).where("learn")
     few = F.broadcast(marked) if marked.count() <= LABEL_BROADCAST else marked
     labelled = staged(texts.join(few, "doc_id").select("doc_id", "text", "label"))
-    lexicon, n1, n0 = learn_lexicon(labelled, lexicon_size)
+    lexicon, n1, n0 = learn_lexicon(labelled)
     names = docs.columns
-    if not n1 or not n0:
+    if n1 < FOLDS or n0 < FOLDS:
         share = (n1 + 1) / (n1 + n0 + 2) if n1 + n0 else 0.0
         return docs.withColumn(SCORE_COLUMN, F.lit(share))
+    rates = [min(1.0, fit_rows / 2 / n) for n in (n0, n1)]
+    rate = F.when(F.col("label") == 1, rates[1]).otherwise(rates[0])
     spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = labelled.where(spot < fit_rows / (n1 + n0)).select("doc_id", "text", "label").mapInArrow(_with_features(lexicon, n1, n0, 1, 2), f"doc_id long, text string, label int, {FEATURE_COLUMN} array<double>")
-    parts = staged(sample.select(F.col("label").cast("double").alias("label"), F.col(FEATURE_COLUMN).alias("f"), (F.pmod(F.xxhash64("doc_id", F.lit("hold")), F.lit(5)) == 0).alias("hold"))).coalesce(4)
-    fit = parts.where("NOT hold").select("label", array_to_vector("f").alias("features"))
-    if fit.select("label").distinct().count() < 2:
-        return docs.withColumn(SCORE_COLUMN, F.lit((n1 + 1) / (n1 + n0 + 2)))
-    model = GBTClassifier(maxIter=trees, maxDepth=3, stepSize=0.3, seed=3, maxBins=32).fit(fit)
-    held = parts.where("hold" if parts.where("hold AND label = 1").count() >= 20 else "true").select("label", array_to_vector("f").alias("features"))
-    raw = vector_to_array("probability").getItem(1)
-    steps = IsotonicRegression(featuresCol="raw", labelCol="label").fit(model.transform(held).select("label", raw.alias("raw")))
+    chosen = labelled.where(spot < rate).select("doc_id", "text", "label").mapInArrow(_with_features(lexicon, n1, n0, 1, 2), "doc_id long, text string, label int, f array<double>")
+    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id", F.lit("fold")), "doc_id")  # at most about fit_rows rows
+    dealt = chosen.select("label", "f", "doc_id", (F.row_number().over(order) % FOLDS).alias("fold"))
+    # in a few partitions, by the sample's size: the trees pass over them many times
+    parts = max(1, min(8, round((n1 * rates[1] + n0 * rates[0]) / 2_500)))
+    sample = staged(dealt.select(F.col("label").cast("double").alias("label"), (1 / rate).alias("weight"), "f", "fold").coalesce(parts))
+    sample = sample.select("label", "weight", "fold", array_to_vector("f").alias("t_features")).cache()
     # the calibration is a short list of steps between which it is linear; as an expression it stays inside generated code
-    xs, ys = [float(x) for x in steps.boundaries.toArray()], [float(y) for y in steps.predictions.toArray()]
-    features = docs.mapInArrow(_with_features(lexicon, n1, n0, names.index("text")), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", {FEATURE_COLUMN} array<double>")
-    scored = model.setFeaturesCol("_toxicity_vector").setPredictionCol("_toxicity_class").setRawPredictionCol("_toxicity_raw").setProbabilityCol("_toxicity_p").transform(features.withColumn("_toxicity_vector", array_to_vector(FEATURE_COLUMN)))
-    p = vector_to_array("_toxicity_p").getItem(1)
+    xs, ys = _calibration(sample, trees)
+    prefix = "_t"
+    while any(c.startswith(prefix) for c in names):  # names that are not among the input's
+        prefix += "t"
+    model = _classifier(trees, "t_").fit(sample).setFeaturesCol(f"{prefix}_vector").setPredictionCol(f"{prefix}_class").setRawPredictionCol(f"{prefix}_raw").setProbabilityCol(f"{prefix}_p")
+    sample.unpersist()
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    features = docs.mapInArrow(_with_features(lexicon, n1, n0, names.index("text"), name=f"{prefix}_f"), f"{schema}, {prefix}_f array<double>")
+    scored = model.transform(features.withColumn(f"{prefix}_vector", array_to_vector(f"{prefix}_f")))
+    p = vector_to_array(f"{prefix}_p").getItem(1)
     return scored.select(*[f"`{c}`" for c in names], (0.98 * _steps(p, xs, ys) + 0.02 * p).alias(SCORE_COLUMN))
 
 
