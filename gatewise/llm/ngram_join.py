@@ -267,3 +267,24 @@ def _few(ids: DataFrame) -> DataFrame:
     """Ids for a semi or anti join: broadcast when counted to be few, else joined by shuffle."""
     ids = ids.distinct()
     return F.broadcast(ids) if ids.count() <= ID_BROADCAST else ids
+
+
+def keep_first_of_groups(docs: DataFrame) -> DataFrame:
+    """``docs`` without the rows that are linked to one with a smaller id (among equal ids, to one that comes earlier); all columns stay.
+
+    Every row is a document of its own here, also where ids repeat or are NULL (NULL comes last), so a text goes only if one like it stays.
+    """
+    names = docs.columns
+    row = "_row"
+    while row in names:
+        row += "_"
+    rows = staged(docs.withColumn(row, F.monotonically_increasing_id()))
+    groups = ngram_components(rows.select(F.col(row).alias("doc_id"), "text"))
+    later = staged(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("member"), "component_id"))
+    heads = later.select(F.col("component_id").alias("member"), "component_id").distinct()
+    members = later.unionAll(heads).join(rows.select(F.col(row).alias("member"), F.col("doc_id")), "member")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "member"))
+    kept = members.groupBy("component_id").agg(first["member"].alias("kept"))
+    gone = staged(members.join(kept, "component_id").where("member <> kept").select(F.col("member").alias(row)))
+    few = F.broadcast(gone) if gone.count() <= ID_BROADCAST else gone
+    return rows.join(few, row, "left_anti").select(*[f"`{c}`" for c in names])
