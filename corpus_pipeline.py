@@ -20,25 +20,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that stand on ``LINE_SITES`` sites or more, but in the first document that has them."""
-    cleaned = lines.dedup_lines(docs, LINE_SITES)
-    columns = [F.when(F.col("_n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    counts = "_n_lines", "_n_removed"
+    while set(counts) & set(docs.columns):
+        counts = counts[0] + "_", counts[1] + "_"
+    cleaned = lines.dedup_lines(docs, LINE_SITES, counts)
+    columns = [F.when(F.col(counts[1]) > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return cleaned.select(*columns)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates, that of its smallest id. Documents without an id stay. Rows that share an id
-    are one document (``ngram_components`` links them): the longest text stays, among equally long ones the last in order."""
-    groups = ngram_join.ngram_components(docs)
-    others = staged(groups.where("doc_id <> component_id").select("doc_id").distinct())
-    few = F.broadcast(others) if others.count() <= ngram_join.ID_BROADCAST else others
-    kept = docs.join(few, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
-    twice = staged(docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"))
-    if twice.isEmpty():
-        return kept
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    order = F.struct(F.char_length("text").alias("length"), "text", *(F.col(f"`{c}`") for c in rest))
-    first = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.max(order).alias("_row")).select("doc_id", *(F.col("_row").getField(c).alias(c) for c in ("text", *rest)))
-    return kept.join(twice, "doc_id", "left_anti").unionByName(first).select(*[f"`{c}`" for c in docs.columns])
+    """One row of each group of near duplicates, that of its smallest id. Rows without an id, and rows that share one, are documents of their own."""
+    return ngram_join.keep_first_of_groups(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
