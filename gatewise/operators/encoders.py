@@ -9,7 +9,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gatewise.operators.aggregates import long_features
-from gatewise.operators.windows import cumulative_by_value, edge_bin, exact_quantiles, quantile_edges
+from gatewise.operators.windows import cumulative_by_value, cumulative_in_groups, edge_bin, exact_quantiles, quantile_edges, quantiles_of_groups
 from gatewise.session import broadcast_if_small, cut_lineage, staged
 
 
@@ -222,9 +222,16 @@ def risky_categories(table: DataFrame, feature: str) -> DataFrame:
     return table.filter((F.col("feature") == feature) & (F.col("risky") == 1)).select(F.col("category").alias(feature))
 
 
-def add_noise(df: DataFrame, column: str, rows: Column, scale: float, seed: int) -> DataFrame:
-    """Add N(0, scale) to one column of the chosen (training) rows."""
-    return df.withColumn(column, F.when(rows, F.col(column) + F.randn(seed) * F.lit(scale)).otherwise(F.col(column)))
+def standard_normal(key: str | Column, seed: int) -> Column:
+    """A standard normal number per key (Box-Muller on two hashes of it): the same whatever the partitioning."""
+    def uniform(salt: int) -> Column:
+        return (F.shiftrightunsigned(F.xxhash64(key, F.lit(seed), F.lit(salt)), 11) + F.lit(1)) / F.lit(float(2**53 + 1))
+    return F.sqrt(-2 * F.log(uniform(0))) * F.cos(2 * math.pi * uniform(1))
+
+
+def add_noise(df: DataFrame, column: str, rows: Column, scale: float, seed: int, key: str) -> DataFrame:
+    """Add N(0, scale) to one column of the chosen (training) rows, drawn by ``key``."""
+    return df.withColumn(column, F.when(rows, F.col(column) + standard_normal(key, seed) * F.lit(scale)).otherwise(F.col(column)))
 
 
 # ---- numeric binning ---------------------------------------------------------------------------------------------
@@ -291,12 +298,25 @@ def fit_woe_bins(df: DataFrame, value: str, label: str, pre_bins: int = 20, max_
     return _woe_fit(value, inner, rows, ends)
 
 
-def fit_many_woe_bins(df: DataFrame, cuts: dict[str, list[float]], label: str) -> list[dict]:
-    """``fit_woe_bins`` with given cuts for many numerics at once: one scan, one small aggregate."""
+def quantile_cuts(df: DataFrame, features: list[str], bins: int = 20) -> dict[str, list[float]]:
+    """Inner quantile edges of many numerics at once, without NULLs: a fixed number of jobs."""
+    named = F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features))
+    values = df.select(F.explode(named).alias("_f")).select("_f.*").where("v IS NOT NULL").groupBy("feature", "v").agg(F.count("*").alias("n"))
+    found = quantiles_of_groups(cumulative_in_groups(staged(values), "feature", "v", ["n"]), "feature", "v", [i / bins for i in range(bins + 1)])
+    return {f: sorted(set(found[f]))[1:-1] if f in found else [] for f in features}
+
+
+def fit_many_woe_bins(df: DataFrame, cuts: dict[str, list[float]], label: str, max_bins: int | None = None) -> list[dict]:
+    """``fit_woe_bins`` with given cuts for many numerics at once: one scan, one small aggregate. With ``max_bins`` neighbours are merged."""
     marks = F.array(*(F.struct(F.lit(f).alias("feature"), F.coalesce(edge_bin(f, [-math.inf, *inner, math.inf]), F.lit(-1)).alias("bin")) for f, inner in cuts.items()))
     counted = df.select(label, F.explode(marks).alias("m")).groupBy("m.feature", "m.bin").agg(F.sum(label).cast("double").alias("events"), F.count("*").alias("n")).collect()
     found = {(r["feature"], r["bin"]): (r["events"], r["n"] - r["events"]) for r in counted}
-    return [_woe_fit(f, list(inner), {b: c for (g, b), c in found.items() if g == f}, [*range(1, len(inner) + 2)]) for f, inner in cuts.items()]
+    fits = []
+    for f, inner in cuts.items():
+        rows = {b: c for (g, b), c in found.items() if g == f}
+        ends = [*range(1, len(inner) + 2)] if max_bins is None else merge_bins([rows.get(i, (0.0, 0.0)) for i in range(len(inner) + 1)], max_bins)
+        fits.append(_woe_fit(f, list(inner), rows, ends))
+    return fits
 
 
 def _woe_fit(value: str, inner: list[float], rows: dict[int, tuple[float, float]], ends: list[int]) -> dict:

@@ -9,6 +9,7 @@ import math
 import random
 import uuid
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 from gatewise.operators import evaluate as V
 from gatewise.operators.weights import augment_rejects
 from gatewise.operators.windows import time_folds
-from gatewise.session import checkpoint_folder, cut_lineage
+from gatewise.session import checkpoint_folder, staged
 
 
 def assemble(df: DataFrame, features: list[str]) -> DataFrame:
@@ -137,6 +138,37 @@ def search_boosted(train: DataFrame, test: DataFrame, label: str, weight: str, s
     return grid[int(np.argmin(losses))], table
 
 
+def search_halving(train: DataFrame, test: DataFrame, key: str, label: str, weight: str, space: dict[str, list], trials: int, least: float = 0.05, keep: int = 3,
+                   seed: int = 111, parallelism: int = 4) -> tuple[dict, DataFrame]:
+    """Successive halving: all sampled parameter sets on a small share of the training rows, the best ``1 / keep`` of them on ``keep`` times as many, and so on.
+
+    Shares are nested samples by a hash of ``key``; the last one is everything, and about ``trials * least`` sets reach it, so the number of full fits
+    does not follow the number of trials. Trials of a rung are submitted at once, ``parallelism`` at a time. Losses are weighted log-losses on all
+    test rows. Gives the best set of the last rung and all losses ``(rung, share, trial, parameters, loss)``; ties go to the earlier trial.
+    """
+    grid = sampled_grid(space, trials, seed)
+    shares = [1.0]
+    while shares[0] > least:
+        shares.insert(0, max(shares[0] / keep, least))
+    spot = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) / float(1 << 30)
+    marked = staged(train.withColumn("_spot", spot))
+    test = staged(test)
+    alive, rows = list(range(len(grid))), []
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        for rung, share in enumerate(shares):
+            sample = marked.where(F.col("_spot") < share)
+
+            def loss(trial: int) -> float:
+                scored = with_probability(test, fit_boosted(sample, label, weight, seed=seed, **grid[trial]))
+                return V.log_loss(scored, "probability", label, weight).first()[0]
+            losses = dict(zip(alive, pool.map(loss, alive)))
+            rows += [(rung, float(share), i, *(float(grid[i][n]) for n in space), float(x)) for i, x in losses.items()]
+            ranked = sorted(alive, key=lambda i: (losses[i], i))
+            alive = sorted(ranked[: max(1, -(-len(ranked) // keep))])
+    table = train.sparkSession.createDataFrame(rows, "rung int, share double, trial int, " + ", ".join(f"{n} double" for n in space) + ", loss double")
+    return grid[ranked[0]], table
+
+
 def fit_calibration(df: DataFrame, score: str, label: str, weight: str | None = None):
     """Sigmoid calibration of a score with smoothed targets: each row counts as positive with weight t and negative with 1 - t."""
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
@@ -224,7 +256,7 @@ def dependence(df: DataFrame, value: Column, contribution: Column) -> DataFrame:
 # ---- time-wise validation ----------------------------------------------------------------------------------------
 
 def time_cross_validation(df: DataFrame, date: str, key: str, label: str, weight: str, approved: str, folds: int = 5, within: Column | None = None,
-                          limits: tuple = (0, 100, 10, 100, 15, 45), inferred: str | None = None, **params) -> DataFrame:
+                          limits: tuple = (0, 100, 10, 100, 15, 45), inferred: str | None = None, parallelism: int = 3, **params) -> DataFrame:
     """Train on everything before each block of time, calibrate, score; AUC per fold, split and population, and thresholds.
 
     ``df`` carries assembled features. With ``inferred``, a column of probabilities, labels of rows that are not approved stay unseen: each
@@ -235,24 +267,24 @@ def time_cross_validation(df: DataFrame, date: str, key: str, label: str, weight
     if inferred:
         halves = augment_rejects(placed, approved, label, inferred, "_share").withColumn(weight, F.col(weight) * F.col("_share"))
         placed = halves.filter(F.col("_share") > 0).drop("_share", inferred)
-    placed = cut_lineage(placed)
-    out = None
-    for f in range(1, folds + 1):
+    placed = staged(placed, ["fold"])  # a fold reads the folders of its own blocks only
+
+    def one(f: int) -> DataFrame:
         rows = placed.filter(F.col("fold") <= f).withColumn("split", F.when(F.col("fold") == f, "Test").otherwise("Train"))
-        train = rows.filter(F.col("split") == "Train")
+        train = placed.filter(F.col("fold") < f)
         model = fit_boosted(train, label, weight, **params)
         fit = fit_calibration(with_probability(train, model), "probability", label, weight)
         scored = with_probability(rows, model).withColumn("_p", calibrated("probability", fit)).withColumn("score", V.to_score("_p"))
-        scored = cut_lineage(scored.select("split", "score", label, weight, approved))
+        scored = staged(scored.select("split", "score", label, weight, approved))
         people = F.when(F.col(approved) == 1, F.array(F.lit("RM"), F.lit("KM"))).otherwise(F.array(F.lit("RM")))
         areas = V.auc(scored.withColumn("population", F.explode(people)), "score", label, weight, ["split", "population"])
         metric = areas.select(F.lit(f).alias("fold"), "split", "population", F.lit("auc").alias("metric"), F.col("auc").alias("value"))
         edges = V.threshold_search(scored.filter(F.col("split") == "Test"), "score", label, approved, weight, *limits)
         edge = edges.select(F.lit(f).alias("fold"), F.lit("Test").alias("split"), F.lit("RM").alias("population"), F.concat(F.lit("threshold_"), "edge").alias("metric"),
                             F.col("threshold").cast("double").alias("value"))
-        both = metric.unionByName(edge)
-        out = both if out is None else out.unionByName(both)
-    return out
+        return metric.unionByName(edge)
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:  # jobs of different folds share the cluster
+        return reduce(DataFrame.unionByName, pool.map(one, range(1, folds + 1)))
 
 
 def fold_summary(metrics: DataFrame) -> DataFrame:

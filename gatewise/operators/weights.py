@@ -86,6 +86,17 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     return counts.withColumn("_t", whole).select(label, "n", (F.col("_t.n") / (F.col("_t.k") * F.col("n"))).alias("class_weight"))
 
 
+def training_weight(df: DataFrame, date: str, approved: str, amount: str, weight: str, label: str, name: str = "fit_weight") -> DataFrame:
+    """The weight a model is fitted with: time decay, value-combined weight and class weight multiplied, and scaled to the row count."""
+    out = combined_weight(time_decay(df, date, "_decay"), approved, amount, weight, "_combined")
+    counts = out.agg(F.count("*").alias("n"), F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("y")).first()
+    n, y = counts["n"], counts["y"] or 0
+    of_class = F.when(F.col(label) == 1, n / (2 * y) if y else 1.0).otherwise(n / (2 * (n - y)) if n > y else 1.0)
+    out = out.withColumn(name, F.col("_decay") * F.col("_combined") * of_class).drop("_decay", "_combined")
+    total = out.agg(F.sum(name)).first()[0]
+    return out.withColumn(name, F.col(name) * F.lit(n / total if total else 1.0))
+
+
 def augment_rejects(df: DataFrame, approved: str, label: str, probability: str, weight: str = "weights") -> DataFrame:
     """Approved rows once at weight 1; each reject twice: label 1 at weight p and label 0 at weight 1 - p. A narrow step."""
     kind = df.schema[label].dataType

@@ -287,7 +287,7 @@ def declared_against_scanned_names(spark, d):
 @query("gaussian_noise", ())
 def gaussian_noise(spark, d):
     from gatewise.operators.encoders import add_noise
-    return add_noise(members(spark, d).select("company_id", "score", "data_type"), "score", F.col("data_type") == "train", 0.5, seed=11)
+    return add_noise(members(spark, d).select("company_id", "score", "data_type"), "score", F.col("data_type") == "train", 0.5, 11, "company_id")
 
 
 @query("parameterised_query", (), "SELECT o_orderpriority, CAST(COUNT(*) AS BIGINT) AS n FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1997-06-30' GROUP BY 1")

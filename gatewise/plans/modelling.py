@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gatewise.operators import encoders as E, models as G
-from gatewise.operators.weights import augment_rejects, class_weights
-from gatewise.plans.decisions import COEFFICIENTS, MEANS
+from gatewise.operators import decide as D, encoders as E, models as G
+from gatewise.operators.weights import augment_rejects, class_weights, training_weight
+from gatewise.plans.decisions import COEFFICIENTS, MEANS, PAIRS
 from gatewise.plans.evaluation import WEIGHT, _r
+from gatewise.plans.expressions import KEYWORDS
 from gatewise.plans.registry import query
 from gatewise.session import cut_lineage, staged
 from gatewise.sources.standins import load
@@ -39,6 +40,28 @@ def gbt_scores(spark, d):
     return G.score_table(scored.withColumn("calibrated", G.calibrated("probability", fit)), ["company_id"], "calibrated", "probability", "is_app_fraud", "app_fraud_amount", "is_approved", "w", "created_on")
 
 
+@query("chain_gbt_scores", ())
+def chain_gbt_scores(spark, d):
+    """Boosted trees behind the whole encoding chain: mixed encodings of all categories with noise on training rows, lists by their largest entry,
+    industry and codes combined, merged WOE bins at quantiles, and decay x combined x class weights; early stopping on the test period."""
+    keep = ["company_id", "created_on", "is_approved", "is_app_fraud", "app_fraud_amount", "data_type", "w"]
+    members = load(spark, d, "members").withColumn("w", F.expr(WEIGHT).cast("double"))
+    features = staged(D.payload_features(D.payload_from_members(members, KEYWORDS, keep), PAIRS, keep))
+    learn = (F.col("is_approved") == 1) & (F.col("data_type") == "train")
+    encoded = D.encode_features(features, D.fit_encodings(features.filter(learn), "is_app_fraud"))
+    for i, f in enumerate(D.WOE_INPUTS):
+        if f.endswith("_encoded"):
+            encoded = E.add_noise(encoded, f, learn, 0.01, i, "company_id")
+    encoded = staged(encoded)
+    train = encoded.filter(learn)
+    bins = E.woe_bin_table(spark, E.fit_many_woe_bins(train, E.quantile_cuts(train, D.WOE_INPUTS), "is_app_fraud", max_bins=8))
+    inputs = [*(f"{f}_woe" for f in D.WOE_INPUTS), *D.FLAGS]
+    whole = staged(G.assemble(training_weight(D.model_inputs(encoded, bins), "created_on", "is_approved", "app_fraud_amount", "w", "is_app_fraud").select(*keep, "fit_weight", *inputs), inputs))
+    scored = G.with_probability(whole, G.fit_boosted(km_train(whole), "is_app_fraud", "fit_weight", "held_out", **SMALL))
+    fit = G.fit_calibration(scored.filter(learn), "probability", "is_app_fraud", "w")
+    return G.score_table(scored.withColumn("calibrated", G.calibrated("probability", fit)), ["company_id"], "calibrated", "probability", "is_app_fraud", "app_fraud_amount", "is_approved", "w", "created_on")
+
+
 def _first_scores(p):
     """Everybody's calibrated probability ``p`` by the model of approved members."""
     first = G.with_probability(p, G.fit_boosted(km_train(p), "is_app_fraud", "w", "held_out", **SMALL))
@@ -76,6 +99,14 @@ def parameter_search(spark, d):
     return G.search_boosted(p.filter("data_type = 'train'"), p.filter("data_type = 'test'"), "is_app_fraud", "w", space, trials=2)[1]
 
 
+@query("parameter_halving", ())
+def parameter_halving(spark, d):
+    """27 parameter sets by successive halving: one of them is fitted on all rows."""
+    p = prepared(spark, d).filter("is_approved = 1")
+    space = {"depth": [1, 2, 3], "step": [0.1, 0.2, 0.3], "rounds": [1, 2, 3], "min_rows": [1, 20]}
+    return G.search_halving(p.filter("data_type = 'train'"), p.filter("data_type = 'test'"), "company_id", "is_app_fraud", "w", space, trials=27, least=0.1)[1]
+
+
 @query("tree_reasons", ())
 def tree_reasons(spark, d):
     p = prepared(spark, d)
@@ -91,6 +122,12 @@ def time_cross_validation(spark, d):
 
 
 
+@query("time_cross_validation_summary", ())
+def time_cross_validation_summary(spark, d):
+    """Mean and spread of every measure over the folds."""
+    return G.fold_summary(time_cross_validation(spark, d))
+
+
 @query("score_table", ("applications",), f"SELECT company_id, is_app_fraud, CAST(created_on AS VARCHAR) AS created_on, app_fraud_amount, CAST(round_even(balance / 10000 * 1000, 0) AS INTEGER) AS rating, CAST(round_even(score / 7777 * 1000, 0) AS INTEGER) AS rating_uncalibrated, CAST({WEIGHT} AS DOUBLE) AS weight, is_approved, ROUND(is_app_fraud * CAST({WEIGHT} AS DOUBLE), 6) AS label_w FROM applications")
 def score_table(spark, d):
     a = load(spark, d, "applications").withColumns({"w": F.expr(WEIGHT).cast("double"), "p": F.col("balance") / 10000, "q": F.col("score") / 7777})

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gatewise.functions.scalars import flag
-from gatewise.operators import aggregates as A, joins as J, windows as N
 from gatewise.functions.similarity import shares_token
+from gatewise.operators import aggregates as A, joins as J, windows as N
 from gatewise.plans.registry import query
-from gatewise.session import literal_table
+from gatewise.session import checkpoint_folder, literal_table
+from gatewise.sources.files import write_bucketed
 from gatewise.sources.standins import load
 
 # Invented sample of postcode prefixes and risks.
@@ -162,6 +165,25 @@ def keyword_levels(spark, d):
     return found.select("l_orderkey", F.array_join("keywords", ",").alias("keywords"), "keyword_level")
 
 
+@query("bucketed_join", (), """
+SELECT o_orderpriority, CAST(COUNT(*) AS BIGINT) AS orders, CAST(SUM(n) AS BIGINT) AS items, ROUND(SUM(price), 2) AS price
+FROM orders JOIN (SELECT l_orderkey, COUNT(*) AS n, SUM(l_extendedprice) AS price FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey GROUP BY 1""")
+def bucketed_join(spark, d):
+    """Orders and items kept in buckets of the order: grouping the items and joining the orders move no row."""
+    orders, items = bucketed_tables(spark, d)
+    per_order = items.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum("l_extendedprice").alias("price"))
+    joined = orders.join(per_order.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return joined.groupBy("o_orderpriority").agg(F.count("*").alias("orders"), F.sum("n").alias("items"), F.round(F.sum("price"), 2).alias("price"))
+
+
+def bucketed_tables(spark, d):
+    name = f"stage_{uuid.uuid4().hex}"
+    folder = f"{checkpoint_folder(spark)}/{name}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kept = {"orders": ("o_orderkey", ["o_orderkey", "o_orderpriority"]), "lineitem": ("l_orderkey", ["l_orderkey", "l_extendedprice"])}
+    return [write_bucketed(load(spark, d, t).select(*columns), f"{name}_{t}", key, buckets, path=f"{folder}/{t}") for t, (key, columns) in kept.items()]
+
+
 @query("director_exact_match", (*_DIRECTOR_TABLES, "members"), _DOCS + """,
 born AS (SELECT member_id, MIN(date_of_birth) FILTER (created_at = DATE '2023-01-02') AS dob FROM users GROUP BY 1),
 person AS (SELECT b.company_id, string_split(lower(COALESCE(m.first_name, '')), ' ') AS f, string_split(lower(COALESCE(m.last_name, '')), ' ') AS l, u.dob FROM base b JOIN born u ON b.member_id = u.member_id JOIN members m ON b.company_id = m.company_id)

@@ -22,9 +22,12 @@ def write_stage(df: DataFrame, path: str, partition_by: str | None = "data_type"
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
 
 
-def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, mode: str = "overwrite") -> None:
-    """Bucketed table: repeated joins and aggregates on ``key`` then need no shuffle."""
-    df.write.mode(mode).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, mode: str = "overwrite", path: str | None = None) -> DataFrame:
+    """Bucketed table: joins and aggregates on ``key`` then need no shuffle, as often as they are repeated. Rows are dealt before the write,
+    so a bucket is one file. With ``path`` the data lies there instead of in the warehouse."""
+    writer = df.repartition(buckets, key).write.mode(mode).bucketBy(buckets, key).sortBy(key)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+    return df.sparkSession.table(table)
 
 
 def rows_per_chunk(df: DataFrame, target_bytes: int = 10 * 1024 * 1024) -> int:

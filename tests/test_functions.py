@@ -211,3 +211,10 @@ def test_keyword_table_of_any_size(spark, monkeypatch):
         found = J.keyword_levels(df, "k", "text", phrases)
         assert {r["k"]: (r["keywords"], r["keyword_level"]) for r in found.collect()} == want
         assert ("Join" in found._jdf.queryExecution().executedPlan().toString()) == (limit == 2)
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark):
+    from gatewise.plans import relational as P
+    joined = P.bucketed_join(spark, "/root/testdata/sf0.001")
+    text = joined._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == 1 and "SortMergeJoin" in text  # the one of the last, small aggregate

@@ -144,3 +144,66 @@ def test_sampled_grid_draws_distinct_places_of_the_product():
     every = G.sampled_grid(space, 99, 5)
     assert len(every) == 6 and {(g["a"], g["b"]) for g in every} == {(a, b) for a in space["a"] for b in space["b"]}
     assert len(G.sampled_grid({str(k): list(range(10)) for k in range(12)}, 4, 5)) == 4  # a product of 10^12 is never built
+
+
+def test_halving_finds_a_set_no_worse_than_the_grid(spark):
+    import random as rnd
+    rng = rnd.Random(6)
+    rows = [(i, x := rng.random(), rng.random(), int(rng.random() < (0.8 if x > 0.6 else 0.1)), 1.0) for i in range(900)]
+    df = G.assemble(spark.createDataFrame(rows, "k int, a double, b double, y int, w double"), ["a", "b"])
+    train, test = df.where("k < 600"), df.where("k >= 600")
+    space = {"depth": [1, 2], "step": [0.05, 0.5], "rounds": [1, 3]}
+    best, table = G.search_halving(train, test, "k", "y", "w", space, trials=8, least=0.3, keep=3)
+    _, plain = G.search_boosted(train, test, "y", "w", space, trials=8, parallelism=4)
+    losses = table.toPandas()
+    assert list(losses.groupby("rung")["trial"].count()) == [8, 3, 1] and list(losses.groupby("rung")["share"].max()) == pytest.approx([0.3, 1 / 3, 1.0])
+    final = losses[losses["rung"] == 2].iloc[0]
+    assert {n: final[n] for n in space} == best
+    assert final["loss"] <= plain.toPandas()["loss"].median()
+
+
+def test_folds_read_their_own_blocks_only(spark, monkeypatch):
+    """Fold f scans the folders of blocks 0 to f, and the summary has every measure once."""
+    from gatewise.operators import models
+    import datetime
+    seen = []
+    fit = models.fit_boosted
+    monkeypatch.setattr(models, "fit_boosted", lambda train, *a, **k: (seen.append(sorted(r["fold"] for r in train.select("fold").distinct().collect())), fit(train, *a, **k))[1])
+    rows = [(i, datetime.date(2023, 1, 1) + datetime.timedelta(days=i % 200), float(i % 17), int(i % 17 > 11), 1.0, 1) for i in range(600)]
+    df = models.assemble(spark.createDataFrame(rows, "k int, d date, x double, y int, w double, ok int"), ["x"])
+    metrics = models.time_cross_validation(df, "d", "k", "y", "w", "ok", folds=3, rounds=1, depth=1)
+    assert sorted(seen) == [[0], [0, 1], [0, 1, 2]]
+    areas = metrics.where("metric = 'auc'").collect()
+    assert len(areas) == 12 and all(r["value"] > 0.9 for r in areas)
+    assert {r["metric"] for r in models.fold_summary(metrics).collect()} >= {"auc"}
+
+
+def test_noise_follows_the_key_not_the_partitions(spark):
+    df = spark.range(4000).select(F.col("id").alias("k"), F.lit(1.0).alias("x"))
+    runs = [sorted((r["k"], r["x"]) for r in E.add_noise(df.repartition(n), "x", F.col("k") % 2 == 0, 0.5, 3, "k").collect()) for n in (1, 7)]
+    assert runs[0] == runs[1]
+    drawn = np.array([x - 1 for k, x in runs[0] if k % 2 == 0]) / 0.5
+    assert all(x == 1.0 for k, x in runs[0] if k % 2) and abs(drawn.mean()) < 0.08 and abs(drawn.std() - 1) < 0.06
+
+
+def test_cuts_of_many_features_equal_numpy(spark):
+    rng = np.random.default_rng(1)
+    a, b = np.round(rng.normal(size=500), 1), rng.integers(0, 3, 500).astype(float)
+    df = spark.createDataFrame([(float(x), float(y), None, int(x > 0.5)) for x, y in zip(a, b)], "a double, b double, n double, y int")
+    cuts = E.quantile_cuts(df, ["a", "b", "n"], 10)
+    for f, v in (("a", a), ("b", b)):
+        assert cuts[f] == pytest.approx(list(np.unique(np.quantile(v, np.linspace(0, 1, 11))))[1:-1])
+    assert cuts["n"] == []
+    merged = {f["feature"]: f for f in E.fit_many_woe_bins(df, cuts, "y", max_bins=4)}
+    assert merged["a"] == E.fit_woe_bins(df, "a", "y", pre_bins=10, max_bins=4)
+
+
+def test_training_weight_balances_classes(spark):
+    import datetime
+    from gatewise.operators import weights as X
+    rows = [(i, datetime.date(2023, 1, 1 + i % 28), 1, float(i % 7), 1.0, int(i % 10 == 0)) for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, d date, ok int, amount double, w double, y int")
+    out = X.training_weight(df, "d", "ok", "amount", "w", "y").toPandas()
+    parts = X.combined_weight(X.time_decay(df, "d", "t"), "ok", "amount", "w", "c").toPandas()
+    want = parts["t"] * parts["c"] * np.where(parts["y"] == 1, 200 / 40, 200 / 360)
+    assert out["fit_weight"].sum() == pytest.approx(200) and np.allclose(out["fit_weight"], want * 200 / want.sum())
