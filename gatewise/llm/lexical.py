@@ -21,6 +21,7 @@ TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 VOCABULARY_LIMIT = 500_000  # item terms sent to the tasks; more are met by a join
 POSTING_LIMIT = 2_000_000  # pairs (item, term) sent to the tasks; more are met by a join
 LAST = (1 << 63) - 1  # in place of a NULL id
+OPEN_BYTES = 64 << 20  # chosen classes that are broadcast to find their members; more are met by a join
 CELLS = 4_000_000  # scores that a task holds at a time
 
 
@@ -100,10 +101,10 @@ def _best_classes(classes: DataFrame, postings: list[tuple[int, list[int]]], wei
                 gains = 1_000_000_000 * pairs[:, 1] // (1000 * pairs[:, 1] + 20 * m[owner])
                 for number, lo, hi in zip(numbers.tolist(), starts, [*starts[1:], len(pairs)]):
                     scores[owner[lo:hi, None], by_term[number]] += weights[number] * gains[lo:hi, None]
-                best.add(scores, np.array(piece.column(3).to_pylist(), np.int64), piece)
+                best.add(scores, piece.column(3).to_numpy(), piece.column(0).to_numpy())
         yield from best.rows()
 
-    return classes.select("class", "m", "bag", "first").mapInArrow(run, "place bigint, score bigint, class bigint, m bigint, bag binary, first bigint")
+    return classes.select("row", "m", "bag", "first").mapInArrow(run, "place bigint, score bigint, row bigint, first bigint")
 
 
 class _Best:
@@ -113,25 +114,22 @@ class _Best:
         self.k, self.kept = k, [[] for _ in range(items)]
         self.least = np.zeros(items, np.int64)  # scores at or below it need no look
 
-    def add(self, scores: np.ndarray, first: np.ndarray, rows: pa.RecordBatch) -> None:
-        names, ms, bags = (rows.column(i).to_pylist() for i in range(3))
+    def add(self, scores: np.ndarray, first: np.ndarray, rows: np.ndarray) -> None:
         for place in np.flatnonzero((scores >= np.maximum(self.least, 1)).any(axis=0)).tolist():
             column = scores[:, place]
             found = np.flatnonzero(column >= max(self.least[place], 1))
             if len(found) > self.k:
                 found = found[np.lexsort((first[found], -column[found]))[: self.k]]
-            if len(found):
-                more = [(-int(column[i]), int(first[i]), names[i], ms[i], bags[i]) for i in found]
-                self.kept[place] = sorted(self.kept[place] + more, key=lambda r: r[:3])[: self.k]
-                if len(self.kept[place]) == self.k:
-                    self.least[place] = -self.kept[place][-1][0]
+            more = [(-int(column[i]), int(first[i]), int(rows[i])) for i in found]
+            self.kept[place] = sorted(self.kept[place] + more)[: self.k]
+            if len(self.kept[place]) == self.k:
+                self.least[place] = -self.kept[place][-1][0]
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         for place, kept in enumerate(self.kept):
             if kept:
-                score, first, names, ms, bags = zip(*kept)
-                arrays = [pa.array([place] * len(kept), pa.int64()), pa.array([-s for s in score], pa.int64()), pa.array(names, pa.int64()), pa.array(ms, pa.int64()), pa.array(bags, pa.binary()), pa.array(first, pa.int64())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["place", "score", "class", "m", "bag", "first"])
+                score, first, row = (np.array(c, np.int64) for c in zip(*kept))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kept), place)), pa.array(-score), pa.array(row), pa.array(first)], names=["place", "score", "row", "first"])
 
 
 def _joined_classes(classes: DataFrame, postings: DataFrame) -> DataFrame:
@@ -144,11 +142,10 @@ def _joined_classes(classes: DataFrame, postings: DataFrame) -> DataFrame:
             take = pa.array(owner)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(pairs[:, 0], pa.int32()), pa.array(pairs[:, 1], pa.int32())], names=["row", "m", "number", "tf"])
 
-    numbered = staged(classes.select(F.monotonically_increasing_id().alias("row"), "class", "m", "bag", "first"))
-    terms = numbered.select("row", "m", "bag").mapInArrow(spread, "row bigint, m bigint, number int, tf int")
+    terms = classes.select("row", "m", "bag").mapInArrow(spread, "row bigint, m bigint, number int, tf int")
     gain = F.expr("weight * (1000000000L * tf div (1000L * tf + 20L * m))")
     scores = terms.join(postings, "number").groupBy("place", "row").agg(F.sum(gain).alias("score")).where("score > 0")
-    return scores.join(numbered, "row").select("place", "score", "class", "m", "bag", "first")
+    return scores.join(classes.select("row", "first"), "row").select("place", "score", "row", "first")
 
 
 def _nothing(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -192,6 +189,7 @@ def rank_documents(docs: DataFrame, items: DataFrame, k: int = 50) -> DataFrame:
     m = F.expr(f"100 - 50 + ((50L * n * {n_docs}L) div {length}L)")
     members = bags.where("octet_length(bag) > 0").select("doc_id", m.alias("m"), "bag").withColumn("class", F.xxhash64("m", "bag"))
     classes = members.groupBy("class", "m", "bag").agg(F.coalesce(F.min("doc_id").cast("long"), F.lit(LAST)).alias("first"))
+    classes = staged(classes.withColumn("row", F.monotonically_increasing_id()))
 
     places = staged(named.select("item_id").distinct().withColumn("place", F.monotonically_increasing_id()))
     if few and named.count() <= POSTING_LIMIT:
@@ -206,11 +204,14 @@ def rank_documents(docs: DataFrame, items: DataFrame, k: int = 50) -> DataFrame:
     else:
         of = named.alias("a").join(places.alias("b"), F.expr("a.item_id <=> b.item_id")).select("term", "place")
         scored = _joined_classes(classes, staged(of.join(numbered, "term").join(df.select("number", weight.alias("weight")), "number").select("number", "place", "weight")))
-    order = Window.partitionBy("place").orderBy(F.desc("score"), "first", "class")
-    chosen = staged(scored.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r"))
-
-    wanted = chosen.select("class", "m", "bag").distinct()
-    smallest = Window.partitionBy("class", "m", "bag").orderBy(F.asc_nulls_last("doc_id"))
-    found = members.join(wanted, ["class", "m", "bag"], "left_semi").withColumn("_r", F.row_number().over(smallest)).where(F.col("_r") <= k).drop("_r")
-    ranked = chosen.join(found, ["class", "m", "bag"]).withColumn("rank", F.row_number().over(Window.partitionBy("place").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))).cast("int"))
+    order = Window.partitionBy("place").orderBy(F.desc("score"), "first", "row")
+    chosen = staged(scored.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).select("place", "score", "row"))
+
+    # the chosen classes are opened: their smallest members, found without moving the members of a class to one place
+    wanted = staged(classes.join(chosen.select("row").distinct(), "row", "left_semi").select("row", "class", "m", "bag"))
+    size = wanted.agg(F.coalesce(F.sum(F.octet_length("bag") + 32), F.lit(0))).first()[0]
+    wanted = F.broadcast(wanted) if size <= OPEN_BYTES else wanted
+    smallest = Window.partitionBy("row").orderBy(F.asc_nulls_last("doc_id"))
+    found = members.join(wanted, ["class", "m", "bag"]).select("row", "doc_id").withColumn("_r", F.row_number().over(smallest)).where(F.col("_r") <= k).drop("_r")
+    ranked = chosen.join(found, "row").withColumn("rank", F.row_number().over(Window.partitionBy("place").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))).cast("int"))
     return ranked.where(F.col("rank") <= k).join(places, "place").select("item_id", "rank", "doc_id", "score")
