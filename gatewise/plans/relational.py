@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gatewise.functions.scalars import flag
 from gatewise.functions.similarity import shares_token
 from gatewise.operators import aggregates as A, joins as J, windows as N
+from gatewise.plans.expressions import COUNTRIES
 from gatewise.plans.registry import query
 from gatewise.session import checkpoint_folder, literal_table
 from gatewise.sources.files import write_bucketed
