@@ -126,17 +126,16 @@ SCORE_COLUMN = "_toxicity_score"
 FOLDS = 3
 
 
-def _classifier(trees: int, prefix: str = "") -> GBTClassifier:
-    columns = dict(featuresCol=f"{prefix}features", predictionCol=f"{prefix}class", rawPredictionCol=f"{prefix}raw", probabilityCol=f"{prefix}p")
-    return GBTClassifier(labelCol="label", weightCol="weight", maxIter=trees, maxDepth=3, stepSize=0.3, seed=3, maxBins=32, **columns)
+def _classifier(trees: int) -> GBTClassifier:
+    return GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=trees, maxDepth=3, stepSize=0.3, seed=3, maxBins=32)
 
 
 def _calibration(sample: DataFrame, trees: int) -> tuple[list[float], list[float]]:
     """Isotonic steps from the scores that each third of the sample gets from trees fitted on the other two."""
     scored = None
     for fold in range(FOLDS):
-        model = _classifier(trees, "t_").fit(sample.where(F.col("fold") != fold))
-        part = model.transform(sample.where(F.col("fold") == fold)).select("label", "weight", vector_to_array("t_p").getItem(1).alias("raw"))
+        model = _classifier(trees).fit(sample.where(F.col("fold") != fold))
+        part = model.transform(sample.where(F.col("fold") == fold)).select("label", "weight", vector_to_array("probability").getItem(1).alias("raw"))
         scored = part if scored is None else scored.unionAll(part)
     steps = IsotonicRegression(featuresCol="raw", labelCol="label", weightCol="weight").fit(scored)
     return [float(x) for x in steps.boundaries.toArray()], [float(y) for y in steps.predictions.toArray()]
@@ -176,13 +175,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, fit_rows:
     # in a few partitions, by the sample's size: the trees pass over them many times
     parts = max(1, min(8, round((n1 * rates[1] + n0 * rates[0]) / 2_500)))
     sample = staged(dealt.select(F.col("label").cast("double").alias("label"), (1 / rate).alias("weight"), "f", "fold").coalesce(parts))
-    sample = sample.select("label", "weight", "fold", array_to_vector("f").alias("t_features")).cache()
+    sample = sample.select("label", "weight", "fold", array_to_vector("f").alias("features")).cache()
     # the calibration is a short list of steps between which it is linear; as an expression it stays inside generated code
     xs, ys = _calibration(sample, trees)
     prefix = "_t"
     while any(c.startswith(prefix) for c in names):  # names that are not among the input's
         prefix += "t"
-    model = _classifier(trees, "t_").fit(sample).setFeaturesCol(f"{prefix}_vector").setPredictionCol(f"{prefix}_class").setRawPredictionCol(f"{prefix}_raw").setProbabilityCol(f"{prefix}_p")
+    model = _classifier(trees).fit(sample).setFeaturesCol(f"{prefix}_vector").setPredictionCol(f"{prefix}_class").setRawPredictionCol(f"{prefix}_raw").setProbabilityCol(f"{prefix}_p")
     sample.unpersist()
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     features = docs.mapInArrow(_with_features(lexicon, n1, n0, names.index("text"), name=f"{prefix}_f"), f"{schema}, {prefix}_f array<double>")
