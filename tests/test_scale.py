@@ -18,6 +18,8 @@ STREAMS = ["stream_decisions", "stream_rates", "stream_sliding_rates", "stream_s
 def several_files(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("tables"))
     spark.read.parquet(f"{FOLDER}/events.parquet").repartition(4, "event_id").write.parquet(f"{folder}/events.parquet")
+    for name in ("orders", "customer", "nation", "region", "lineitem"):  # the members whose payloads are decided on
+        spark.read.parquet(f"{FOLDER}/{name}.parquet").repartition(3).write.parquet(f"{folder}/{name}.parquet")
     return folder
 
 
@@ -27,10 +29,10 @@ def test_streams_read_a_table_of_several_files(spark, several_files, name):
     assert rows[0] and rows[0] == rows[1]
 
 
-def test_latest_by_batch_over_many_batches(spark, several_files, tmp_path):
+def test_latest_over_many_batches(spark, several_files):
     events = S.event_stream(spark, several_files, "events", "ts", files_per_trigger=1)
-    S.latest_by_batch(events, "user_id", "ts", "event_id", "props", f"{tmp_path}/out", f"{tmp_path}/state")
-    got = {(r["key"], r["event_id"]) for r in S.read_latest(spark, f"{tmp_path}/out", "key long, at timestamp, event_id long, payload string").collect()}
+    updates = S.available_rows(S.latest_rows(events, "user_id", "ts", "event_id", "props"), "t_many", "update")
+    got = {(r["key"], r["event_id"]) for r in S.newest_update(updates).collect()}
     want = spark.read.parquet(f"{FOLDER}/events.parquet").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("e"))
     assert got == {(r["user_id"], r["e"]) for r in want.collect()}
 
