@@ -25,6 +25,7 @@ TOKEN = re.compile(r"[^\s.,;:?\"()\[\]{}|]+")
 CAPITALS = re.compile(rb"\b[A-Z]{2,}\b")
 UPPER, PUNCTUATION, DIGITS = bytes(range(65, 91)), bytes(c for c in range(33, 127) if not chr(c).isalnum()), b"0123456789"
 EDGES = "!#$%&*+-/<=>@^_~'`|"
+ROWS = 256  # rows that a task works on at a time
 FEATURES = ["hit_density", "weight_density", "heaviest", "hits", "distinct_hits", "obfuscated_hits", "near_second_person", "second_person", "capital_letters", "capital_words", "punctuation", "exclamations", "obfuscated_words", "digits", "words"]
 
 
@@ -41,8 +42,8 @@ def plain(token: str) -> tuple[str, bool]:
 def _word_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: tuple[Counter, Counter] = (Counter(), Counter())
     for batch in batches:
-        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            counts[label].update({plain(t)[0] for t in set(TOKEN.findall((text or "").lower()))})
+        for text, label in zip(batch.column(0), batch.column(1).to_pylist()):
+            counts[label].update({plain(t)[0] for t in set(TOKEN.findall((text.as_py() or "").lower()))})
             if len(counts[label]) > 200_000:
                 yield from _emit(counts)
     yield from _emit(counts)
@@ -114,11 +115,12 @@ def text_features(text: str | None, lexicon: dict[str, tuple[int, int]], n1: int
 
 def _with_features(lexicon: dict, n1: int, n0: int, at: int, label_at: int | None = None, name: str = "f"):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
-            labels = batch.column(label_at).to_pylist() if label_at is not None else [None] * len(texts)
-            rows = [text_features(t, lexicon, n1, n0, y) for t, y in zip(texts, labels)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.float64()))], names=[*batch.schema.names, name])
+        for whole in batches:
+            for first in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(first, ROWS)
+                labels = batch.column(label_at).to_pylist() if label_at is not None else [None] * batch.num_rows
+                rows = [text_features(t.as_py(), lexicon, n1, n0, y) for t, y in zip(batch.column(at), labels)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.float64()))], names=[*batch.schema.names, name])
     return run
 
 
