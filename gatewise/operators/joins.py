@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from gatewise.functions.scalars import DAYS_PER_YEAR, UNDEFINED, count_level, is_missing, worst_in
 from gatewise.functions.similarity import add_similarity
 from gatewise.operators import encoders as E
-from gatewise.session import broadcast_if_small, staged
+from gatewise.session import broadcast_if_small, shuffled, staged
 
 
 def asof_join(spine: DataFrame, features: DataFrame, key: str, spine_ts: str, feature_ts: str, columns: list[str],
@@ -142,7 +142,7 @@ def match_directors(applicants: DataFrame, directors: DataFrame, key: str, thres
     """
     left = applicants.withColumns({"_m": F.month("date_of_birth"), "_y": F.year("date_of_birth")})
     right = directors.withColumns({"_m": F.month("director_dob"), "_y": F.year("director_dob")})
-    pairs = left.join(right, [key, "_m", "_y"]).drop("_m", "_y")
+    pairs = left.join(shuffled(right), [key, "_m", "_y"]).drop("_m", "_y")
     scored = add_similarity(pairs, F.lower(F.coalesce("first_name", F.lit(""))), F.col("director_first"), "first_similarity", threshold)
     last = F.when(F.col("first_similarity") >= threshold, F.lower(F.coalesce("last_name", F.lit(""))))
     scored = add_similarity(scored, last, F.col("director_last"), "last_similarity", threshold)
@@ -153,7 +153,7 @@ def first_director(applicants: DataFrame, directors: DataFrame, key: str, thresh
     """Every applicant with the officer id and nationalities of the first officer, in the register's order, that matches; else NULL."""
     first = F.min_by(F.struct("officer_id", "nationalities"), "position")
     found = match_directors(applicants, directors, key, threshold).groupBy(key).agg(first.alias("_d")).select(key, "_d.*")
-    return applicants.join(found, key, "left")
+    return applicants.join(shuffled(found), key, "left")
 
 
 def nationality_risk(df: DataFrame, lists: list[str], countries: DataFrame, key: str, name: str = "nationality_risk") -> DataFrame:
@@ -178,10 +178,10 @@ def director_features(applicants: DataFrame, directors: DataFrame, key: str) ->
 
     ``applicants`` has the key, ``created_at`` and ``date_of_birth``. Directors' ages count from the first of their birth month.
     """
-    born = directors.join(applicants.select(key, "created_at"), key).filter(F.col("director_dob").isNotNull())
+    born = directors.join(shuffled(applicants.select(key, "created_at")), key).filter(F.col("director_dob").isNotNull())
     age = F.date_diff("created_at", F.to_date(F.trunc("director_dob", "month"))) / F.lit(DAYS_PER_YEAR)
     per_company = born.groupBy(key).agg(F.avg(age).alias("_age"))
     sizes = directors.groupBy(key).agg(F.count("*").alias("_n"))
     own = F.date_diff("created_at", "date_of_birth") / F.lit(DAYS_PER_YEAR)
-    joined = applicants.join(per_company, key, "left").join(sizes, key, "left")
+    joined = applicants.join(shuffled(per_company), key, "left").join(shuffled(sizes), key, "left")
     return joined.select(*applicants.columns, F.coalesce("_age", own).cast("int").alias("directors_avg_age"), count_level("_n").alias("directors_level"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gatewise.functions.scalars import first_match, full_name, year_boundaries
 from gatewise.operators.windows import pick_one
-from gatewise.session import literal_table
+from gatewise.session import literal_table, shuffled
 
 # Ticket fraud type to main category.
 MAIN_CATEGORY = {
@@ -257,9 +257,9 @@ def registry_match(companies: DataFrame, memberships: DataFrame, docs: DataFrame
                         ["registry_created_at", "company_postcode", "employees", "registry_status", "directors"], largest=False)
     done = memberships.filter(F.col("is_completed") == 1).select("member_id")
     base = (companies.filter(F.col("created_at").between(F.lit(from_date).cast("date"), F.lit(to_date).cast("date")))
-            .join(done, "member_id", "left_semi").select("company_id", "member_id", "created_at", "registry_number"))
+            .join(shuffled(done), "member_id", "left_semi").select("company_id", "member_id", "created_at", "registry_number"))
     matched = (base.withColumn("_number", spread_nulls("registry_number", "company_id"))
-               .join(earliest.withColumnRenamed("registry_number", "_number"), "_number", "left").drop("_number"))
+               .join(shuffled(earliest.withColumnRenamed("registry_number", "_number")), "_number", "left").drop("_number"))
     return matched.withColumn("registry_hit", F.col("registry_created_at").isNotNull().cast("int"))
 
 

@@ -11,7 +11,7 @@ from gatewise.functions.similarity import shares_token
 from gatewise.operators import aggregates as A, joins as J, windows as N
 from gatewise.plans.expressions import COUNTRIES
 from gatewise.plans.registry import query
-from gatewise.session import checkpoint_folder, literal_table
+from gatewise.session import checkpoint_folder, literal_table, shuffled
 from gatewise.sources.files import write_bucketed
 from gatewise.sources.standins import load
 
@@ -130,7 +130,7 @@ def _applicants_and_directors(spark, d):
     docs = _registry(spark, d)
     directors = J.flatten_directors(docs.filter("directors IS NOT NULL"), "company_id", "directors")
     born = load(spark, d, "users").groupBy("member_id").agg(F.min_by("date_of_birth", "created_at").alias("date_of_birth"))
-    applicants = docs.select("company_id", "member_id").join(born, "member_id", "left").join(load(spark, d, "members").select("company_id", "first_name", "last_name"), "company_id")
+    applicants = docs.select("company_id", "member_id").join(shuffled(born), "member_id", "left").join(shuffled(load(spark, d, "members").select("company_id", "first_name", "last_name")), "company_id")
     return applicants.select("company_id", "first_name", "last_name", "date_of_birth"), directors
 
 
@@ -138,7 +138,7 @@ def _applicants_and_directors(spark, d):
 def director_match(spark, d):
     applicants, directors = _applicants_and_directors(spark, d)
     pairs = J.match_directors(applicants, directors, "company_id").select("company_id", "officer_id", "first_similarity", "last_similarity", "nationalities")
-    return applicants.select("company_id").join(pairs, "company_id", "left")
+    return applicants.select("company_id").join(shuffled(pairs), "company_id", "left")
 
 
 @query("first_director_match", ())
@@ -204,7 +204,7 @@ def director_nationality_risk(spark, d):
     found = J.first_director(applicants, directors, "company_id").select("company_id", "officer_id", "nationalities")
     declared = load(spark, d, "members").select("company_id", F.split("nationality_raw", " ").alias("declared"))
     countries = literal_table(spark, [(c, r) for a, b, r in COUNTRIES for c in (a, b)], "code string, risk string")
-    both = J.nationality_risk(found.join(declared, "company_id"), ["declared", "nationalities"], countries, "company_id")
+    both = J.nationality_risk(found.join(shuffled(declared), "company_id"), ["declared", "nationalities"], countries, "company_id")
     return both.select("company_id", "officer_id", F.array_join("nationalities_all", ",").alias("nationalities"), "nationality_risk")
 
 
@@ -223,7 +223,7 @@ SELECT b.company_id, CAST(floor(COALESCE(a.age, date_diff('day', u.dob, b.create
 def director_features(spark, d):
     docs = _registry(spark, d)
     users = load(spark, d, "users").groupBy("member_id").agg(F.min_by("date_of_birth", "created_at").alias("date_of_birth"))
-    applicants = docs.join(users, "member_id").select("company_id", "created_at", "date_of_birth")
+    applicants = docs.join(shuffled(users), "member_id").select("company_id", "created_at", "date_of_birth")
     directors = J.flatten_directors(docs.filter("directors IS NOT NULL"), "company_id", "directors")
     return J.director_features(applicants, directors, "company_id").select("company_id", "directors_avg_age", "directors_level")
 

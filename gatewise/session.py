@@ -75,6 +75,12 @@ def broadcast_if_small(table: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) ->
     return F.broadcast(table) if table.count() <= max_rows else table
 
 
+def shuffled(table: DataFrame) -> DataFrame:
+    """A table that grows with the input, for a join that shuffles both sides. The planner guesses rows derived from JSON, lists or made text
+    far too small and would broadcast them through the driver."""
+    return table.hint("merge")
+
+
 def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A lookup table written in code, generated from constants by one task. It is bounded by the source text, hence broadcast."""
     if len(rows) > 10_000:

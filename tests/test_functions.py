@@ -1,5 +1,6 @@
 import datetime
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -218,3 +219,12 @@ def test_bucketed_tables_join_without_a_shuffle(spark):
     joined = P.bucketed_join(spark, "/root/testdata/sf0.001")
     text = joined._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange") == 1 and "SortMergeJoin" in text  # the one of the last, small aggregate
+
+
+@pytest.mark.parametrize("name", ["director_features", "director_match", "first_director_match", "directors_to_rows", "registry_match"])
+def test_derived_registry_tables_are_not_broadcast(spark, name):
+    """The planner takes rows made from JSON for small ones; at 60 times sf0.1 the driver had no room for them."""
+    from __spark_entry__ import queries
+    plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line and re.search(r"company_id|_number|registry|officer", line)]
+    assert "SortMergeJoin" in plan and not joins
