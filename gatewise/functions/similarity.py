@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
@@ -132,15 +133,51 @@ def most_possible(a: Column, b: Column) -> Column:
     return F.transform(F.array(ordered), bound)[0]
 
 
-def add_similarity(df: DataFrame, a: Column, b: Column, name: str, least: float = 0.0) -> DataFrame:
-    """Similarity score of two lower-cased names as column ``name``. Pairs that share a token are decided in the JVM, and so are those that
-    cannot reach ``least``: they get 0. Only the rest reach Python."""
+def _decision(a: Column, b: Column, least: float) -> Column:
+    """``(score, one, other)``: the similarity where it can be told in the JVM, else the sorted tokens that must be compared."""
     def decided(p: Column) -> Column:
         one, other = F.array_join(p["l"], " "), F.array_join(p["r"], " ")
         score = F.when(F.arrays_overlap(p["l"], p["r"]), F.lit(100.0)).when((F.size(p["l"]) == 0) | (F.size(p["r"]) == 0), F.lit(0.0))
         if least > 0:
             score = score.when(most_possible(one, other) < least - 1e-9, F.lit(0.0))
         return F.struct(score.alias("score"), F.when(score.isNull(), one).alias("one"), F.when(score.isNull(), other).alias("other"))
+    return F.array(_once(decided, l=tokens(a), r=tokens(b)))
+
+
+def add_similarity(df: DataFrame, a: Column, b: Column, name: str, least: float = 0.0) -> DataFrame:
+    """Similarity score of two lower-cased names as column ``name``. Pairs that share a token are decided in the JVM, and so are those that
+    cannot reach ``least``: they get 0. Only the rest reach Python."""
     # a generator keeps the decision from being repeated in every place that uses it
-    out = df.select("*", F.inline(F.array(_once(decided, l=tokens(a), r=tokens(b)))).alias("_score", "_one", "_other"))
+    out = df.select("*", F.inline(_decision(a, b, least)).alias("_score", "_one", "_other"))
     return out.withColumn(name, F.coalesce("_score", _partial(F.col("_one"), F.col("_other")))).drop("_score", "_one", "_other")
+
+
+def _both(least: float):
+    def similarities(a: pa.Array, b: pa.Array, chosen: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(a))
+        here = np.flatnonzero(chosen & a.is_valid().to_numpy(zero_copy_only=False))
+        out[here] = partial_similarities(a.take(here).to_pylist(), b.take(here).to_pylist())
+        return out
+
+    def run(one: pa.Array, other: pa.Array, one2: pa.Array, other2: pa.Array) -> pa.Array:
+        first = similarities(one, other, np.ones(len(one), bool))
+        second = similarities(one2, other2, one.is_null().to_numpy(zero_copy_only=False) | (first >= least))
+        return pa.StructArray.from_arrays([pa.array(first), pa.array(second)], names=["first", "second"])
+    run.__annotations__ = {"one": pa.Array, "other": pa.Array, "one2": pa.Array, "other2": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "first double, second double").asNondeterministic()  # so that no filter has it run a second time
+
+
+def keep_similar(df: DataFrame, first: tuple[Column, Column], second: tuple[Column, Column], names: tuple[str, str], least: float) -> DataFrame:
+    """Rows of which both pairs of lower-cased names reach ``least``, with their scores as columns ``names``.
+
+    What the JVM can tell of either pair is told first, and drops its rows. The rest meet one function that works out both scores, the
+    second only where the first is enough: one Python worker a task.
+    """
+    scores = ["_score", "_score2"]
+    parts = [scores[0], "_one", "_other"], [scores[1], "_one2", "_other2"]
+    for pair, part in zip((first, second), parts):
+        df = df.select("*", F.inline(_decision(*pair, least)).alias(*part)).where(F.coalesce(part[0], F.lit(least)) >= least)
+    df = df.withColumn("_both", _both(least)("_one", "_other", "_one2", "_other2"))
+    found = (F.coalesce(s, f"_both.{field}") for s, field in zip(scores, ("first", "second")))
+    df = df.withColumns(dict(zip(names, found))).drop("_both", *parts[0], *parts[1])
+    return df.where((F.col(names[0]) >= least) & (F.col(names[1]) >= least))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gatewise.functions.scalars import DAYS_PER_YEAR, UNDEFINED, count_level, is_missing, worst_in
-from gatewise.functions.similarity import add_similarity
+from gatewise.functions.similarity import keep_similar
 from gatewise.operators import encoders as E
 from gatewise.session import broadcast_if_small, shuffled, staged
 
@@ -138,15 +138,14 @@ def match_directors(applicants: DataFrame, directors: DataFrame, key: str, thres
     """Applicants joined to the directors of their own company with the same birth month and year and similar names.
 
     Blocking on (key, month, year) is an equi-join; pairs that share a token or cannot reach the threshold by their characters are decided in the
-    JVM. The rest reach the Arrow similarity function, and only those whose first names are similar get there a second time.
+    JVM. The rest reach one Arrow function, which compares the last names only of those whose first names are similar.
     """
     left = applicants.withColumns({"_m": F.month("date_of_birth"), "_y": F.year("date_of_birth")})
     right = directors.withColumns({"_m": F.month("director_dob"), "_y": F.year("director_dob")})
     pairs = left.join(shuffled(right), [key, "_m", "_y"]).drop("_m", "_y")
-    scored = add_similarity(pairs, F.lower(F.coalesce("first_name", F.lit(""))), F.col("director_first"), "first_similarity", threshold)
-    last = F.when(F.col("first_similarity") >= threshold, F.lower(F.coalesce("last_name", F.lit(""))))
-    scored = add_similarity(scored, last, F.col("director_last"), "last_similarity", threshold)
-    return scored.filter((F.col("first_similarity") >= threshold) & (F.col("last_similarity") >= threshold))
+    first = F.lower(F.coalesce("first_name", F.lit(""))), F.col("director_first")
+    last = F.lower(F.coalesce("last_name", F.lit(""))), F.col("director_last")
+    return keep_similar(pairs, first, last, ("first_similarity", "last_similarity"), threshold)
 
 
 def first_director(applicants: DataFrame, directors: DataFrame, key: str, threshold: float = 90.0) -> DataFrame:

@@ -228,3 +228,17 @@ def test_derived_registry_tables_are_not_broadcast(spark, name):
     plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line and re.search(r"company_id|_number|registry|officer", line)]
     assert "SortMergeJoin" in plan and not joins
+
+
+def test_names_of_a_match_are_compared_in_one_python_step(spark):
+    from gatewise.functions.similarity import keep_similar
+    rng = random.Random(5)
+    name = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(0, 7))) or None
+    rows = [(k, name(), name(), name(), name()) for k in range(600)] + [(600, "jonathan", "johnathan", "smith", "smithe"), (601, "ann lee", "lee", "x", "y"), (602, None, None, None, None)]
+    df = spark.createDataFrame(rows, "k int, a string, b string, c string, d string")
+    out = keep_similar(df, (F.col("a"), F.col("b")), (F.col("c"), F.col("d")), ("s", "t"), 70.0)
+    want = {k: (round(token_similarity(a, b), 6), round(token_similarity(c, d), 6)) for k, a, b, c, d in rows if min(token_similarity(a, b), token_similarity(c, d)) >= 70}
+    assert {r["k"]: (round(r["s"], 6), round(r["t"], 6)) for r in out.collect()} == want and len(want) > 20
+    assert out.columns == [*df.columns, "s", "t"]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("EvalPython") == 1
