@@ -9,11 +9,13 @@ import datetime
 import sys
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import islice
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.types import StructField, StructType
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -179,11 +181,16 @@ def label_events(events: DataFrame, key: str, time: str, event_id: str, amount:
     return events.select(F.col(key).cast("bigint").alias("key"), F.explode(kinds).alias("decision"), F.col(event_id).cast("bigint").alias("id"), F.col(time).alias("at"), F.col(amount).cast("double").alias("amount"))
 
 
+_ROW = np.dtype([("decision", "?"), ("id", "i8"), ("at", "i8"), ("known", "?"), ("amount", "f8")])
+SLICE = 10_000  # rows of a key that are kept as one entry
+
+
 class _Maturing(StatefulProcessor):
-    """Decisions whose interval is not over, each with its first report so far, and reports that a later row's decision may still want.
+    """Decisions whose interval is not over, and reports that one of them or a later row's decision may still want, as packed rows of their
+    key in the order of arrival.
 
-    Times are microseconds. A decision's timer is the end of its interval; a report's is its own time, as every decision before it
-    is known by then. When the timers have fired nothing is kept.
+    Times are microseconds. A key has a timer at the end of the first interval that is over, set anew when it fires (without open
+    decisions at the time of its last report), so a batch costs a key a few calls, however many rows it has. When all have fired nothing is kept.
     """
 
     def __init__(self, span: int):
@@ -191,66 +198,63 @@ class _Maturing(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._open = handle.getMapState("open", "id bigint", "decided_at bigint, report_id bigint, reported_at bigint, amount double")
-        self._reports = handle.getMapState("reports", "id bigint", "reported_at bigint, amount double")
+        self._rows = handle.getListState("rows", "packed binary")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        decisions, reports = [], []
-        for batch in rows:
-            for decision, row_id, at, amount in zip(batch["decision"], batch["id"], batch["micros"], batch["amount"]):
-                (decisions if decision else reports).append((int(at), int(row_id), None if pd.isna(amount) else float(amount)))
-        waiting = {k[0]: v for k, v in self._open.iterator()} if reports else {}
-        if decisions:
-            known = [(v[0], k[0], v[1]) for k, v in self._reports.iterator()]
-            for at, row_id, _ in decisions:
-                waiting[row_id] = self._with_first((at, None, None, None), [*known, *reports])
-                self._handle.registerTimer(self._timer(at + self._span))
-        changed = {row_id for _, row_id, _ in decisions}
-        for row_id, state in waiting.items():
-            better = state if row_id in changed else self._with_first(state, reports)
-            if row_id in changed or better != state:
-                self._open.updateValue((row_id,), better)
-        for at, row_id, amount in reports:
-            self._reports.updateValue((row_id,), (at, amount))
-            self._handle.registerTimer(self._timer(at))
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        fields = ((decision, row_id, at, amount is not None and amount == amount, amount or 0.0) for _, decision, row_id, at, amount, _ in rows)
+        while len(new := np.fromiter(islice(fields, SLICE), _ROW)):
+            self._rows.appendList(self._packed(new))
+            self._set_timer(new)
         yield from ()
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        over = [(k[0], v) for k, v in self._open.iterator() if self._timer(v[0] + self._span) <= now]
-        for row_id, _ in over:
-            self._open.removeKey((row_id,))
-        for row_id in [k[0] for k, v in self._reports.iterator() if self._timer(v[0]) <= now]:
-            self._reports.removeKey((row_id,))
-        if over:
-            columns = {"key": [key[0]] * len(over), "decision_id": [i for i, _ in over], "decided_at": [v[0] for _, v in over],
-                       "report_id": pd.array([v[1] for _, v in over], "Int64"), "reported_at": pd.array([v[2] for _, v in over], "Int64"), "amount": pd.array([v[3] for _, v in over], "Float64")}
-            yield pd.DataFrame(columns)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        kept = [np.frombuffer(packed, _ROW) for (packed,) in self._rows.get()]
+        if not kept:
+            return
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        rows = np.concatenate(kept)
+        decided, reports = rows[rows["decision"]], rows[~rows["decision"]]
+        last = len(decided) - 1 - np.unique(decided["id"][::-1], return_index=True)[1]  # of an id that comes again, the last
+        decided = decided[np.sort(last)]
+        is_over = self._timer(decided["at"] + self._span) <= now
+        over, still = decided[is_over], decided[~is_over]
+        wanted = (self._timer(reports["at"]) > now) | (reports["at"] >= (still["at"].min() if len(still) else np.iinfo(np.int64).max))
+        rest = np.concatenate((still, reports[wanted]))
+        if len(rest) == 0:
+            self._rows.clear()
+        else:
+            if len(rest) < len(rows):
+                self._rows.put(self._packed(rest))
+            self._set_timer(rest)
+        reports = reports[np.lexsort((reports["id"], reports["at"]))]
+        first = np.searchsorted(reports["at"], over["at"])
+        for (_, row_id, at, _, _), k in zip(over.tolist(), first.tolist()):
+            report = reports[k].item() if k < len(reports) and reports["at"][k] <= at + self._span else None
+            yield Row(key=key[0], decision_id=row_id, decided_at=at, report_id=report and report[1], reported_at=report and report[2], amount=report[4] if report and report[3] else None)
 
     def close(self) -> None:
         pass
 
-    def _timer(self, micros: int) -> int:
+    def _packed(self, rows: np.ndarray) -> list[tuple]:
+        return [(rows[k : k + SLICE].tobytes(),) for k in range(0, len(rows), SLICE)]
+
+    def _timer(self, micros):
         return -(-micros // 1000)
 
-    def _with_first(self, state: tuple, reports: list[tuple]) -> tuple:
-        at, report_id, reported_at, amount = state
-        first = (reported_at, report_id) if report_id is not None else None
-        for when, row_id, value in reports:
-            if at <= when <= at + self._span and (first is None or (when, row_id) < first):
-                first, amount = (when, row_id), value
-        return (at, first[1], first[0], amount) if first else state
+    def _set_timer(self, rows: np.ndarray) -> None:
+        decided = rows["at"][rows["decision"]]
+        self._handle.registerTimer(int(self._timer(decided.min() + self._span if len(decided) else rows["at"].max())))
 
 
 def mature_labels(labelled: DataFrame, days: int = 180) -> DataFrame:
     """One row per decision once its ``days`` are over: the first report of its key from then on, with time and amount, or NULLs.
 
-    ``labelled`` is a stream in the layout of ``label_events`` with a watermark on ``at``. State: a row for each decision not yet mature and for
-    each report the watermark has not passed. Reports that come too late for their decision are behind the watermark: Spark leaves
+    ``labelled`` is a stream in the layout of ``label_events`` with a watermark on ``at``. State: each decision not yet mature and each
+    report that the watermark or such a decision has not passed. Reports that come too late for their decision are behind the watermark: Spark leaves
     them out and counts them (``Ran.late``). Rows without id, key or time are left out. Start it in a ``state_session``.
     """
     whole = labelled.where("key IS NOT NULL AND id IS NOT NULL AND at IS NOT NULL").withColumn("micros", F.unix_micros("at"))
-    out = whole.groupBy("key").transformWithStateInPandas(
+    out = whole.select("key", "decision", "id", "micros", "amount", "at").groupBy("key").transformWithState(
         statefulProcessor=_Maturing(days * 86_400_000_000), outputMode="Append", timeMode="EventTime",
         outputStructType="key bigint, decision_id bigint, decided_at bigint, report_id bigint, reported_at bigint, amount double")
     return out.withColumns({c: F.timestamp_micros(c) for c in ("decided_at", "reported_at")})

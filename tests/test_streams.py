@@ -1,6 +1,8 @@
 """Streams over a folder must give what the batch operators give."""
 
 import datetime
+import random
+import types
 
 import pytest
 from pyspark.sql import functions as F
@@ -120,3 +122,55 @@ def test_late_reports_are_counted(spark, tmp_path):
     out = S.closed_rows(source, "at", "1 day", "t_late", lambda e: S.mature_labels(e, 3), said).collect()
     assert {r["decision_id"]: (r["report_id"], r["amount"]) for r in out} == {1: (None, None), 2: (4, 6.0)}
     assert sum(r.late for r in said) == 1  # the report of day 2 came after the watermark had closed decision 1
+
+
+class Kept:
+    """State of one key, with the calls that reach it."""
+
+    def __init__(self):
+        self.rows, self.timers, self.calls = [], set(), 0
+
+    def getListState(self, name, schema):
+        return self
+
+    def registerTimer(self, at):
+        self.calls, _ = self.calls + 1, self.timers.add(at)
+
+    def get(self):
+        self.calls += 1
+        return iter(list(self.rows))
+
+    def appendList(self, more):
+        self.calls, self.rows = self.calls + 1, self.rows + more
+
+    def put(self, rows):
+        self.calls, self.rows = self.calls + 1, list(rows)
+
+    def clear(self):
+        self.put([])
+
+
+def test_a_key_of_many_rows_costs_a_few_calls_a_batch(monkeypatch):
+    """Before, every row had a timer and an entry of its own, and every timer read all rows of its key."""
+    monkeypatch.setattr(S, "SLICE", 700)
+    rng, span = random.Random(3), 5_000_000
+    rows = sorted((rng.randrange(60_000_000), k, rng.random() < 0.6) for k in range(6_000))
+    kept, out, clock = Kept(), [], types.SimpleNamespace(now=0, getCurrentWatermarkInMs=lambda: clock.now)
+    maturing = S._Maturing(span)
+    maturing.init(kept)
+    for k in [*range(0, len(rows), 2_000), None]:
+        if k is not None:
+            part = rng.sample(rows[k : k + 2_000], 2_000)
+            assert list(maturing.handleInputRows((7,), iter([(7, d, i, at, None if i % 9 == 0 else float(i), None) for at, i, d in part]), None)) == []
+        clock.now = rows[k][0] // 1000 if k is not None else 10**9  # the watermark, behind all that comes later
+        while due := [t for t in kept.timers if t <= clock.now]:
+            kept.timers.remove(min(due))
+            out += maturing.handleExpiredTimer((7,), clock, types.SimpleNamespace(getExpiryTimeInMs=lambda at=min(due): at))
+    reports = [(at, i) for at, i, d in rows if not d]
+    want = {}
+    for at, i, d in rows:
+        if d:
+            first = min((r for r in reports if at <= r[0] <= at + span), default=(None, None))
+            want[i] = (at, first[1], first[0], None if first[1] is None or first[1] % 9 == 0 else float(first[1]))
+    assert len(out) == len(want) and {r.decision_id: (r.decided_at, r.report_id, r.reported_at, r.amount) for r in out} == want
+    assert kept.rows == [] and kept.timers == set() and kept.calls < 60
