@@ -82,11 +82,13 @@ def with_membership(df: DataFrame, table: DataFrame, keys: list[str], name: str)
 
 def word_runs(text: Column, most: int) -> Column:
     """Distinct pieces of a text that run from the start of a word to the end of one, of 1 to ``most`` words, with what stands between them."""
-    parts = F.regexp_extract_all(text, F.lit(r"(?s)\w+|\W+"), F.lit(0))
-    size = F.size(parts)
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: (i <= size) & F.try_element_at(parts, i).rlike(r"^\w"))
-    spans = F.transform(starts, lambda i: F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.when(i + 2 * k <= size, F.array_join(F.slice(parts, i, 2 * k + 1), ""))))
-    return F.array_distinct(F.array_compact(F.flatten(spans)))
+    def runs(parts: Column) -> Column:
+        size = F.size(parts)
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: (i <= size) & F.try_element_at(parts, i).rlike(r"^\w"))
+        spans = F.transform(starts, lambda i: F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.when(i + 2 * k <= size, F.array_join(F.slice(parts, i, 2 * k + 1), ""))))
+        return F.array_distinct(F.array_compact(F.flatten(spans)))
+    # a variable of a lambda: the text is cut once, and not again for every run
+    return F.transform(F.array(F.regexp_extract_all(text, F.lit(r"(?s)\w+|\W+"), F.lit(0))), runs)[0]
 
 
 def keyword_levels(df: DataFrame, key: str, text: str, phrases: DataFrame, hits: str = "keywords", level: str = "keyword_level") -> DataFrame:
@@ -101,8 +103,10 @@ def keyword_levels(df: DataFrame, key: str, text: str, phrases: DataFrame, hits:
     core = F.regexp_extract(clean, r"(?s)\w(.*\w)?", 0)
     table = staged(phrases.select(clean.alias("phrase"), core.alias("core"), "level").where("core <> ''").distinct())
     size = table.agg(F.count("*").alias("n"), F.max(F.size(F.regexp_extract_all("core", F.lit(r"\w+"), F.lit(0)))).alias("words")).first()
-    clean_text = F.lower(F.trim(F.coalesce(F.col(text), F.lit(""))))
+    clean_text = F.col("_t")
     runs = word_runs(clean_text, size["words"] or 1)
+    # generators: what they give is worked out once a row, however often it is used
+    texts = df.select("*", F.explode(F.array(F.lower(F.trim(F.coalesce(F.col(text), F.lit("")))))).alias("_t"))
 
     def stands(phrase: Column, run: Column) -> Column:
         return (phrase == run) | F.regexp_like(clean_text, F.concat(F.lit(r"(?<!\w)\Q"), phrase, F.lit(r"\E(?!\w)")))
@@ -111,9 +115,9 @@ def keyword_levels(df: DataFrame, key: str, text: str, phrases: DataFrame, hits:
         known = E.lookup_constant(listed.select(F.lit("k").alias("feature"), F.col("core").alias("category"), "value"), "k", "array<array<string>>")
         none = F.expr("CAST(array() AS array<array<string>>)")
         found = F.flatten(F.transform(runs, lambda g: F.filter(E.looked_up(known, g, none), lambda h: stands(h[0], g))))
-        marked = df.withColumn("_found", found)
-        return marked.withColumns({hits: F.array_sort(F.array_distinct(F.transform("_found", lambda h: h[0]))), level: worst_in(F.transform("_found", lambda h: h[1]))}).drop("_found")
-    met = df.select(key, clean_text.alias("_t"), F.explode(runs).alias("core")).join(broadcast_if_small(table), "core")
+        marked = texts.select("*", F.explode(F.array(found)).alias("_found"))
+        return marked.withColumns({hits: F.array_sort(F.array_distinct(F.transform("_found", lambda h: h[0]))), level: worst_in(F.transform("_found", lambda h: h[1]))}).drop("_t", "_found")
+    met = texts.select(key, "_t", F.explode(runs).alias("core")).join(broadcast_if_small(table), "core")
     met = met.where((F.col("phrase") == F.col("core")) | F.regexp_like("_t", F.concat(F.lit(r"(?<!\w)\Q"), F.col("phrase"), F.lit(r"\E(?!\w)"))))
     rows = met.groupBy(key).agg(F.array_sort(F.collect_set("phrase")).alias(hits), F.collect_set("level").alias("_levels"))
     empty = F.expr("CAST(array() AS array<string>)")

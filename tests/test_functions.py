@@ -242,3 +242,10 @@ def test_names_of_a_match_are_compared_in_one_python_step(spark):
     assert out.columns == [*df.columns, "s", "t"]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("EvalPython") == 1
+
+
+def test_a_text_is_cut_once_for_all_its_runs(spark):
+    """Inside lambdas an expression is worked out again for every entry: a text was cut once for each of its runs."""
+    df = spark.createDataFrame([("one, two three",), ("",), (None,), ("--",)], "t string").select("t", J.word_runs(F.col("t"), 2).alias("r"))
+    assert df._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 1
+    assert [r["r"] for r in df.collect()] == [["one", "one, two", "two", "two three", "three"], [], [], []]
