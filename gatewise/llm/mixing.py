@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from gatewise.llm.common import WORD
@@ -17,7 +19,9 @@ def ranked_sources(sizes: DataFrame) -> DataFrame:
     for part, count in counts:
         starts.append((part, total))
         total += count
-    offsets = sizes.sparkSession.createDataFrame(starts or [(0, 0)], "part long, start long")
+    # made in the JVM: rows that come from a Python list would start workers of their own on the executors
+    rows = F.from_json(F.lit(json.dumps([{"part": part, "start": start} for part, start in starts])), "array<struct<part: bigint, start: bigint>>")
+    offsets = sizes.sparkSession.range(0, 1, 1, 1).select(F.inline(rows))
     return (placed.withColumn("part", F.shiftright("place", 33)).join(F.broadcast(offsets), "part")
             .withColumn("rank", F.col("start") + F.col("place").bitwiseAND((1 << 33) - 1)).drop("part", "start", "place"))
 

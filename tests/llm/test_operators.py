@@ -342,3 +342,12 @@ def test_rare_toxic_labels_are_learned(spark):
     labels = spark.createDataFrame([(k, int(k % 50 == 0)) for k in range(1500)], "doc_id long, toxic int")
     got = {r["doc_id"]: r[toxicity.SCORE_COLUMN] for r in toxicity.score_toxicity(docs(spark, rows), labels, F.lit(True), fit_rows=200).collect()}
     assert all(got[k] > 0.5 for k in range(0, 1500, 50)) and np.mean([got[k] < 0.3 for k in range(1500) if k % 50]) > 0.99
+
+
+def test_ranks_of_sources_need_no_python_on_executors(spark):
+    from gatewise.llm import mixing
+    sizes = spark.createDataFrame([("b", 2), (None, 1), ("a", 3), ("", 4)], "source string, source_size long")
+    out = mixing.ranked_sources(sizes)
+    assert {r["source"]: r["rank"] for r in out.collect()} == {"": 0, "a": 1, "b": 2, None: 3}
+    assert mixing.ranked_sources(sizes.limit(0)).count() == 0
+    assert "ExistingRDD" not in out._jdf.queryExecution().executedPlan().toString()
