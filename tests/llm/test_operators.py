@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -237,6 +238,43 @@ def test_hmm_learns_emissions_of_every_word_whatever_is_broadcast(spark):
     assert sum(got[0][i][2] - got[0][i][1] for i in range(50, 60)) > 5  # no word is among the leading ones, yet the states know its topic
 
 
+def test_hmm_keeps_no_row_per_text_and_word(spark, monkeypatch):
+    rows, stage = [], hmm.staged
+    monkeypatch.setattr(hmm, "staged", lambda df: (out := stage(df), rows.append(out.count()))[0])
+    env = spark._jvm.org.apache.spark.SparkEnv.get()
+    held = lambda: {f.getName() for f in map(env.blockManager().diskBlockManager().getAllFiles().apply, range(env.blockManager().diskBlockManager().getAllFiles().size()))}
+    rng = np.random.default_rng(9)
+    df, was, setting = docs(spark, [(i, " ".join(f"w{k}" for k in rng.choice(80, 30)), "") for i in range(200)]), held(), spark.conf.get(hmm.CLEANUP)
+    scored = hmm.score_texts(df, F.col("doc_id") < 150, vocabulary=1, broadcast_words=1, states=2)
+    assert max(rows) <= 200  # some 5,000 pairs of a text and a word, all of words that are not broadcast
+    assert not {name for name in held() - was if name.startswith("shuffle")} and spark.conf.get(hmm.CLEANUP) == setting
+    assert scored.count() == 200
+
+
+def test_hmm_blocks_and_shards_change_no_score(spark, awkward, monkeypatch):
+    rng = np.random.default_rng(10)
+    odd = [(None, "aa bb", ""), (900, None, ""), (901, "", ""), (902, "new" + chr(0x1C) + "er words" + chr(0xA0) + "here \x0b\x0c\r\n", ""), (903, "AA \u00c4\u00c4 \u00e4\u00e4", "")]
+    df = docs(spark, [(i, " ".join(f"{'ab'[i % 2]}{k}" for k in rng.choice(60, 40)), "") for i in range(80)] + odd + odd[:2]).union(awkward)
+
+    def scores():
+        return sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 6), r["score"]) for r in hmm.score_texts(df, F.coalesce(F.col("doc_id") % 3 > 0, F.lit(True)), vocabulary=4, broadcast_words=4).collect())
+    want = scores()
+    assert len(want) == 99 and sum(r[2] < r[1] for r in want) > 0
+    for name, value in (("BLOCK", 700), ("SHARD", 11), ("PIECE", 3)):
+        monkeypatch.setattr(hmm, name, value)
+    got = scores()
+    assert [r[:4] for r in got] == [r[:4] for r in want] and np.allclose([r[4] for r in got], [r[4] for r in want], rtol=1e-6)
+
+
+def test_hmm_words_are_cut_at_six_bytes_only():
+    text = "".join(f"A{chr(c)}z" for c in [*range(1, 0x300), 0x1680, 0x2003, 0x2028, 0x3000, 0x1F600])
+    words, sizes = hmm._words(pa.array([text, None, "", " x "]))
+    want = text.encode().lower().split() + [b"x"]
+    assert words.cast(pa.binary()).to_pylist() == want and sizes.tolist() == [len(want) - 1, 0, 0, 1]
+    numbers = np.random.default_rng(11).integers(0, 1 << 20, 1000).astype(np.int32)
+    assert (hmm._unpacked(hmm._packed(numbers), len(numbers)) == numbers).all() and len(hmm._unpacked(hmm._packed(numbers[:0]), 0)) == 0
+
+
 def test_hmm_recursions_equal_all_paths():
     rng = np.random.default_rng(6)
     start, move, emit = rng.dirichlet([1] * 3), rng.dirichlet([1] * 3, 3), rng.dirichlet([1] * 5, 3)
