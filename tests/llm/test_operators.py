@@ -266,6 +266,43 @@ def test_hmm_blocks_and_shards_change_no_score(spark, awkward, monkeypatch):
     assert [r[:4] for r in got] == [r[:4] for r in want] and np.allclose([r[4] for r in got], [r[4] for r in want], rtol=1e-6)
 
 
+def test_hmm_hands_over_small_batches_and_shards(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    df = docs(spark, [(i, " ".join(f"w{k}" for k in rng.choice(90, 40)), "") for i in range(120)]).repartition(3)
+    was = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+
+    def scores():
+        kept, stage = [], hmm.staged
+        with monkeypatch.context() as m:
+            m.setattr(hmm, "staged", lambda frame: (out := stage(frame), kept.append((spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"), out.select("sizes").collect() if "sizes" in out.columns else [])))[0])
+            got = sorted((r["doc_id"], r["n_known"], round(r["base_score"], 6), r["score"]) for r in hmm.score_texts(df, F.col("doc_id") < 100, vocabulary=1, broadcast_words=1, states=2).collect())
+        return got, kept
+    want, _ = scores()
+    for name, value in (("BLOCK", 900), ("MENTIONS", 400), ("BATCH_BYTES", 600)):
+        monkeypatch.setattr(hmm, name, value, raising=False)
+    got, kept = scores()
+    assert [r[:3] for r in got] == [r[:3] for r in want] and np.allclose([r[3] for r in got], [r[3] for r in want], rtol=1e-6)
+    asked = [sum(r["sizes"]) for r in kept[2][1]]
+    assert len(asked) > 5 and max(asked) < sum(asked) / 3  # few different words, yet no shard has what all blocks ask
+    assert {size for size, _ in kept} == {"600"} and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == was
+
+
+def test_hmm_batches_follow_bytes_not_rows(monkeypatch):
+    def rows(texts):
+        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    texts = ["a" * n for n in (300, 400, 0, 20, 3000, 100, 700, 100, 100)]
+    for came in ([rows(texts)], [rows([t]) for t in texts], [rows(texts[:4]), rows([]), rows([None]), rows(texts[4:])]):
+        out = [b.column(0).to_pylist() for b in hmm._slices(iter(came), 0, 1100)]
+        assert [t for b in out for t in b if t is not None] == texts and all(len(b) == 1 or sum(len(t or "") + hmm.ROW for t in b) <= 1100 for b in out) and len(out) == 4
+    assert max(b.num_rows for b in hmm._slices(iter([rows([""] * 500)]), 0, 640)) == 10  # texts without words fill a block too
+    index, states = np.arange(60, dtype=np.int32), 2
+    shard = hmm._shard(5, np.arange(122, dtype=np.float32).tobytes(), list(range(20)), [3] * 20, hmm._packed(index), np.arange(61, dtype=np.int64).tobytes())
+    monkeypatch.setattr(hmm, "BATCH_BYTES", 100)
+    sent = list(hmm._send(states, True)(iter([shard])))
+    assert max(sum(map(len, b.column("counts").to_pylist())) for b in sent) <= 100 and [k for b in sent for k in b.column("block").to_pylist()] == list(range(20))
+    assert np.frombuffer(b"".join(c for b in sent for c in b.column("counts").to_pylist()), np.float32).tolist() == list(range(120))
+
+
 def test_hmm_words_are_cut_at_six_bytes_only():
     text = "".join(f"A{chr(c)}z" for c in [*range(1, 0x300), 0x1680, 0x2003, 0x2028, 0x3000, 0x1F600])
     words, sizes = hmm._words(pa.array([text, None, "", " x "]))
